@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_ids
+from . import host_ranks, packing, quality, sharding, token_ids, warc
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,46 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, Scratch(spark, "op4"), 1024)
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARD_BYTES, Scratch(spark, "op2"))
+
+
+SQL["op2_extendible_sharding"] = sharding.SQL.format(limit=SHARD_BYTES)
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op3")
+    index, captures = warc.archive(spark, table(spark, sf_dir, "pages"), scratch, min_bytes=0)
+    found = index.lookup(captures.select("key", "page_id").distinct())
+    return index.read(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Rejected good documents per stratum, and the error over all strata.
+QUALITY_RISK, QUALITY_ERROR = 0.02, 0.05
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text")
+    measured = Scratch(spark, "op7").table(measured, "measured")
+    steps = quality.calibrate(measured, table(spark, sf_dir, "labels"), QUALITY_RISK, QUALITY_ERROR)
+    return quality.judge(measured, steps).drop("lang", "level")
+
+
+URL_RULES = [host_ranks.Rule(*x) for x in (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))]
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_ranks.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op8"))
+    return judged.drop("trust", "distrust")
+
+
+SQL["op8_url_filters"] = host_ranks.sql(URL_RULES)

@@ -77,7 +77,7 @@ def write_file(uri: str, data) -> None:
     filesystem, path = open_fs(uri)
     filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
     temp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with filesystem.open_output_stream(temp) as out:
+    with filesystem.open_output_stream(temp, compression=None) as out:
         for part in data if isinstance(data, (list, tuple)) else [data]:
             out.write(part)
     filesystem.move(temp, path)

@@ -50,7 +50,7 @@ class ShardWriter:
         self.fs, self.final = open_fs(uri)
         self.fs.create_dir(self.final.rsplit("/", 1)[0], recursive=True)
         self.temp = f"{self.final}.{uuid.uuid4().hex}.tmp"
-        self.out = self.fs.open_output_stream(self.temp)
+        self.out = self.fs.open_output_stream(self.temp, compression=None)
         self.ends: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
 
