@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_ranks, packing, quality, sharding, token_ids, warc
+from . import host_ranks, language_id, packing, quality, sharding, token_ids, toxicity, warc
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,28 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op8_url_filters"] = host_ranks.sql(URL_RULES)
+
+
+def _held_out() -> Column:
+    return language_id.fold_of(F.col("doc_id")) == 2
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language_id.LanguageModel:
+    return language_id.train(table(spark, sf_dir, "documents"), ~_held_out())
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = language_id.identify(docs, language_model(spark, sf_dir))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
+TOXIC_CUT = 0.3
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_held_out())
+    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
