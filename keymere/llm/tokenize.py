@@ -13,7 +13,10 @@ import pyarrow as pa
 from .text import _ODD_SPACE, chunk_starts, gather, pieces, utf8
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
+#: The byte-level alphabet's letters for bytes that don't stand for themselves (a rule of the vocabularies).
+_OWN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN_BYTES)}
 _CACHES: dict[str, "PieceCache"] = {}
 
 
@@ -25,6 +28,8 @@ class PieceCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.clear()
 
     def clear(self) -> None:
@@ -32,9 +37,29 @@ class PieceCache:
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.count = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of pieces. A single word of letters up to U+024F goes straight to the library's model.
+
+        That is what the whole tokenizer does with it: lower case where the
+        vocabulary has it, then the byte-level alphabet.
+        """
+        out: list[list[int] | None] = [None] * len(texts)
+        model, rest, lower = self.model.tokenize, [], self.lower
+        for i, text in enumerate(texts):
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha() and max(word) < "\u0250":
+                text = word.lower() if lower else text
+                if len(word.lower()) == len(word):
+                    out[i] = [x.id for x in model(text.encode().decode("latin-1").translate(_LETTERS))]
+                    continue
+            rest.append(i)
+        for i, ids in zip(rest, self.encode_whole([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def encode_whole(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
         for i in range(0, len(texts), 512):
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
@@ -52,7 +77,8 @@ class PieceCache:
             ids = self.encode([vocabulary[i].decode() for i in new])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-            n = len(index)
+            n = self.count
+            self.count += len(new)
             self.starts = _room(self.starts, n + len(new))
             self.sizes = _room(self.sizes, n + len(new))
             self.pool = _room(self.pool, self.used + len(flat))
@@ -106,7 +132,7 @@ def _encode_mixed(cache: PieceCache, data: bytes, rows: np.ndarray, starts: np.n
     at = np.searchsorted(starts, rows)
     for i in range(len(rows) - 1):
         if i in odd:
-            ids = np.array(cache.encode([data[rows[i] : rows[i + 1]].decode()])[0], np.uint32)
+            ids = np.array(cache.encode_whole([data[rows[i] : rows[i + 1]].decode()])[0], np.uint32)
         else:
             own = [data[a:b] for a, b in zip(cuts[at[i] : at[i + 1]], cuts[at[i] + 1 : at[i + 1] + 1])]
             number = cache.lookup(own)
