@@ -1,6 +1,6 @@
 """Toxicity scores from confirmed toxic and unlabelled texts only.
 
-A linear model over word features is trained by gradient descent on the
+A linear model over words and their beginnings is trained by gradient descent on the
 non-negative positive-unlabelled risk: with prior p, the risk is
 ``p * R_P(+) + max(0, R_U(-) - p * R_P(-))``. Where the bracket would turn
 negative, the step goes against it, so the model doesn't fit the toxic
@@ -22,7 +22,11 @@ from .text import Words, text_slices
 #: Bounds of the training sample: confirmed and unlabelled rows.
 POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 6000
 FEATURES = 2048
-EPOCHS, RATE, DECAY = 600, 0.05, 2e-3
+#: Standard errors by which a feature must be commoner in confirmed texts; score at the cutoff of the margins.
+Z_LEAST, CUT_SCORE = 4.0, 0.3
+#: Characters of the beginnings that are features.
+BEGINNINGS = (4, 5, 6, 8)
+EPOCHS, RATE, DECAY = 300, 0.05, 5e-4
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -31,10 +35,16 @@ def stems(vocabulary: list[bytes]) -> list[bytes]:
     return [x.strip(_MARKS).decode().lower().encode() for x in vocabulary]
 
 
+def keys(vocabulary: list[bytes]) -> list[list[bytes]]:
+    """For each feature of a word, that of each word: itself, then its beginnings (empty where it is shorter)."""
+    words = [x.decode() for x in stems(vocabulary)]
+    return [[x.encode() for x in words], *([b"^" + x[:n].encode() if len(x) > n else b"" for x in words] for n in BEGINNINGS)]
+
+
 def _spread(words: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, number) of each word that has a number."""
-    found = numbers[words.ids] if len(words.ids) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
+    """(row, number) of each feature of each word that has a number; numbers: by feature and word."""
+    found = numbers[:, words.ids].ravel() if len(words.ids) else np.zeros(0, np.int64)
+    row = np.tile(np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets)), len(numbers))
     return row[found >= 0], found[found >= 0]
 
 
@@ -46,7 +56,7 @@ class ToxicityModel:
 
     def margins(self, column: pa.Array) -> np.ndarray:
         words = Words(column)
-        numbers = np.array([self.features.get(x, -1) for x in stems(words.vocabulary)] or [-1], np.int64)
+        numbers = np.array([[self.features.get(x, -1) for x in kind] for kind in keys(words.vocabulary)], np.int64)
         row, found = _spread(words, numbers)
         pairs, count = np.unique(row * len(self.weights) + found, return_counts=True) if len(row) else (np.zeros(0, np.int64),) * 2
         gain = self.weights[pairs % max(len(self.weights), 1)] * np.log1p(count) if len(pairs) else np.zeros(0)
@@ -76,7 +86,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityMod
         return ToxicityModel({}, np.zeros(1), -6.0)
     sides = [Words(pa.array(x, pa.large_string())) for x in (positive, unlabelled)]
     names: dict[bytes, int] = {}
-    numbers = [np.array([names.setdefault(x, len(names)) if x else -1 for x in stems(w.vocabulary)], np.int64) for w in sides]
+    numbers = [np.array([[names.setdefault(x, len(names)) if x else -1 for x in kind] for kind in keys(w.vocabulary)], np.int64) for w in sides]
     spread = [_spread(w, k) for w, k in zip(sides, numbers)]
     n_p, n_u = len(positive), len(unlabelled)
     df_p, df_u = (np.bincount(np.unique(row * len(names) + col) % len(names), minlength=len(names)) for row, col in spread)
@@ -84,7 +94,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityMod
     z = (df_p / n_p - df_u / n_u) / np.sqrt(np.maximum(rate * (1 - rate) * (1 / n_p + 1 / n_u), 1e-12))
     z[df_p < 2] = -np.inf
     chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = chosen[z[chosen] > 1]
+    chosen = chosen[z[chosen] > Z_LEAST]
     if not len(chosen):
         return ToxicityModel({}, np.zeros(1), -6.0)
     new = np.full(len(names), -1)
@@ -109,6 +119,16 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityMod
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w = np.maximum(w - RATE * fix * m / (np.sqrt(v) + 1e-8), 0)  # a feature chosen for toxic texts doesn't speak against it
         b -= RATE * fix * mb / (np.sqrt(vb) + 1e-8)
+    # Shift the margins so that CUT_SCORE is where (recall of confirmed)^2 / (share of unlabelled found) is largest,
+    # a criterion that needs no negative labels.
+    m_p, m_u = np.sort(p.times(w) + b), np.sort(u.times(w) + b)
+    cuts = np.unique(m_p[m_p > b + 1e-6])
+    if len(cuts):
+        recall, found = 1 - np.searchsorted(m_p, cuts) / n_p, 1 - np.searchsorted(m_u, cuts) / n_u
+        best = recall**2 / np.maximum(found, 1 / n_u)
+        top = int(np.argmax(best))
+        low = m_u[max(np.searchsorted(m_u, cuts[top]) - 1, 0)]
+        b += float(np.log(CUT_SCORE / (1 - CUT_SCORE)) - (cuts[top] + low) / 2)
     inverse = {j: x for x, i in names.items() if (j := new[i]) >= 0}
     return ToxicityModel({inverse[j]: j for j in range(len(chosen))}, w, float(b))
 
