@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_ranks, language_id, packing, quality, sharding, token_ids, toxicity, warc
+from . import decontaminate, host_ranks, language_id, packing, quality, sharding, token_ids, toxicity, warc
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~_held_out())
     return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
