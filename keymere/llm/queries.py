@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_ranks, language_id, packing, quality, sharding, token_ids, toxicity, warc
+from . import decontaminate, host_ranks, jaccard, language_id, packing, quality, sharding, token_ids, toxicity, warc
 from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).drop("n_links")
