@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .text import Words, text_slices
 
 #: Bounds of the training sample: confirmed and unlabelled rows.
-POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 6000
+POSITIVE_ROWS, UNLABELLED_ROWS = 2000, 4000
+#: Bytes of text whose words are held at once.
+SLICE = 1 << 20
 FEATURES = 2048
 #: Standard errors by which a feature must be commoner in confirmed texts; score at the cutoff of the margins.
 Z_LEAST, CUT_SCORE = 4.0, 0.3
@@ -66,12 +68,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.margins(column), -30, 30)))
 
 
+def _counted(texts: list[str], names: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count) of all texts; new features are added to ``names``."""
+    parts = []
+    for at, part in text_slices(pa.array(texts, pa.large_string()), SLICE):
+        words = Words(part)
+        numbers = np.array([[names.setdefault(x, len(names)) if x else -1 for x in kind] for kind in keys(words.vocabulary)], np.int64)
+        pairs, count = np.unique(np.add(*(x * y for x, y in zip(_spread(words, numbers), (1 << 32, 1)))), return_counts=True)
+        parts.append(((pairs >> 32).astype(np.int32) + at, (pairs & 0xFFFFFFFF).astype(np.int32), count.astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 class _Matrix:
     """Rows of sparse log counts."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, m: int):
-        pairs, count = np.unique(row * m + col, return_counts=True) if len(row) else (np.zeros(0, np.int64), np.zeros(0))
-        self.row, self.col, self.value, self.n, self.m = pairs // m, pairs % m, np.log1p(count), n, m
+    def __init__(self, row: np.ndarray, col: np.ndarray, count: np.ndarray, n: int, m: int):
+        self.row, self.col, self.value, self.n, self.m = row, col, np.log1p(count), n, m
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.col], minlength=self.n)
@@ -84,12 +96,10 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityMod
     """Train on texts; without positive texts every score is near 0."""
     if not positive or not unlabelled:
         return ToxicityModel({}, np.zeros(1), -6.0)
-    sides = [Words(pa.array(x, pa.large_string())) for x in (positive, unlabelled)]
     names: dict[bytes, int] = {}
-    numbers = [np.array([[names.setdefault(x, len(names)) if x else -1 for x in kind] for kind in keys(w.vocabulary)], np.int64) for w in sides]
-    spread = [_spread(w, k) for w, k in zip(sides, numbers)]
+    spread = [_counted(x, names) for x in (positive, unlabelled)]
     n_p, n_u = len(positive), len(unlabelled)
-    df_p, df_u = (np.bincount(np.unique(row * len(names) + col) % len(names), minlength=len(names)) for row, col in spread)
+    df_p, df_u = (np.bincount(col, minlength=len(names)) for _, col, _ in spread)
     rate = (df_p + df_u) / (n_p + n_u)
     z = (df_p / n_p - df_u / n_u) / np.sqrt(np.maximum(rate * (1 - rate) * (1 / n_p + 1 / n_u), 1e-12))
     z[df_p < 2] = -np.inf
@@ -100,9 +110,9 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityMod
     new = np.full(len(names), -1)
     new[chosen] = np.arange(len(chosen))
     matrices = []
-    for (row, col), n in zip(spread, (n_p, n_u)):
+    for (row, col, count), n in zip(spread, (n_p, n_u)):
         keep = new[col] >= 0
-        matrices.append(_Matrix(row[keep], new[col[keep]], n, len(chosen)))
+        matrices.append(_Matrix(row[keep], new[col[keep]], count[keep], n, len(chosen)))
     p, u = matrices
     w, b = np.zeros(len(chosen)), -2.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -161,7 +171,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in text_slices(batch.column(at)):
+            for first, part in text_slices(batch.column(at), 2 * SLICE):
                 own = batch.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(model.scores(part))], [*own.schema.names, "score"])
 
