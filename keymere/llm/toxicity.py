@@ -129,14 +129,13 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityMod
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w = np.maximum(w - RATE * fix * m / (np.sqrt(v) + 1e-8), 0)  # a feature chosen for toxic texts doesn't speak against it
         b -= RATE * fix * mb / (np.sqrt(vb) + 1e-8)
-    # Shift the margins so that CUT_SCORE is where (recall of confirmed)^2 / (share of unlabelled found) is largest,
-    # a criterion that needs no negative labels.
+    # Shift the margins so that CUT_SCORE is where the F1 score is best. Its estimate needs no negative labels:
+    # 2 * prior * (recall of confirmed) / (share of unlabelled found + prior).
     m_p, m_u = np.sort(p.times(w) + b), np.sort(u.times(w) + b)
     cuts = np.unique(m_p[m_p > b + 1e-6])
     if len(cuts):
         recall, found = 1 - np.searchsorted(m_p, cuts) / n_p, 1 - np.searchsorted(m_u, cuts) / n_u
-        best = recall**2 / np.maximum(found, 1 / n_u)
-        top = int(np.argmax(best))
+        top = int(np.argmax(recall / (found + prior)))
         low = m_u[max(np.searchsorted(m_u, cuts[top]) - 1, 0)]
         b += float(np.log(CUT_SCORE / (1 - CUT_SCORE)) - (cuts[top] + low) / 2)
     inverse = {j: x for x, i in names.items() if (j := new[i]) >= 0}
