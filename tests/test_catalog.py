@@ -5,11 +5,12 @@ import math
 import duckdb
 import pytest
 
+from keymere.plans import catalog_more  # noqa: F401  adds its queries
 from keymere.plans.catalog import QUERIES
 from keymere.plans.catalog_sql import SQL
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations benchmark".split()
 
 
 @pytest.fixture(scope="module")
