@@ -31,7 +31,8 @@ from .text import Words, text_slices
 SHINGLE = 5
 #: Similarity of at least SHARE percent links: SHARE * union <= 100 * intersection.
 SHARE = 80
-GROUPS = 64
+#: Groups (a power of two): with as many as a usual document has shingles, the bound is close to the overlap itself.
+GROUPS = 256
 BANDS, ROWS = 26, 4
 #: Central documents tried in a block's first round.
 CENTERS = 24
@@ -98,11 +99,24 @@ def min_hash_bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((shingles >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in 8 or 16 bits; nothing if one is larger, which bounds nothing."""
+    top = int(counts.max())
+    return b"" if top >= 1 << 16 else counts.astype("u1" if top < 256 else "<u2").tobytes()
+
+
+def unpacked(data: list[bytes]) -> np.ndarray:
+    out = np.empty((len(data), GROUPS), np.int32)
+    for i, x in enumerate(data):
+        out[i] = np.frombuffer(x, "u1" if len(x) == GROUPS else "<u2") if x else np.iinfo(np.int32).max // GROUPS
+    return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Points are 16-bit counts; empty (no bound) if one doesn't fit."""
+    """docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     p = point(s)
                     fp.append(fingerprint(s) if len(s) else None)
                     bands.append(min_hash_bands(s) if len(s) else None)
-                    points.append(p.astype("<u2").tobytes() if p.max() < 1 << 16 else b"")
+                    points.append(packed(p))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(points, pa.binary())], [x.split()[0] for x in SIGNATURE.split(", ")])
 
     return docs.mapInArrow(run, SIGNATURE)
@@ -223,9 +237,7 @@ def _block_pairs(blocks: DataFrame, exact: bool) -> DataFrame:
                 continue
             key = batch.column(0).to_numpy()
             ids, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            raw = batch.column(3).to_pylist()
-            points = np.stack([np.frombuffer(x, "<u2") if x else np.full(GROUPS, 65535, np.uint16) for x in raw]).astype(np.int32)
-            points[[not x for x in raw]] = np.iinfo(np.int32).max // GROUPS
+            points = unpacked(batch.column(3).to_pylist())
             comp = batch.column(4).to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             pairs: list[tuple[int, int]] = []
