@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 
 import pytest
+from pyspark.sql import functions as F
 
 from keymere.llm import decontaminate, host_ranks, jaccard
 from keymere.llm.queries import QUERIES, SQL, URL_RULES
@@ -61,7 +62,8 @@ def test_urls_against_sql(spark):
 
 def test_many_rules_are_joined(spark, monkeypatch):
     df = spark.createDataFrame(_pages(), "page_id long, url string, html string")
-    run = lambda: sorted((r.page_id, r.rule, r.verdict) for r in host_ranks.judge_urls(df, URL_RULES, Scratch(spark, "t")).collect())
+    own = df.withColumn("host", host_ranks.host_of(F.col("url"))).withColumn("path", host_ranks.path_of(F.col("url")))
+    run = lambda: sorted(((r.page_id, r.rule, r.rule_verdict) for r in host_ranks.with_rule(own, URL_RULES).collect()), key=str)
     a = run()
     monkeypatch.setattr(host_ranks, "LITERAL_RULES", 0)
     assert run() == a
