@@ -80,3 +80,29 @@ def move_file(blobs: DataFrame, file: str, source: str, target: str) -> DataFram
 
 def delete_file(blobs: DataFrame, file: str, name: str) -> DataFrame:
     return blobs.where(F.col(file) != name)
+
+
+#: Settings of the stores and the Hadoop options that they become; {} stands for the account or bucket.
+HADOOP_OPTIONS: dict[str, dict[str, str]] = {
+    "s3": {"access_key": "fs.s3a.access.key", "secret_key": "fs.s3a.secret.key", "endpoint": "fs.s3a.endpoint", "region": "fs.s3a.endpoint.region", "path_style": "fs.s3a.path.style.access", "timeout_ms": "fs.s3a.connection.timeout"},
+    "azure": {"account_key": "fs.azure.account.key.{}.dfs.core.windows.net", "sas_token": "fs.azure.sas.fixed.token.{}.dfs.core.windows.net"},
+    "oci": {"hostname": "fs.oci.client.hostname", "tenant": "fs.oci.client.auth.tenantId", "user": "fs.oci.client.auth.userId", "fingerprint": "fs.oci.client.auth.fingerprint", "key_file": "fs.oci.client.auth.pemfilepath"},
+    "gcs": {"key_file": "google.cloud.auth.service.account.json.keyfile", "project": "fs.gs.project.id"},
+}
+
+
+def hadoop_options(store: str, account: str = "", **settings: object) -> dict[str, str]:
+    """Hadoop options of a store's settings; unknown settings are an error."""
+    known = HADOOP_OPTIONS.get(store, {})
+    if unknown := set(settings) - set(known):
+        raise ValueError(f"unknown settings of {store}: {', '.join(sorted(unknown))}")
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    return {known[k].format(account): text(v) for k, v in settings.items() if v is not None}
+
+
+def exists(files: DataFrame, path_col: str, path: str) -> DataFrame:
+    """Whether a file or a folder of that path is there, as one row: is_file, is_folder, is_empty."""
+    name = path.rstrip("/")
+    own = files.select(F.col(path_col).alias("p")).where((F.col("p") == name) | F.col("p").startswith(name + "/"))
+    is_file, below = F.coalesce(F.bool_or(F.col("p") == name), F.lit(False)), F.coalesce(F.bool_or(F.col("p") != name), F.lit(False))
+    return own.agg(is_file.alias("is_file"), below.alias("is_folder"), (~below).alias("is_empty"))
