@@ -41,8 +41,9 @@ def cutoffs() -> dict[str, np.ndarray]:
 
 
 def _per_row(mask: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(mask)])
-    return total[rows[1:]] - total[rows[:-1]]
+    total = np.zeros(len(mask) + 1, np.int64 if len(mask) >> 31 else np.int32)
+    np.cumsum(mask, out=total[1:], dtype=total.dtype)
+    return (total[rows[1:]] - total[rows[:-1]]).astype(np.int64)
 
 
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:

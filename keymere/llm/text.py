@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 8 << 20
+#: Bytes of text handled at once; the arrays over them take some thirty times as much.
+SLICE_BYTES = 2 << 20
 #: UTF-8 lead bytes or pairs of white space beyond ASCII, and the four separators
 #: that Python counts as white space but the tokenizers don't.
 _ODD_SPACE = tuple(chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from .text import _ODD_SPACE, chunk_starts, gather, pieces, utf8
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: The byte-level alphabet's letters for bytes that don't stand for themselves (a rule of the vocabularies).
 _OWN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN_BYTES)}
