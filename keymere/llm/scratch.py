@@ -7,6 +7,8 @@ of our own is chosen, since driver and executors then share one machine.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,21 @@ def shared_root(spark: SparkSession) -> str:
     return (root if "://" in root or root.startswith("file:") else f"file://{root}").rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once, where they would not find it by their path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in map(os.path.abspath, filter(None, known)):
+        return
+    folder = tempfile.mkdtemp(prefix="keymere-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/keymere", "zip", root, "keymere"))
+    _shipped.add(app)
+
+
 class Scratch:
     """A private folder in the shared space, removed by :meth:`drop`."""
 
