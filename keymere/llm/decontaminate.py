@@ -1,18 +1,20 @@
 """Benchmark decontamination: passages of documents within an edit distance of benchmark items.
 
-Words (lower case, ASCII marks at the ends taken off) are the symbols. The CGK
-random walk maps edit distance to Hamming distance: at each step it emits the
-word under the pointer, and moves on or stays by a random bit of that word.
-Windows of the items' sizes, one at each word of each document, are walked
-with the same bits; a table of the LSH samples a few steps of the walk, and a
-window that agrees with an item in all samples of one table is a candidate. An
-exact edit-distance computation around it decides.
+Words (lower case, ASCII marks at the ends taken off) are the symbols. An item
+with k edits allowed is cut into k + 1 pieces. Edits touch at most k of them,
+wherever they lie, so any passage within the limit holds a piece unchanged.
+The CGK random walk of a piece emits at each step the word under the pointer,
+and moves on or stays by a random bit of that word, until it leaves the piece.
+Windows of the pieces' sizes, one at each word of each document, are walked
+with the same bits; equal words give equal walks, so a window that agrees with
+a piece in all steps is a candidate, and none is missed. An exact
+edit-distance computation around it decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,8 @@ from .toxicity import stems
 
 #: Edits allowed, as a share of the item's words.
 RATE = 0.1
-#: Chance to find a passage with that many edits.
-RECALL = 0.99
-#: Samples per table and tables per walk of a window size; the number of independent walks follows from RECALL.
-SAMPLES, TABLES = 4, 4
-MOST_WALKS = 12
-#: Window sizes are powers of two up to this; longer items are found by their first words.
-LARGEST_WINDOW = 64
+#: Steps of a walk for each word of its piece; by then it has nearly always left the piece.
+STEPS = 3
 #: Items compared in one pass over the documents.
 ITEMS_AT_ONCE = 20_000
 _BLOCK = 1 << 16
@@ -45,56 +42,52 @@ def word_values(words: Words) -> np.ndarray:
     return values[words.ids] if len(words.ids) else np.zeros(0, np.uint64)
 
 
-def symbols(values: np.ndarray, number: int) -> np.ndarray:
-    """32-bit values of words for the walk of that number; their bits steer it."""
+def symbols(values: np.ndarray) -> np.ndarray:
+    """32-bit values of words for the walk; their bits steer it."""
     with np.errstate(over="ignore"):
-        mixed = (values ^ np.uint64(number * 0x5851F42D4C957F2D & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = values * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-def walk(symbols: np.ndarray, count: int, steps: int) -> np.ndarray:
-    """What the walks from the first ``count`` words emit at each step. A walk of n steps stays within n words."""
-    padded = np.concatenate([symbols, np.zeros(steps + 1, np.uint32)])
-    at = np.arange(count)
-    out = np.empty((steps, count), np.uint32)
-    bit = np.empty(count, np.uint32)
-    for step in range(steps):
-        np.take(padded, at, out=out[step], mode="clip")
-        np.right_shift(out[step], np.uint32(step % 31), out=bit)
+def walk_keys(symbols: np.ndarray, count: int, sizes: list[int]) -> list[np.ndarray]:
+    """For each size, a 32-bit key of all that the walks from the first ``count`` words emit within so many words."""
+    padded = np.concatenate([symbols, np.zeros(max(sizes) + 1, np.uint32)])
+    at, moved = np.arange(count), np.zeros(count, np.uint8)
+    key, keys = np.zeros(count, np.uint32), [np.zeros(count, np.uint32) for _ in sizes]
+    emitted, bit, inside = np.empty(count, np.uint32), np.empty(count, np.uint32), np.empty(count, bool)
+    moved = moved if max(sizes) * STEPS < 256 else moved.astype(np.int64)
+    for step in range(STEPS * max(sizes)):
+        np.take(padded, at, out=emitted, mode="clip")
+        key ^= emitted
+        key *= np.uint32(0x85EBCA6B)
+        key ^= key >> np.uint32(15)
+        for size, own in zip(sizes, keys):
+            if step < STEPS * size:
+                np.less(moved, size, out=inside)
+                np.copyto(own, key, where=inside)
+        np.right_shift(emitted, np.uint32(step % 31), out=bit)
         np.bitwise_and(bit, np.uint32(1), out=bit)
         np.add(at, bit, out=at, casting="unsafe")
-    return out
-
-
-def sampled_keys(emitted: np.ndarray, tables: np.ndarray) -> Iterator[np.ndarray]:
-    """A 32-bit key per window for each table: the symbols at its steps."""
-    with np.errstate(over="ignore"):
-        for row in tables:
-            key = emitted[row[0]] * np.uint32(0x9E3779B1)
-            for k in row[1:]:
-                key ^= emitted[k]
-                key *= np.uint32(0x85EBCA6B)
-                key ^= key >> np.uint32(15)
-            yield key
+        np.add(moved, bit, out=moved, casting="unsafe")
+    return keys
 
 
 @dataclass
-class _Tables:
-    """The LSH tables of one window size for one walk."""
+class _Table:
+    """The pieces of one size, by their keys."""
 
-    number: int  # of the walk
     size: int
-    rows: np.ndarray  # the steps that each table samples
-    hashes: list[np.ndarray] = field(default_factory=list)  # per table, ascending
-    owners: list[np.ndarray] = field(default_factory=list)
-    seen: list[np.ndarray] = field(default_factory=list)  # bitmaps of the hashes
+    hashes: np.ndarray  # ascending
+    owners: np.ndarray  # item numbers
+    firsts: np.ndarray  # first word of the piece in its item
+    seen: np.ndarray  # bitmap of the hashes
 
 
 class ItemIndex:
-    """LSH tables and words of a block of items."""
+    """Pieces and words of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE, recall: float = RECALL):
+    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
         self.ids, self.values, self.rate = [], [], rate
         column = pa.array([t or "" for _, t in items], pa.large_string())
         for at, part in text_slices(column):
@@ -105,99 +98,54 @@ class ItemIndex:
                 if len(own):
                     self.ids.append(items[at + i][0])
                     self.values.append(own)
-        by_size: dict[int, list[int]] = {}
+        by_size: dict[int, list[tuple[int, int]]] = {}
         for i, v in enumerate(self.values):
-            by_size.setdefault(min(LARGEST_WINDOW, 1 << (len(v).bit_length() - 1)), []).append(i)
-        self.walks: dict[int, list[_Tables]] = {}
-        for size, own in sorted(by_size.items()):
-            for number in range(self._walks_needed(size, own, recall)):
-                self.walks.setdefault(number, []).append(self._build(number, size, own))
+            n = min(self.limit(i) + 1, len(v))
+            by_size.setdefault(len(v) // n, []).extend((i, p * len(v) // n) for p in range(n))
+        self.tables = [self._build(size, pieces) for size, pieces in sorted(by_size.items())]
 
     def limit(self, i: int) -> int:
         return int(self.rate * len(self.values[i]))
 
-    @staticmethod
-    def _rows(number: int, size: int) -> np.ndarray:
-        """Steps sampled by each table, one from each of SAMPLES stretches of the walk."""
-        rng = np.random.default_rng([number, size])
-        edges = np.linspace(0, size, min(SAMPLES, size) + 1).astype(int)
-        return np.stack([rng.integers(a, b, TABLES) for a, b in zip(edges[:-1], edges[1:])], axis=1)
-
-    def _build(self, number: int, size: int, own: list[int]) -> _Tables:
-        out = _Tables(number, size, self._rows(number, size))
-        emitted = np.concatenate([walk(symbols(self.values[i], number), 1, size) for i in own], axis=1)
-        bits = max(16, len(own).bit_length() + 8)
-        for key in sampled_keys(emitted, out.rows):
-            order = np.argsort(key, kind="stable")
-            out.hashes.append(key[order])
-            out.owners.append(np.array(own)[order])
-            seen = np.zeros(1 << min(bits, 26), bool)
-            seen[key & np.uint32(len(seen) - 1)] = True
-            out.seen.append(seen)
-        return out
-
-    def _walks_needed(self, size: int, own: list[int], recall: float) -> int:
-        """Walks until copies with as many random edits as allowed are found with the wanted chance."""
-        rng = np.random.default_rng(size)
-        trials = []
-        for i in rng.choice(own, 200):
-            edited = list(self.values[i])
-            for _ in range(self.limit(i)):
-                kind, at = rng.integers(3), int(rng.integers(max(len(edited), 1)))
-                new = np.uint64(rng.integers(1, 1 << 63))
-                if kind == 0:
-                    edited.insert(at, new)
-                elif len(edited) > 1 and kind == 1:
-                    del edited[at]
-                elif edited:
-                    edited[at] = new
-            trials.append((self.values[i], np.array(edited, np.uint64)))
-        found = np.zeros(len(trials), bool)
-        for number in range(MOST_WALKS):
-            rows = self._rows(number, size)
-            for j, (v, e) in enumerate(trials):
-                if not found[j]:
-                    a, b = walk(symbols(v, number), 1, size), walk(symbols(e, number), min(len(e), self.limit_of(v) + 1), size)
-                    found[j] = any((x[0] == y).any() for x, y in zip(sampled_keys(a, rows), sampled_keys(b, rows)))
-            if found.mean() >= recall:
-                return number + 1
-        return MOST_WALKS
-
-    def limit_of(self, values: np.ndarray) -> int:
-        return int(self.rate * len(values))
-
-    def candidates(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window starts, item numbers) that agree in a table."""
-        for number, tables in self.walks.items():
-            steps = max(t.size for t in tables)
-            letters = symbols(values, number)
-            for first in range(0, len(values), _BLOCK):
-                near = letters[first : first + _BLOCK + steps]
-                emitted = walk(near, min(_BLOCK, len(values) - first), steps)
-                for t in tables:
-                    for key, hashes, owners, seen in zip(sampled_keys(emitted, t.rows), t.hashes, t.owners, t.seen):
-                        maybe = np.flatnonzero(seen[key & np.uint32(len(seen) - 1)])
-                        if not len(maybe):
-                            continue
-                        a, b = np.searchsorted(hashes, key[maybe], "left"), np.searchsorted(hashes, key[maybe], "right")
-                        n = b - a
-                        if n.any():
-                            row = np.repeat(maybe, n)
-                            slot = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                            yield first + row, owners[slot]
+    def _build(self, size: int, pieces: list[tuple[int, int]]) -> _Table:
+        words = np.concatenate([self.values[i][first : first + size] for i, first in pieces])
+        key = walk_keys(symbols(words), len(words), [size])[0][::size]
+        order = np.argsort(key, kind="stable")
+        owners, firsts = np.array(pieces).T
+        seen = np.zeros(1 << min(max(16, len(pieces).bit_length() + 8), 26), bool)
+        seen[key & np.uint32(len(seen) - 1)] = True
+        return _Table(size, key[order], owners[order], firsts[order], seen)
+
+    def candidates(self, values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, item numbers, where the item would start) of windows that agree with a piece."""
+        if not len(values):
+            return
+        sizes, letters = [t.size for t in self.tables], symbols(values)
+        for first in range(0, len(values), _BLOCK):
+            near = letters[first : first + _BLOCK + max(sizes)]
+            for t, key in zip(self.tables, walk_keys(near, min(_BLOCK, len(values) - first), sizes)):
+                maybe = np.flatnonzero(t.seen[key & np.uint32(len(t.seen) - 1)])
+                if not len(maybe):
+                    continue
+                a, b = np.searchsorted(t.hashes, key[maybe], "left"), np.searchsorted(t.hashes, key[maybe], "right")
+                n = b - a
+                if n.any():
+                    at = first + np.repeat(maybe, n)
+                    slot = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    texts = np.searchsorted(offsets, at, "right") - 1
+                    whole = at + t.size <= offsets[texts + 1]
+                    yield texts[whole], t.owners[slot[whole]], (at - t.firsts[slot])[whole]
 
     def matches(self, values: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, first word, words, distance, item words): the best passage of each item in each text, if within the limit."""
-        found = [np.stack(x) for x in self.candidates(values)]
+        found = [np.stack(x) for x in self.candidates(values, offsets)]
         if not found:
             return []
-        starts, items = np.unique(np.concatenate(found, axis=1), axis=1)
-        texts = np.searchsorted(offsets, starts, "right") - 1
+        texts, items, starts = np.concatenate(found, axis=1)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         order = np.lexsort((starts, items, texts))
         done = (-1, -1, -1)
-        for j in order:
-            text, item, start = int(texts[j]), int(items[j]), int(starts[j])
+        for text, item, start in zip(texts[order].tolist(), items[order].tolist(), starts[order].tolist()):
             v, k = self.values[item], self.limit(item)
             if done[:2] == (text, item) and start <= done[2]:
                 continue
@@ -233,12 +181,12 @@ def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return value, int(value * big - row[end]), end
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row and item found in it: doc_id and the columns of ``FOUND``.
 
     A passage counts if it differs from the item in at most ``rate`` of the
-    item's words (insertions, deletions, substitutions; exact for items under
-    ``1 / rate`` words). Items and texts that are null or without words match
+    item's words (insertions, deletions, substitutions), wherever the edits
+    lie; of an item's passages in a text the closest is given. Items and texts that are null or without words match
     nothing. Items go to the tasks in blocks of ``ITEMS_AT_ONCE``, each
     against all documents. Repeated rows give repeated results.
     """
@@ -251,7 +199,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, recall:
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str), rate, recall)
+        index = ItemIndex(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str), rate)
         if index.values:
             found = _search(own, index, schema)
             out = found if block == 0 else out.unionByName(found)

@@ -218,6 +218,26 @@ def test_passages_are_found(spark):
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_passages_with_edits_at_one_place_are_found():
+    rng = random.Random(21)
+    words = [f"u{i}" for i in range(3000)]
+    lost = []
+    for n in (9, 10, 19, 20, 30, 60, 100, 127, 200):
+        items = [(i, " ".join(rng.choices(words, k=n))) for i in range(12)]
+        index, k = decontaminate.ItemIndex(items), int(decontaminate.RATE * n)
+        for place in (0, (n - k) // 2, n - k):
+            for kind in ("cut", "new", "more"):
+                texts = []
+                for _, text in items:
+                    copy = text.split()
+                    copy[place : place + (0 if kind == "more" else k)] = [] if kind == "cut" else ["edited"] * k
+                    texts.append(" ".join(rng.choices(words, k=40) * (place > 0) + copy + rng.choices(words, k=30)))  # the first ones begin their texts
+                part = decontaminate.Words(pa.array(texts, pa.large_string()))
+                got = {(m[0], m[1]) for m in index.matches(decontaminate.word_values(part), part.offsets)}
+                lost += [(n, place, kind, i) for i in range(12) if (i, i) not in got]
+    assert not lost
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
