@@ -13,7 +13,9 @@ misses all of them with a chance of 1e-6, and closer pairs far more rarely.
 
 Equal sets are one class from the start. In each block a first round links
 documents to a central one only, so groups of copies cost a comparison per
-copy; the second round takes all pairs between different components.
+copy; the second round takes all pairs between different components. The
+links of each document are counted in a third pass over all pairs inside the
+components, which keeps sums only.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ CENTERS = 24
 LEAF, FAN = 32, 16
 #: Members of a block that one task compares with each other; larger blocks are compared tile by tile.
 TILE = 4096
+#: Sets, and shingles in them, of a component that one task compares with as many others when links are counted.
+LINK_TILE, LINK_SHINGLES = 2048, 1 << 21
 #: Rows of a block held at once in the first round, which need not be exact.
 CHUNK = 20_000
 #: Up to so many ids (8 bytes each) are sent to all tasks to pick their texts; more are joined.
@@ -334,22 +338,63 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def similar_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links.
+def _link_counts(sets: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, linked): the rows of all classes that link with each class of a component, from all pairs of its classes.
+
+    sets: id, s; found: id, component; copies: id, copies. Components are cut
+    into tiles, and each pair of tiles is compared in one task.
+    """
+    rows = sets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(copies, "id")
+    large = F.greatest(F.count(F.lit(1)) / LINK_TILE, F.sum(F.octet_length("s")) / (8 * LINK_SHINGLES))
+    shared = rows.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.ceil(large).cast("int").alias("tiles")).where("m > 1").drop("m")
+    rows = rows.join(shared, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "own").alias("i"), F.greatest(t, "own").alias("j")))
+    tiled = rows.withColumn("t", F.explode(tiles)).select("component", "t.i", "t.j", "own", "id", "s", "copies")
+
+    def count(block: pa.Table) -> pa.Table:
+        n_rows = block.num_rows
+        own, copies = block["own"].to_numpy(), block["copies"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["s"]]
+        sizes = np.array([len(x) for x in sets])
+        # inside a tile all rows are compared, else those of one tile with those of the other
+        groups = np.arange(n_rows) if block["i"][0].as_py() == block["j"][0].as_py() else own.astype(np.int64)
+        tree = CountTree(Points(np.arange(n_rows), sizes, np.stack([point(x) for x in sets]).astype(np.int32), groups))
+        values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(numbers, np.cumsum(sizes)[:-1])
+        inside, linked = np.zeros(len(values), np.int64), np.zeros(n_rows, np.int64)
+        for i in range(n_rows):
+            near = tree.search(i)
+            near = near[near > i]
+            if len(near):
+                inside[sets[i]] = 1
+                starts = np.cumsum(sizes[near]) - sizes[near]
+                both = np.add.reduceat(inside[np.concatenate([sets[j] for j in near])], starts)
+                inside[sets[i]] = 0
+                near = near[100 * both >= SHARE * (sizes[near] + sizes[i] - both)]
+                linked[i] += copies[near].sum()
+                linked[near] += copies[i]
+        return pa.table({"id": block["id"], "linked": pa.array(linked)})
+
+    return tiled.groupBy("component", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def similar_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and with ``count_links`` n_links.
 
     Documents link when the Jaccard similarity of their shingle sets is at
     least 0.8; ``component_id`` is the smallest doc_id reachable, and
-    ``n_links`` the number of verified links of the document's class (a group
-    of copies isn't expanded into its pairs). Null texts and texts without
-    words have no shingles and are alone. Documents of one id and different
-    texts are joined if their texts' classes have the same smallest id. A null
-    id takes the component of its text, if another row has that text. Other
-    columns are ignored.
+    ``n_links`` the number of other rows that the row links with, copies
+    included. Null texts and texts without words have no shingles and are
+    alone. Documents of one id and different texts are joined if their texts'
+    classes have the same smallest id, and then compare with others by one of
+    these texts. A null id takes the component of its text, if another row has
+    that text with an id; else it links with nothing. Other columns are
+    ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.table(signatures(own), "signatures")
-    classes = scratch.table(signed.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    reps = scratch.table(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "point"), "reps")
+    classes = scratch.table(signed.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("rep is not null"), "classes")
+    reps = scratch.table(signed.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "point"), "reps")
     members = reps.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.table(members.join(shared, "key"), "members")
@@ -371,10 +416,17 @@ def similar_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id"
     second = blocks(tiled, "key").select("key", "id", "n", "point", "component")
     pairs = _block_pairs(second, exact=True).distinct().join(tried, ["a", "b"], "left_anti")
     pairs = scratch.table(pairs, "second")
+    named = ["first-sets"]
     if not pairs.isEmpty():
         links = links.unionByName(scratch.table(_verified(pairs, own, classes, scratch, "second"), "second-links"))
         found = components(links, scratch, "second-components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = scratch.table(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n_links"), "known")
+        named.append("second-sets")
+    known = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "fp", "copies", F.coalesce("component", "rep").alias("component_id"))
+    if count_links:
+        sets = scratch.spark.read.schema("id long, s binary").parquet(*map(scratch.path, named)).dropDuplicates(["id"])
+        linked = scratch.table(_link_counts(sets, found, classes.groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies"))), "linked")
+        known = known.join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).drop("linked")
+    known = scratch.table(known.drop("rep", "copies"), "known")
     out = signed.select("doc_id", "n_shingles", "fp").join(known, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)

@@ -119,4 +119,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_components(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).drop("n_links")
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))

@@ -150,6 +150,20 @@ def test_jaccard_repeats_nulls_and_nothing(spark):
     assert jaccard.similar_components(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_links_against_all_pairs(spark, monkeypatch):
+    rows = _near_copies()
+    rows += [(5000 + k, rows[30][1]) for k in range(3)] + [(None, rows[30][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: sorted((tuple(r)[::3] for r in jaccard.similar_components(docs, Scratch(spark, "t")).select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str)
+    sets = [_shingles(t) for _, t in rows]
+    linked = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+    want = sorted(((rows[i][0], sum(linked(x, y) for j, y in enumerate(sets) if j != i)) for i, x in enumerate(sets)), key=str)
+    assert max(n for _, n in want) > 10
+    assert run() == want
+    monkeypatch.setattr(jaccard, "LINK_TILE", 4)
+    assert run() == want
+
+
 def test_tree_finds_all_near_points():
     rng = np.random.default_rng(3)
     base = rng.poisson(4, (60, jaccard.GROUPS))
