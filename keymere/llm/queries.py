@@ -49,7 +49,8 @@ SHARD_BYTES = 1 << 20
 
 @query
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARD_BYTES, Scratch(spark, "op2"))
+    scratch = Scratch(spark, "op2")
+    return sharding.names_of(sharding.write_shards(table(spark, sf_dir, "documents"), SHARD_BYTES, scratch.path("shards"), scratch))
 
 
 SQL["op2_extendible_sharding"] = sharding.SQL.format(limit=SHARD_BYTES)

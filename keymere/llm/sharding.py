@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import Scratch
 
@@ -86,8 +87,8 @@ def build_directory(rows: DataFrame, limit: int) -> Directory:
     return Directory(np.array(d, np.int64), np.array(p, np.int64), np.array(o, bool))
 
 
-def shard_rows(docs: DataFrame, limit: int, scratch: Scratch, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, depth, prefix, page.
+def shard_rows(docs: DataFrame, limit: int, scratch: Scratch, key_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, depth, prefix, page; with ``carry`` also the document itself, as the struct ``row``.
 
     (depth, prefix, page) names the shard; a shard holds at most ``limit``
     bytes of text, unless it is one larger document. ``page`` is 0 but in
@@ -95,13 +96,17 @@ def shard_rows(docs: DataFrame, limit: int, scratch: Scratch, key_col: str = "do
     document): these are filled page by page along their rows. A null text has
     no bytes, a null key hashes like an empty one. An empty table has no rows.
     """
-    rows = scratch.table(docs.select(F.col(key_col).alias("doc_id"), hash_bits(F.col(key_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "keys")
-    directory = build_directory(rows, limit)
+    own = [F.col(key_col).alias("doc_id"), hash_bits(F.col(key_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")]
+    keys = scratch.table(docs.select(*own), "keys")
+    directory = build_directory(keys, limit)
+    rows = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else keys
     placed = _place(rows, directory)
-    plain = placed.where(~F.col("over")).select("doc_id", "n_bytes", "depth", "prefix", F.lit(0).cast("long").alias("page"))
+    names = ["doc_id", "n_bytes", "depth", "prefix"]
+    kept = ["row"] if carry else []
+    plain = placed.where(~F.col("over")).select(*names, F.lit(0).cast("long").alias("page"), *kept)
     if not directory.overflow.any():
         return plain
-    return plain.unionByName(_pages(placed.where("over").select("doc_id", "n_bytes", "depth", "prefix"), limit, scratch))
+    return plain.unionByName(_pages(placed.where("over").select(*names, *kept), limit, scratch))
 
 
 def _place(rows: DataFrame, directory: Directory) -> DataFrame:
@@ -114,10 +119,9 @@ def _place(rows: DataFrame, directory: Directory) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = directory.find(batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(directory.depths[at]), pa.array(directory.prefixes[at]), pa.array(directory.overflow[at])], ["doc_id", "n_bytes", "depth", "prefix", "over"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(directory.depths[at]), pa.array(directory.prefixes[at]), pa.array(directory.overflow[at])], [*batch.schema.names, "depth", "prefix", "over"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(find, f"doc_id {kind}, n_bytes long, depth long, prefix long, over boolean")
+    return rows.mapInArrow(find, StructType([*rows.schema, *StructType.fromDDL("depth long, prefix long, over boolean")]))
 
 
 def _pages(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
@@ -138,21 +142,33 @@ def _pages(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
                 pages.append(page)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int64()), pa.array([part] * len(pages), pa.int64())], [*batch.schema.names, "page", "part"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
     salted = rows.withColumn("_s", F.rand(17)).repartitionByRange("prefix", "_s").sortWithinPartitions("prefix", "_s").drop("_s")
-    filled = scratch.table(salted.mapInArrow(fill, f"doc_id {kind}, n_bytes long, depth long, prefix long, page long, part long"), "pages")
+    filled = scratch.table(salted.mapInArrow(fill, StructType([*rows.schema, *StructType.fromDDL("page long, part long")])), "pages")
     used = filled.groupBy("prefix", "part").agg((F.max("page") + 1).alias("n"))
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("prefix").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = used.select("prefix", "part", before.alias("first"))
-    return filled.join(firsts, ["prefix", "part"]).select("doc_id", "n_bytes", "depth", "prefix", (F.col("page") + F.col("first")).alias("page"))
+    return filled.join(firsts, ["prefix", "part"]).select("doc_id", "n_bytes", "depth", "prefix", (F.col("page") + F.col("first")).alias("page"), *[c for c in ["row"] if c in rows.columns])
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, folder: str, key_col: str = "doc_id") -> None:
-    """Write each shard's documents as a folder of its own (needs unique keys)."""
-    named = shards.select(F.col("doc_id").alias(key_col), F.concat_ws("-", "depth", "prefix", "page").alias("shard"))
-    docs.join(named, key_col).repartition("shard").write.partitionBy("shard").parquet(folder)
+def write_shards(docs: DataFrame, limit: int, folder: str, scratch: Scratch, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write each shard's documents as a folder of its own, named depth-prefix-page, and return them as read back, with that name as ``shard``.
+
+    Each row of ``docs`` is in one shard, once, also those with a null or a
+    repeated key. ``docs`` has no column of the name ``shard``.
+    """
+    rows = shard_rows(docs, limit, scratch, key_col, text_col, carry=True)
+    named = rows.select("row.*", F.concat_ws("-", "depth", "prefix", "page").alias("shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(folder)
+    return docs.sparkSession.read.schema(StructType([*docs.schema, *StructType.fromDDL("shard string")])).parquet(folder)
+
+
+def names_of(shards: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, depth, prefix, page of the documents in written shards."""
+    name = F.split("shard", "-")
+    parts = [name[k].cast("long").alias(c) for k, c in enumerate(("depth", "prefix", "page"))]
+    return shards.select(F.col(key_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *parts)
 
 
 SQL = f"""

@@ -38,6 +38,24 @@ def test_repeated_and_large_keys_fill_pages(spark):
     assert len({r.page for r in got if r.doc_id == 7}) == len([1 for (d, p, g), x in pages.items() if x[0] == 40])
 
 
+def test_written_shards_hold_each_row_once(spark):
+    rows = [(7, "x" * 40, str(i), None) for i in range(500)] + [(8, "y" * 5000, "8", None), (None, "n" * 30, "a", None), (None, "n" * 30, "b", None), (9, None, "c", None)]
+    rows += [(100 + i, "z" * 70, "d", "e") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prefix string, n_bytes string")
+    scratch = Scratch(spark, "t")
+    read = sharding.write_shards(docs, 1000, scratch.path("shards"), scratch)
+    got = read.collect()
+    assert sorted(map(repr, (tuple(r)[:4] for r in got))) == sorted(map(repr, rows))
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(len(r.text or ""))
+    assert all(sum(x) <= 1000 or len(x) == 1 for x in shards.values())
+    assert len({r.shard for r in got if r.doc_id == 7}) >= 20
+    names = sharding.names_of(read).collect()
+    assert all(r.prefix == _hash(r.doc_id) >> (60 - r.depth) for r in names) and len(names) == len(rows)
+    assert sharding.write_shards(docs.limit(0), 1000, scratch.path("none"), scratch).count() == 0
+
+
 def test_small_and_empty_tables(spark):
     assert _shards(spark, [(1, "a", None, None)], 10)[0].depth == 0
     assert sharding.shard_rows(spark.createDataFrame([], "doc_id long, text string"), 10, Scratch(spark, "t")).count() == 0
