@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import committed
 from ..sources.store import Engine
 
 
@@ -25,10 +26,14 @@ def store_stream(changes: DataFrame, engine: Engine, name: str, checkpoint: str,
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def committed_stream(log: DataFrame, tx: str, ts: str, commit: Column, late: str = "10 minutes") -> DataFrame:
-    """Transactions of a streamed log that have a commit entry (update mode), with bounded state."""
-    windowed = log.withWatermark(ts, late).groupBy(F.window(ts, late), tx)
-    return windowed.agg(F.count(F.lit(1)).alias("n_entries"), F.bool_or(commit).alias("committed")).where("committed")
+def committed_stream(log: DataFrame, tx: str, ts: str, commit: Column) -> DataFrame:
+    """Transactions of a streamed log that have a commit entry (update mode): the batch form, with ``ts`` as sequence.
+
+    State is kept for every transaction, however long it lasts and however
+    late its entries come, so it grows with the number of transactions: a few
+    numbers each, which the RocksDB state store holds on disk.
+    """
+    return committed(log, F.col(tx), F.col(ts), commit).withColumnRenamed("tx_id", tx)
 
 
 def metric_stream(events: DataFrame, ts: str, operation: str, value: str, width: str = "1 minute", late: str = "1 minute") -> DataFrame:

@@ -124,3 +124,18 @@ def test_streams(spark, tmp_path):
         q = frame.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() > 0
+
+
+def test_committed_stream_counts_whole_transactions(spark, tmp_path):
+    minutes = [(1, 9, False), (1, 11, True), (2, 0, False), (2, 45, False), (2, 200, True), (2, 201, False), (3, 5, False), (4, 205, False), (4, 1, True)]
+    log = spark.createDataFrame(minutes, "tx long, m long, done boolean").withColumn("ts", F.timestamp_seconds(F.col("m") * 60))
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+    got = {}
+    for k in range(3):  # later entries come in later runs
+        log.where(F.col("m").between(*((0, 9), (10, 200), (201, 300))[k])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        frame = feeds.committed_stream(stream, "tx", "ts", F.col("done"))
+        q = frame.writeStream.foreachBatch(lambda b, _: got.update({r.tx: tuple(r) for r in b.collect()})).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    want = {r.tx_id: tuple(r) for r in storage.committed(log, F.col("tx"), F.col("ts"), F.col("done")).collect()}
+    assert got == want and {k: v[1] for k, v in got.items()} == {1: 2, 2: 4, 4: 2}
