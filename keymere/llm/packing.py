@@ -26,13 +26,17 @@ from .tokenize import encode_slice
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``length`` ids. A null text is empty and has the end id only."""
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", plain: bool = False) -> DataFrame:
+    """Pieces of at most ``length`` ids. A null text is empty and has the end id only.
+
+    Strings of special tokens get these tokens' ids, as the library does it by
+    itself, or are ordinary text with ``plain``.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in text_slices(batch.column(1)):
-                ids, ends = append_end(*encode_slice(part, tokenizer), end_id)
+                ids, ends = append_end(*encode_slice(part, tokenizer, plain), end_id)
                 sizes = np.diff(ends)
                 count = -(-sizes // length)
                 row = np.repeat(np.arange(len(sizes)), count)
@@ -117,9 +121,10 @@ def pack(pieces: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the rows of :func:`cut_pieces`.
 
     Full pieces are sequences of their own. Pieces are dealt by ranges of
-    (length, doc_id, start), so a very common length lies in many partitions;
-    a task needs the counts per length of the partitions before it: at most a
-    row per partition and length, and each partition holds few lengths.
+    (length, doc_id, start), equal ones at random, so neither a very common
+    length nor a much repeated row makes a large partition; a task needs the
+    counts per length of the partitions before it: at most a row per partition
+    and length, and each partition holds few lengths.
     """
     columns = pieces.columns
     names = [*columns, "_part", "_rank"]
@@ -140,7 +145,8 @@ def pack(pieces: DataFrame, length: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part), pa.int64()), pa.array(ranks, pa.int64())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.repartitionByRange("length", "doc_id", "start", "ids_crc32").sortWithinPartitions("length", "doc_id", "start", "ids_crc32")
+    order = ["length", "doc_id", "start", "ids_crc32"]
+    dealt = pieces.withColumn("_deal", F.rand(5)).repartitionByRange(*order, "_deal").sortWithinPartitions(*order).drop("_deal")
     ordered = scratch.table(dealt.mapInArrow(rank, schema + ", _part long, _rank long"), "ordered")
     before: dict[tuple[int, int], int] = {}
     total: dict[int, int] = defaultdict(int)
@@ -176,7 +182,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratc
 
     Each id of each document lies in exactly one piece. Offsets of a sequence
     have no gaps; the room that is left at its end is padding. Rows of equal
-    id and text are packed as often as they occur. Other columns are ignored.
+    id and text are packed as often as they occur. A null text has the end id
+    only, a null id stays null, an empty table gives no rows, and a very long
+    text is cut into as many pieces as it needs. Other columns are ignored.
     """
     pieces = cut_pieces(docs, tokenizer, end_id, length, with_ids, **names)
     return pack(scratch.table(pieces, "pieces"), length, scratch)

@@ -14,9 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; the arrays over them take some thirty times as much.
 SLICE_BYTES = 2 << 20
-#: UTF-8 lead bytes or pairs of white space beyond ASCII, and the four separators
-#: that Python counts as white space but the tokenizers don't.
-_ODD_SPACE = tuple(chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: White space beyond ASCII in UTF-8, its two or three bytes as a number.
+_ODD_SPACE = np.array([int.from_bytes(chr(x).encode(), "big") for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -43,11 +42,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def pieces(raw: np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
-    """Cut ``raw`` at ``starts`` (ascending, the first 0) and encode the distinct pieces (as binary)."""
+def pieces(raw: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """Cut ``raw`` at ``starts`` (ascending, the first 0)."""
     ends = np.append(starts, len(raw)).astype(np.int32)
-    array = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
-    return array.dictionary_encode()
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
 def is_space(raw: np.ndarray) -> np.ndarray:
@@ -73,7 +71,7 @@ class Words:
             cut[rows[:-1][rows[:-1] < len(raw)]] = True
             cut[-1] = False
         starts = np.flatnonzero(cut)
-        encoded = pieces(raw, starts) if len(starts) else None
+        encoded = pieces(raw, starts).dictionary_encode() if len(starts) else None
         real = word[starts] if len(starts) else np.zeros(0, bool)
         ends = np.append(starts[1:], len(raw))
         self.starts, self.ends = starts[real], ends[real]
@@ -114,9 +112,17 @@ def chunk_starts(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def has_odd_space(raw: np.ndarray) -> bool:
-    data = raw.tobytes()
-    return any(x in data for x in _ODD_SPACE)
+def odd_rows(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The rows that have white space beyond ASCII."""
+    lead = np.zeros(256, bool)
+    lead[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+    at = np.flatnonzero(lead[raw])
+    if not len(at):
+        return at
+    near = np.append(raw, [0, 0]).astype(np.int32)
+    two = near[at] << 8 | near[at + 1]
+    found = at[np.isin(np.where(near[at] == 0xC2, two, two << 8 | near[at + 2]), _ODD_SPACE)]
+    return np.unique(np.searchsorted(rows, found, "right") - 1)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> np.ndarray:

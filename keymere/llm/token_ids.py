@@ -110,17 +110,22 @@ class ShardReader:
             at = to
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary_size: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary_size: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", plain: bool = False) -> DataFrame:
     """Encode ``docs`` into shard files below ``folder``; returns their manifest (lazily).
 
     Documents are in ascending id order over all shards: a range partitioning,
     so no task holds more than its share. A null text is empty, a null id comes
-    first. Rows of equal id are ordered by a hash of the text, so a repeated id
-    doesn't make a large partition. Other columns are ignored.
+    first. Rows of equal id are ordered by a hash of the text, and equal rows
+    are dealt at random, so neither a repeated id nor a repeated row makes a
+    large partition; each row is written. A very long text is encoded by
+    itself. An empty table has an empty manifest. Other columns are ignored.
+    Strings of special tokens get these tokens' ids, as the library does it by
+    itself, or are ordinary text with ``plain``.
     """
     width = 2 if vocabulary_size <= 1 << 16 else 4
     key = F.xxhash64(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), key.alias("k")).repartitionByRange("id", "k").sortWithinPartitions("id", "k", "t").select("id", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), key.alias("k"), F.rand(3).alias("r"))
+    rows = rows.repartitionByRange("id", "k", "r").sortWithinPartitions("id", "k", "t").select("id", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,7 +138,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             out = out or ShardWriter(uri, width)
             numbers = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             for at, part in text_slices(batch.column(1)):
-                ids, ends = append_end(*encode_slice(part, tokenizer), end_id)
+                ids, ends = append_end(*encode_slice(part, tokenizer, plain), end_id)
                 out.write(numbers[at : at + len(part)], ids, ends)
         if out:
             n = out.close()

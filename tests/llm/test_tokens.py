@@ -3,23 +3,25 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keymere.llm import packing, token_ids
+from keymere.llm import packing, token_ids, tokenize
 from keymere.llm.elias_fano import EliasFano
 from keymere.llm.queries import vocabulary
 from keymere.llm.scratch import Scratch
+from keymere.llm.text import text_slices
+from keymere.llm.tokenize import encode_slice
 
-TEXTS = ["", None, "Hello, world.\nNext  line", " two  spaces ", "déjà vu… x", "a" * 3000, "one two " * 4000, " odd space\x1c!", "Hello, world.\nNext  line", "\n\n", "日本 語"]
+TEXTS = ["", None, "Hello, world.\nNext  line", " two  spaces ", "déjà vu… x", "a" * 3000, "one two " * 4000, " odd space\x1c!", "Hello, world.\nNext  line", "\n\n", "日本 語", "a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "no\u00a0break, Ünïcode Ǆ İ"]
 
 
 def _ids(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -46,6 +48,45 @@ def test_elias_fano_is_small():
     assert bits < 2.3 + np.log2(1000) + 0.5
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["Word", " the", "dÉjà", "ŉ", "İ", "ß", "ǆ", "µ", "×", "don't", "'s", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\u00a0", "\u3000", ".", ",", "42", "<|endoftext|>", "<|startoftext|>", "<|", "日本", "e\u0301", "😀", "Ω"]) | st.text(max_size=5), max_size=12).map("".join), max_size=5), st.booleans())
+def test_ids_are_those_of_the_library(name, texts, plain):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary(name))
+    whole.encode_special_tokens = plain
+    for at, part in text_slices(pa.array(texts, pa.string())):
+        ids, ends = encode_slice(part, vocabulary(name), plain)
+        for i in range(len(part)):
+            assert ids[ends[i] : ends[i + 1]].tolist() == whole.encode(texts[at + i], add_special_tokens=False).ids
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenize, "CACHE_PIECES", 200)
+    cache = tokenize.PieceCache(vocabulary("byte_bpe_50k.json"))
+    monkeypatch.setitem(tokenize._CACHES, ("small", False), cache)
+    whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        text = " ".join(f"w{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in rng.integers(0, 150, 80)) + " the the the"
+        ids, _ = encode_slice(next(text_slices(pa.array([text])))[1], "small")
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(cache.known) <= 200 + 85 and b" the" in cache.known.to_pylist()
+
+
+def test_copies_of_a_row_are_dealt_out(spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    docs = spark.range(4000).selectExpr("cast(5 as long) as doc_id", "'the same text' as text")
+    manifest = token_ids.token_corpus(docs, vocabulary("word_bpe_49k.json"), 1, Scratch(spark, "t")).collect()
+    assert len(manifest) > 1 and max(x.n_docs for x in manifest) < 3000 and sum(x.n_docs for x in manifest) == 4000
+    packed = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), 0, Scratch(spark, "t"), 64)
+    assert packed.select("sequence_id", "offset").distinct().count() == 4000
+
+
 def test_token_shards(spark):
     docs, rows = _docs(spark)
     manifest = token_ids.token_corpus(docs, vocabulary("word_bpe_49k.json"), 1, Scratch(spark, "t"))
