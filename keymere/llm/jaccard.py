@@ -7,15 +7,18 @@ in R-trees, whose boxes bound all points below them in the same way. What
 survives is verified on the whole shingle sets.
 
 With this many coordinates a single tree over a corpus prunes little above its
-leaves, so trees are built over blocks: documents that agree in a band of
-min-hashes. With ``BANDS`` bands of ``ROWS`` a pair at the threshold of 0.8
-misses all of them with a chance of 1e-6, and closer pairs far more rarely.
-
-Equal sets are one class from the start. In each block a first round links
-documents to a central one only, so groups of copies cost a comparison per
-copy; the second round takes all pairs between different components. The
-links of each document are counted in a third pass over all pairs inside the
-components, which keeps sums only.
+leaves, so trees are built over blocks that can't separate a pair: two sets of
+at least 80 % similarity, each put in one and the same order, share one of
+their first n - ceil(0.8 n) + 1 shingles. There is a block for each shingle
+that is such a first one of several sets. The order has common shingles last
+(any order is right), so that a passage of many documents makes no large
+blocks; blocks that are large all the same are cut by the sizes of the sets.
+
+Equal sets are one class from the start. A first round links documents to a
+central one of a few of their blocks, so groups of copies cost a comparison
+per copy; the second round takes all pairs of different components in all
+blocks. The links of each document are counted in a third pass over all pairs
+inside the components, which keeps sums only.
 """
 
 from __future__ import annotations
@@ -35,23 +38,23 @@ SHINGLE = 5
 SHARE = 80
 #: Groups (a power of two): with as many as a usual document has shingles, the bound is close to the overlap itself.
 GROUPS = 256
-BANDS, ROWS = 26, 4
-#: Central documents tried in a block's first round.
-CENTERS = 24
+#: Blocks of a document that the first round looks at, and central documents tried in each.
+FIRST_BLOCKS, CENTERS = 4, 24
+#: A shingle is common from this sum of its repetitions within ``CHUNK`` shingles on; so many at most are known to be (12 bytes each, sent to all tasks).
+COMMON, MOST_COMMON, CHUNK = 32, 1 << 18, 1 << 20
 #: Points per leaf and children per node of a tree.
 LEAF, FAN = 32, 16
-#: Members of a block that one task compares with each other; larger blocks are compared tile by tile.
+#: Blocks of more members are cut by size: a set is compared with those of its size class and the next. A class is a factor of 1.26, so that no pair is lost.
+CUT_BLOCKS = 512
+#: Members of a block that one task compares with each other; what is larger is compared tile by tile.
 TILE = 4096
 #: Sets, and shingles in them, of a component that one task compares with as many others when links are counted.
 LINK_TILE, LINK_SHINGLES = 2048, 1 << 21
-#: Rows of a block held at once in the first round, which need not be exact.
-CHUNK = 20_000
+#: Pairs of small blocks compared at once.
+PAIRS = 8192
 #: Up to so many ids (8 bytes each) are sent to all tasks to pick their texts; more are joined.
 SENT_IDS = 1 << 20
-_RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-SIGNATURE = "doc_id long, n_shingles long, fp binary, bands array<long>, point binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, fp binary, firsts array<long>, point binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,16 +93,53 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def min_hash_bands(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 2048):
-            part = shingles[at : at + 2048]
-            np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=low)
-        key = np.arange(BANDS, dtype=np.uint64)
-        for k in range(ROWS):
-            key = _mix(key * np.uint64(31) + low[k::ROWS])
-    return key.view(np.int64)
+def first_shingles(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Those of which sets of at least 80 % similarity share one: the first ones in the order of (rank, value).
+
+    common: ascending values of common shingles; rank: theirs, all others have
+    0; seen: a bitmap of common values by their last bits.
+    """
+    n = len(shingles)
+    most = n - -(-SHARE * n // 100) + 1
+    maybe = np.flatnonzero(seen[shingles & np.uint64(len(seen) - 1)])
+    if not len(maybe):
+        return shingles[:most]
+    at = np.minimum(np.searchsorted(common, shingles[maybe]), len(common) - 1)
+    own = np.zeros(n, rank.dtype)
+    own[maybe] = np.where(common[at] == shingles[maybe], rank[at], 0)
+    return shingles[np.argsort(own, kind="stable")[:most]]
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(values in ascending order, rank) of the commonest shingles of all texts; rank is the binary logarithm of the count.
+
+    Counted are repetitions within ``CHUNK`` shingles of a task, so all but
+    rare ones meet in the sums. At most ``MOST_COMMON`` are returned.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def repeated() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["s", "n"])
+
+        for batch in batches:
+            for _, part in text_slices(batch.column(0)):
+                for shingles in shingle_sets(part):
+                    held.append(shingles)
+                    size += len(shingles)
+                    if size > CHUNK:
+                        yield repeated()
+                        held, size = [], 0
+        if held:
+            yield repeated()
+
+    found = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    rows = found.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    value = rows["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], np.log2(np.maximum(rows["n"].to_numpy(np.int64), 1)).astype(np.uint8)[order]
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -121,20 +161,28 @@ def unpacked(data: list[bytes]) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text."""
+    common, rank = common_shingles(docs)
+    seen = np.zeros(1 << max(16, min(24, len(common).bit_length() + 4)), bool)
+    seen[common & np.uint64(len(seen) - 1)] = True
+    sent = docs.sparkSession.sparkContext.broadcast((common, rank, np.packbits(seen)))
+    names = [x.split()[0] for x in SIGNATURE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank, bits = sent.value
+        order = common, rank, np.unpackbits(bits).astype(bool)
         for batch in batches:
-            for at, part in text_slices(batch.column(1)):
-                n, fp, bands, points = [], [], [], []
+            for at, part in text_slices(batch.column(2)):
+                own = batch.slice(at, len(part))
+                n, fp, firsts, points = [], [], [], []
                 for s in shingle_sets(part):
                     n.append(len(s))
-                    p = point(s)
                     fp.append(fingerprint(s) if len(s) else None)
-                    bands.append(min_hash_bands(s) if len(s) else None)
-                    points.append(packed(p))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(points, pa.binary())], [x.split()[0] for x in SIGNATURE.split(", ")])
+                    firsts.append(first_shingles(s, *order).view(np.int64) if len(s) else None)
+                    points.append(packed(point(s)))
+                columns = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(points, pa.binary())]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *columns], names)
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
 class Points:
@@ -197,8 +245,8 @@ class CountTree:
 _MIXED = np.iinfo(np.int64).min
 
 
-def _central_links(rows: Points) -> list[tuple[int, int]]:
-    """Pairs of each row with a central one near enough, for a few central rows."""
+def _central_links(rows: Points) -> list[np.ndarray]:
+    """Pairs (row numbers) of each row with a central one near enough, for a few central rows."""
     left, out = np.arange(len(rows.ids)), []
     for _ in range(CENTERS):
         if len(left) < 2:
@@ -207,85 +255,91 @@ def _central_links(rows: Points) -> list[tuple[int, int]]:
         center = int(left[np.argmin(np.abs(rows.points[left] - mean).sum(axis=1))])
         others = left[left != center]
         near = rows.near(center, others)
-        out += [(int(rows.ids[center]), int(rows.ids[j])) for j in near if rows.ids[center] != rows.ids[j]]
+        out.append(np.stack([np.full(len(near), center), near]))
         left = np.setdiff1d(others, near, assume_unique=True)
     return out
 
 
-def _cross_pairs(rows: Points) -> list[tuple[int, int]]:
-    """All pairs of rows of different components that are near enough."""
+def _cross_pairs(rows: Points) -> list[np.ndarray]:
+    """All pairs (row numbers) of rows of different components that are near enough."""
     tree, out = CountTree(rows), []
     for i in range(len(rows.ids)):
-        for j in tree.search(i):
-            if rows.ids[i] < rows.ids[j]:
-                out.append((int(rows.ids[i]), int(rows.ids[j])))
+        near = tree.search(i)
+        near = near[near > i]
+        if len(near):
+            out.append(np.stack([np.full(len(near), i), near]))
     return out
 
 
-def _block_pairs(blocks: DataFrame, exact: bool) -> DataFrame:
-    """(a, b), a < b, from rows (key, id, n, point, component), each block in one task and sorted."""
+def _leaf_pairs(rows: Points, firsts: np.ndarray, sizes: np.ndarray, exact: bool) -> list[np.ndarray]:
+    """The same for many blocks that fit a leaf each, at (firsts, sizes): all pairs of a block, or its first row with the others."""
+    out = []
+    for size in np.unique(sizes):
+        a, b = np.triu_indices(int(size), 1) if exact else (np.zeros(size - 1, np.int64), np.arange(1, size))
+        at = firsts[sizes == size]
+        step = max(1, PAIRS // len(a))
+        for k in range(0, len(at), step):
+            x, y = ((at[k : k + step, None] + own).ravel() for own in (a, b))
+            other = rows.components[x] != rows.components[y]
+            x, y = x[other], y[other]
+            most = np.minimum(np.minimum(rows.points[x], rows.points[y]).sum(axis=1), np.minimum(rows.sizes[x], rows.sizes[y]))
+            ok = (100 + SHARE) * most >= SHARE * (rows.sizes[x] + rows.sizes[y])
+            out.append(np.stack([x[ok], y[ok]]))
+    return out
 
-    def rows_of(parts: list[tuple[np.ndarray, ...]]) -> Points:
-        ids, n, points, comp = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
-        return Points(ids, n, points, comp)
 
-    def solve(rows: Points) -> list[tuple[int, int]]:
-        if len(rows.ids) < 2:
-            return []
-        return _cross_pairs(rows) if exact else _central_links(rows)
+def _block_pairs(blocks: DataFrame, exact: bool) -> DataFrame:
+    """(a, b), a < b, from rows (key, id, n, point, component), each block in one task and sorted by key."""
+
+    def solve(keys: np.ndarray, rows: Points) -> pa.RecordBatch | None:
+        """Pairs of whole blocks."""
+        firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(firsts, len(keys)))
+        small = (sizes > 1) & (sizes <= LEAF)
+        found = _leaf_pairs(rows, firsts[small], sizes[small], exact)
+        for a, n in zip(firsts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+            own = slice(a, a + n)
+            part = Points(rows.ids[own], rows.sizes[own], rows.points[own], rows.components[own])
+            found += [x + a for x in (_cross_pairs(part) if exact else _central_links(part))]
+        if not found:
+            return None
+        a, b = rows.ids[np.concatenate(found, axis=1)]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []  # rows of blocks that aren't known to be whole
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            ids, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            points = unpacked(batch.column(3).to_pylist())
-            comp = batch.column(4).to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            pairs: list[tuple[int, int]] = []
-            if held and held[0][0][0] != key[0]:
-                pairs += solve(rows_of(held))
-                held = []
-            sizes = np.diff(cuts)
-            inner = np.arange(1 if held else 0, len(sizes) - 1)
-            two = cuts[inner[sizes[inner] == 2]]
-            if len(two):  # most blocks are pairs: all at once
-                most = np.minimum(np.minimum(points[two], points[two + 1]).sum(axis=1), np.minimum(n[two], n[two + 1]))
-                ok = ((100 + SHARE) * most >= SHARE * (n[two] + n[two + 1])) & (ids[two] != ids[two + 1])
-                if exact:
-                    ok &= comp[two] != comp[two + 1]
-                pairs += zip(ids[two[ok]].tolist(), ids[two[ok] + 1].tolist())
-            for k in range(len(sizes)):
-                a, b = cuts[k], cuts[k + 1]
-                edge = k == len(sizes) - 1 or (held and k == 0)
-                if sizes[k] == 2 and not edge or sizes[k] == 1 and not edge:
-                    continue
-                part = (key[a:b], ids[a:b], n[a:b], points[a:b], comp[a:b])
-                if not edge:
-                    pairs += solve(rows_of([part]))
+            for at in range(0, batch.num_rows, TILE):
+                part = batch.slice(at, TILE)
+                key = part.column(0).to_numpy()
+                new = (key, part.column(1).to_numpy(), part.column(2).to_numpy(), unpacked(part.column(3).to_pylist()), part.column(4).to_numpy())
+                last = int(np.searchsorted(key, key[-1], "left"))  # where the last block begins
+                if last == 0 and (not held or held[0][0][-1] == key[0]):
+                    held.append(new)
                     continue
-                held.append(part)
-                if k < len(sizes) - 1:
-                    pairs += solve(rows_of(held))
-                    held = []
-                elif not exact and sum(len(p[0]) for p in held) > CHUNK:
-                    pairs += solve(rows_of(held))
-                    held = []
-            if pairs:
-                a, b = np.array(pairs, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        if held and (pairs := solve(rows_of(held))):
-            a, b = np.array(pairs, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                held.append(tuple(x[:last] for x in new))
+                keys, *rest = (np.concatenate(x) for x in zip(*held))
+                found = solve(keys, Points(rest[0], rest[1], rest[2], rest[3]))
+                held = [tuple(x[last:] for x in new)]
+                if found is not None:
+                    yield found
+        if held:
+            keys, *rest = (np.concatenate(x) for x in zip(*held))
+            found = solve(keys, Points(rest[0], rest[1], rest[2], rest[3]))
+            if found is not None:
+                yield found
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "fp"), "id"), f"{name}-ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.table(ids.join(classes.select("id", "fp", "doc_id", "text_hash"), "id"), f"{name}-ids")
     wanted = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +350,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Sc
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["id", "s"])
 
-    texts = docs.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "text", "fp")
+    same = (docs["doc_id"].eqNullSafe(wanted["doc_id"])) & (docs["text_hash"] == wanted["text_hash"])
+    texts = docs.join(wanted, same).select(wanted["id"], "text", "fp")
     table = scratch.table(texts.mapInArrow(sets, "id long, s binary"), f"{name}-sets").dropDuplicates(["id"])
     both = pairs.join(table.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(table.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -378,55 +433,93 @@ def _link_counts(sets: DataFrame, found: DataFrame, copies: DataFrame) -> DataFr
     return tiled.groupBy("component", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
-def similar_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and with ``count_links`` n_links.
+def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """(signatures of the rows, what is known of each class of equal sets: fp, component_id, component, first, n_links).
 
-    Documents link when the Jaccard similarity of their shingle sets is at
-    least 0.8; ``component_id`` is the smallest doc_id reachable, and
-    ``n_links`` the number of other rows that the row links with, copies
-    included. Null texts and texts without words have no shingles and are
-    alone. Documents of one id and different texts are joined if their texts'
-    classes have the same smallest id, and then compare with others by one of
-    these texts. A null id takes the component of its text, if another row has
-    that text with an id; else it links with nothing. Other columns are
-    ignored.
+    ``component`` numbers the component; ``first`` is (no id, doc_id,
+    text_hash) of the row with its smallest id. Docs: doc_id, text.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.table(signatures(own), "signatures")
-    classes = scratch.table(signed.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("rep is not null"), "classes")
-    reps = scratch.table(signed.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "point"), "reps")
-    members = reps.select("id", F.explode("bands").alias("key"))
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    signed = scratch.table(signatures(docs), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    facts = [F.first(c).alias(c) for c in ("n_shingles", "firsts", "point")]
+    classes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), *facts)
+    # the number of a class is that of its row in the written table
+    classes = scratch.table(classes.select("fp", "first", "first.doc_id", "first.text_hash", "copies", F.col("n_shingles").alias("n"), "firsts", "point", F.monotonically_increasing_id().alias("id")), "classes")
+    members = classes.select("id", "n", F.explode("firsts").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.table(members.join(shared, "key"), "members")
-    facts = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "point")
+    points = classes.select("id", "point")
 
-    def blocks(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.join(facts, "id").repartition(*keys).sortWithinPartitions(*keys)
+    def blocks(rows: DataFrame) -> DataFrame:
+        return rows.join(points, "id").repartition("key").sortWithinPartitions("key").select("key", "id", "n", "point", "component")
 
-    first = blocks(members.withColumn("component", F.col("id")), "key").select("key", "id", "n", "point", "component")
+    # the first round: the blocks whose hashes are smallest, which copies have in common, in parts of at most a tile or so
+    part = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / TILE))
+    chosen = members.groupBy("id", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key", "size"))), 1, FIRST_BLOCKS).alias("b"))
+    chosen = chosen.select("id", "n", F.explode("b").alias("b")).select("id", "n", "b.key", "b.size")
+    first = blocks(chosen.withColumn("key", F.xxhash64("key", part)).withColumn("component", F.col("id")))
     tried = scratch.table(_block_pairs(first, exact=False).distinct(), "first")
     links = scratch.table(_verified(tried, own, classes, scratch, "first"), "first-links")
     found = components(links, scratch, "first-components")
 
+    # the second: all pairs of different components
     rows = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    level = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("size") > CUT_BLOCKS, F.array(level, level - 1)).otherwise(F.array(F.lit(-9)))))
+    mixed = rows.groupBy("key", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(mixed, ["key", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "own").alias("i"), F.greatest(t, "own").alias("j")))
-    tiled = rows.withColumn("t", F.explode(tiles)).select(F.xxhash64("key", "t.i", "t.j").alias("key"), "id", "component")
-    second = blocks(tiled, "key").select("key", "id", "n", "point", "component")
-    pairs = _block_pairs(second, exact=True).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = scratch.table(pairs, "second")
+    tiled = rows.withColumn("t", F.explode(tiles)).select(F.xxhash64("key", "cell", "t.i", "t.j").alias("key"), "id", "n", "component")
+    pairs = scratch.table(_block_pairs(blocks(tiled), exact=True).distinct().join(tried, ["a", "b"], "left_anti"), "second")
     named = ["first-sets"]
     if not pairs.isEmpty():
         links = links.unionByName(scratch.table(_verified(pairs, own, classes, scratch, "second"), "second-links"))
         found = components(links, scratch, "second-components")
         named.append("second-sets")
-    known = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "fp", "copies", F.coalesce("component", "rep").alias("component_id"))
+    known = classes.select("id", "fp", "first", "copies").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = known.groupBy("component").agg(F.min("first").alias("least"))
+    known = known.drop("first").join(least, "component").withColumn("component_id", F.col("least.doc_id"))
     if count_links:
         sets = scratch.spark.read.schema("id long, s binary").parquet(*map(scratch.path, named)).dropDuplicates(["id"])
-        linked = scratch.table(_link_counts(sets, found, classes.groupBy(F.col("rep").alias("id")).agg(F.sum("copies").alias("copies"))), "linked")
-        known = known.join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).drop("linked")
-    known = scratch.table(known.drop("rep", "copies"), "known")
+        linked = scratch.table(_link_counts(sets, found, classes.select("id", "copies")), "linked")
+        known = known.join(linked, "id", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).drop("linked")
+    return signed, scratch.table(known.drop("id", "copies"), "known")
+
+
+def similar_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and with ``count_links`` n_links.
+
+    Documents link when the Jaccard similarity of their shingle sets is at
+    least 0.8; ``component_id`` is the smallest doc_id reachable, itself
+    included, and ``n_links`` the number of other rows that the row links
+    with, copies included. Null texts and texts without words have no shingles
+    and are alone. Rows are told apart by their texts, not by their ids: rows
+    of one id and different texts link only if their texts do. A null id links
+    like any other and is never the smallest, so ``component_id`` is null only
+    where no row reached has an id. An empty table gives no rows; other
+    columns are ignored.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed, known = _classes(own, scratch, count_links)
     out = signed.select("doc_id", "n_shingles", "fp").join(known, "fp", "left")
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
+    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *n_links)
+
+
+def first_of_similar(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, but of similar ones only the one with the smallest id.
+
+    Of rows with that id and the same text one stays. Rows without shingles
+    are similar to nothing and all stay, and so do rows with a null id if
+    nothing similar has an id (one of them).
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed, known = _classes(own, scratch, False)
+    chosen = known.select(F.col("least.doc_id").alias("_i"), F.col("least.text_hash").alias("_h")).distinct()
+    alone = signed.where("n_shingles = 0").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    wanted = scratch.table(chosen.withColumn("_one", F.lit(True)).unionByName(alone.withColumn("_one", F.lit(False))), "wanted")
+    hashed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.xxhash64(text_col)})
+    rows = hashed.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h")))
+    rows = rows.withColumn("_copy", F.when(F.col("_one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_id", "_text", "_copy"]).select(*[F.col(f"`{c}`") for c in docs.columns])

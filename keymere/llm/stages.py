@@ -37,10 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest id. Of repeated rows one stays; rows without an id go."""
-    groups = jaccard.similar_components(docs.select("doc_id", "text"), _scratch(spark, "stage-jaccard"), count_links=False)
-    first = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(first.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of similar ones: that with the smallest id (see :func:`jaccard.first_of_similar`)."""
+    return jaccard.first_of_similar(docs, _scratch(spark, "stage-jaccard"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,16 +137,52 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
     run = lambda: sorted(tuple(r)[:3] for r in jaccard.similar_components(docs, Scratch(spark, "t")).collect())
     want = _components(rows)
     assert run() == want
-    monkeypatch.setattr(jaccard, "TILE", 4)  # blocks are compared tile by tile
-    monkeypatch.setattr(jaccard, "CENTERS", 1)
     monkeypatch.setattr(jaccard, "SENT_IDS", 0)
+    monkeypatch.setattr(jaccard, "COMMON", 2)  # common shingles come last
     assert run() == want
+    # blocks are cut by size and compared tile by tile, few of them in the first round, all but the smallest by trees
+    for name, value in (("CUT_BLOCKS", 6), ("TILE", 4), ("CENTERS", 1), ("FIRST_BLOCKS", 1), ("LEAF", 3), ("FAN", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert run() == want
+
+
+def test_jaccard_query_against_all_pairs(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(tuple(r)[:3] for r in QUERIES["op9_jaccard_join"](spark, "/root/testdata/sf0.01").collect())
+    assert got == _components(list(zip(docs.doc_id, docs.text)))
+
+
+def test_first_shingles_are_shared_by_similar_sets():
+    rng = np.random.default_rng(9)
+    common = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    rank = rng.integers(5, 9, len(common)).astype(np.uint8)
+    seen = np.zeros(1 << 16, bool)
+    seen[common & np.uint64((1 << 16) - 1)] = True
+    for n in (1, 2, 4, 5, 6, 9, 10, 40, 333):
+        for _ in range(40):
+            base = np.concatenate([rng.choice(common, min(n // 2, 250), replace=False), rng.integers(0, 1 << 63, n - min(n // 2, 250), dtype=np.uint64)])
+            cut = n // 5  # a set of 80 % of the elements is just similar enough
+            x, y = np.unique(base), np.unique(rng.permutation(base)[cut:])
+            assert 100 * len(np.intersect1d(x, y)) >= jaccard.SHARE * len(np.union1d(x, y))
+            assert len(np.intersect1d(*(jaccard.first_shingles(z, common, rank, seen) for z in (x, y))))
+
+
+def test_first_of_similar(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 2), (None, "a b c d e f", 3), (5, "other words of the same id here", 4), (None, "words without an id at all", 5)]
+    rows += [(None, "words without an id at all", 6), (7, None, 7), (8, "", 8), (8, "", 9), (2, long, 10), (1, long + " end", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    got = [tuple(r) for r in jaccard.first_of_similar(docs, Scratch(spark, "t")).collect() if r.text_hash not in (1, 2, 5, 6)]
+    assert set(got) == {rows[k] for k in (3, 6, 7, 8, 10)}
+    kept = [r.text_hash for r in jaccard.first_of_similar(docs, Scratch(spark, "t")).collect()]
+    assert len(kept) == 7 and len({1, 2} & set(kept)) == len({5, 6} & set(kept)) == 1
+    assert jaccard.first_of_similar(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
 def test_jaccard_repeats_nulls_and_nothing(spark):
-    docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e F"), (None, None), (7, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e F"), (None, None), (7, None), (9, "long " * 30_000 + "x y z u v")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs, Scratch(spark, "t")).collect()), key=str)
-    assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (9, 2, 5), (None, 0, None), (7, 0, 7)], key=str)
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (9, 2, 5), (None, 0, None), (7, 0, 7), (9, 6, 9)], key=str)
     assert jaccard.similar_components(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
