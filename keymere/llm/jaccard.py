@@ -10,9 +10,10 @@ With this many coordinates a single tree over a corpus prunes little above its
 leaves, so trees are built over blocks that can't separate a pair: two sets of
 at least 80 % similarity, each put in one and the same order, share one of
 their first n - ceil(0.8 n) + 1 shingles. There is a block for each shingle
-that is such a first one of several sets. The order has common shingles last
-(any order is right), so that a passage of many documents makes no large
-blocks; blocks that are large all the same are cut by the sizes of the sets.
+that is such a first one of several sets, for one of them among the first
+n - ceil(8 n / 9) + 1, as it is for the smaller set of a similar pair. The
+order has common shingles last (any order is right), so that a passage of many
+documents makes no large blocks; blocks are cut by the sizes of the sets.
 
 Equal sets are one class from the start. A first round links documents to a
 central one of a few of their blocks, so groups of copies cost a comparison
@@ -36,22 +37,24 @@ from .text import Words, text_slices
 SHINGLE = 5
 #: Similarity of at least SHARE percent links: SHARE * union <= 100 * intersection.
 SHARE = 80
-#: Groups (a power of two): with as many as a usual document has shingles, the bound is close to the overlap itself.
-GROUPS = 256
+#: Groups of the points in the trees, and of the finer points by which pairs are bounded that the trees leave (powers of two).
+GROUPS, FINE = 256, 4096
 #: Blocks of a document that the first round looks at, and central documents tried in each.
 FIRST_BLOCKS, CENTERS = 4, 24
 #: A shingle is common from this sum of its repetitions within ``CHUNK`` shingles on; so many at most are known to be (12 bytes each, sent to all tasks).
 COMMON, MOST_COMMON, CHUNK = 32, 1 << 18, 1 << 20
 #: Points per leaf and children per node of a tree.
 LEAF, FAN = 32, 16
-#: Blocks of more members are cut by size: a set is compared with those of its size class and the next. A class is a factor of 1.26, so that no pair is lost.
-CUT_BLOCKS = 512
+#: Factor of a size class: a set is compared with those of its class and the next, so it must be more than 1.25.
+SIZE_CLASS = 1.26
+#: A pair that meets in several blocks is taken in one, if these many smallest block keys of both have one in common.
+LEAST_KEYS = 6
 #: Members of a block that one task compares with each other; what is larger is compared tile by tile.
 TILE = 4096
 #: Sets, and shingles in them, of a component that one task compares with as many others when links are counted.
 LINK_TILE, LINK_SHINGLES = 2048, 1 << 21
-#: Pairs of small blocks compared at once.
-PAIRS = 8192
+#: Pairs compared at once.
+PAIRS = 4096
 #: Up to so many ids (8 bytes each) are sent to all tasks to pick their texts; more are joined.
 SENT_IDS = 1 << 20
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, fp binary, firsts array<long>, point binary"
@@ -93,6 +96,11 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def first_count(n: int) -> int:
+    """How many first shingles a set of n needs to share one with each similar set."""
+    return n - -(-SHARE * n // 100) + 1
+
+
 def first_shingles(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Those of which sets of at least 80 % similarity share one: the first ones in the order of (rank, value).
 
@@ -100,7 +108,7 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, s
     0; seen: a bitmap of common values by their last bits.
     """
     n = len(shingles)
-    most = n - -(-SHARE * n // 100) + 1
+    most = first_count(n)
     maybe = np.flatnonzero(seen[shingles & np.uint64(len(seen) - 1)])
     if not len(maybe):
         return shingles[:most]
@@ -143,20 +151,37 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
+    return np.bincount((shingles >> np.uint64(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts in 8 or 16 bits; nothing if one is larger, which bounds nothing."""
-    top = int(counts.max())
-    return b"" if top >= 1 << 16 else counts.astype("u1" if top < 256 else "<u2").tobytes()
+def packed(shingles: np.ndarray) -> bytes:
+    """The counts of an ascending set in ``FINE`` groups, which are its first bits.
 
-
-def unpacked(data: list[bytes]) -> np.ndarray:
-    out = np.empty((len(data), GROUPS), np.int32)
+    Either the steps between the groups of its shingles, in bytes (255 goes
+    on), or the counts themselves; nothing if one is over 255, which bounds
+    nothing.
+    """
+    group = (shingles >> np.uint64(65 - FINE.bit_length())).astype(np.int64)
+    if len(group) < FINE // 2:
+        step = np.diff(group, prepend=0)
+        more = step // 255
+        out = np.full(len(step) + int(more.sum()), 255, np.uint8)
+        out[np.cumsum(more + 1) - 1] = step % 255
+        return b"s" + out.tobytes()
+    counts = np.bincount(group, minlength=FINE)
+    return b"" if counts.max() > 255 else b"c" + counts.astype(np.uint8).tobytes()
+
+
+def unpacked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts in ``FINE`` groups, which rows have them)."""
+    out, known = np.zeros((len(data), FINE), np.uint8), np.array([bool(x) for x in data], bool)
     for i, x in enumerate(data):
-        out[i] = np.frombuffer(x, "u1" if len(x) == GROUPS else "<u2") if x else np.iinfo(np.int32).max // GROUPS
-    return out
+        raw = np.frombuffer(x, np.uint8)[1:]
+        if x[:1] == b"s":
+            out[i] = np.bincount(np.cumsum(raw, dtype=np.int64)[raw < 255], minlength=FINE)
+        elif x:
+            out[i] = raw
+    return out, known
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -178,7 +203,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     fp.append(fingerprint(s) if len(s) else None)
                     firsts.append(first_shingles(s, *order).view(np.int64) if len(s) else None)
-                    points.append(packed(point(s)))
+                    points.append(packed(s) if len(s) else None)
                 columns = [pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(points, pa.binary())]
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *columns], names)
 
@@ -186,16 +211,40 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 class Points:
-    """Rows of a block: ids, sizes, points and components."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, components: np.ndarray):
-        self.ids, self.sizes, self.points, self.components = ids, sizes, points, components
-
-    def near(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` (row numbers) whose overlap with row i may be large enough."""
-        most = np.minimum(self.points[others], self.points[i]).sum(axis=1)
-        most = np.minimum(most, np.minimum(self.sizes[others], self.sizes[i]))
-        return others[(100 + SHARE) * most >= SHARE * (self.sizes[others] + self.sizes[i])]
+    """Rows to compare: ids, sizes, points, components; with finer points also these and which rows have them."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, components: np.ndarray, fine: np.ndarray | None = None, known: np.ndarray | None = None):
+        self.ids, self.sizes, self.points, self.components, self.fine, self.known = ids, sizes, points, components, fine, known
+
+    @classmethod
+    def of(cls, ids: np.ndarray, sizes: np.ndarray, data: list[bytes], components: np.ndarray) -> Points:
+        fine, known = unpacked(data)
+        points = fine.reshape(len(fine), GROUPS, FINE // GROUPS).sum(axis=2, dtype=np.int32)
+        points[~known] = np.iinfo(np.int32).max // GROUPS
+        return cls(ids, sizes, points, components, fine, known)
+
+    def part(self, rows: slice) -> Points:
+        return Points(*(None if x is None else x[rows] for x in (self.ids, self.sizes, self.points, self.components, self.fine, self.known)))
+
+    @staticmethod
+    def joined(parts: list[Points]) -> Points:
+        names = ("ids", "sizes", "points", "components", "fine", "known")
+        return parts[0] if len(parts) == 1 else Points(*(np.concatenate([getattr(p, n) for p in parts]) for n in names))
+
+    def enough(self, most: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether an overlap of ``most`` would do for rows a and b."""
+        n = self.sizes[a] + self.sizes[b]
+        return (100 + SHARE) * np.minimum(most, np.minimum(self.sizes[a], self.sizes[b])) >= SHARE * n
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows may overlap enough."""
+        ok = self.enough(np.minimum(self.points[a], self.points[b]).sum(axis=1), a, b)
+        if self.fine is not None:
+            left = np.flatnonzero(ok & self.known[a] & self.known[b])
+            for k in range(0, len(left), PAIRS):
+                own = left[k : k + PAIRS]
+                ok[own] = self.enough(np.minimum(self.fine[a[own]], self.fine[b[own]]).sum(axis=1, dtype=np.int64), a[own], b[own])
+        return ok
 
 
 class CountTree:
@@ -239,7 +288,8 @@ class CountTree:
             nodes = (nodes[:, None] * fan + np.arange(fan)).ravel()
             nodes = nodes[nodes < total]
         rows = self.order[nodes]
-        return r.near(i, rows[r.components[rows] != own]) if len(rows) else rows
+        rows = rows[r.components[rows] != own]
+        return rows[r.near(np.full(len(rows), i), rows)] if len(rows) else rows
 
 
 _MIXED = np.iinfo(np.int64).min
@@ -254,7 +304,7 @@ def _central_links(rows: Points) -> list[np.ndarray]:
         mean = rows.points[left].mean(axis=0)
         center = int(left[np.argmin(np.abs(rows.points[left] - mean).sum(axis=1))])
         others = left[left != center]
-        near = rows.near(center, others)
+        near = others[rows.near(np.full(len(others), center), others)]
         out.append(np.stack([np.full(len(near), center), near]))
         left = np.setdiff1d(others, near, assume_unique=True)
     return out
@@ -271,71 +321,116 @@ def _cross_pairs(rows: Points) -> list[np.ndarray]:
     return out
 
 
-def _leaf_pairs(rows: Points, firsts: np.ndarray, sizes: np.ndarray, exact: bool) -> list[np.ndarray]:
-    """The same for many blocks that fit a leaf each, at (firsts, sizes): all pairs of a block, or its first row with the others."""
+def _leaf_links(rows: Points, block: np.ndarray) -> list[np.ndarray]:
+    """``_central_links`` of many blocks that fit a leaf each, ``block`` being that of each row (ascending, -1: none)."""
+    left, out = np.flatnonzero(block >= 0), []
+    while len(left):
+        first = np.append(True, block[left][1:] != block[left][:-1])
+        center = left[first][np.cumsum(first) - 1]
+        a, b = center[~first], left[~first]
+        near = np.concatenate([rows.near(a[k : k + PAIRS], b[k : k + PAIRS]) for k in range(0, len(a), PAIRS)]) if len(a) else np.zeros(0, bool)
+        out.append(np.stack([a[near], b[near]]))
+        left = b[~near]
+    return out
+
+
+def _leaf_pairs(rows: Points, firsts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``_cross_pairs`` of many blocks that fit a leaf each, at (firsts, sizes)."""
     out = []
     for size in np.unique(sizes):
-        a, b = np.triu_indices(int(size), 1) if exact else (np.zeros(size - 1, np.int64), np.arange(1, size))
+        a, b = np.triu_indices(int(size), 1)
         at = firsts[sizes == size]
         step = max(1, PAIRS // len(a))
         for k in range(0, len(at), step):
             x, y = ((at[k : k + step, None] + own).ravel() for own in (a, b))
             other = rows.components[x] != rows.components[y]
             x, y = x[other], y[other]
-            most = np.minimum(np.minimum(rows.points[x], rows.points[y]).sum(axis=1), np.minimum(rows.sizes[x], rows.sizes[y]))
-            ok = (100 + SHARE) * most >= SHARE * (rows.sizes[x] + rows.sizes[y])
-            out.append(np.stack([x[ok], y[ok]]))
+            near = rows.near(x, y)
+            out.append(np.stack([x[near], y[near]]))
     return out
 
 
+BLOCK_ROWS = ["key", "id", "n", "point", "component", "block", "least"]
+
+
 def _block_pairs(blocks: DataFrame, exact: bool) -> DataFrame:
-    """(a, b), a < b, from rows (key, id, n, point, component), each block in one task and sorted by key."""
+    """(a, b), a < b, from rows of ``BLOCK_ROWS``, those of a key in one task and sorted by it.
 
-    def solve(keys: np.ndarray, rows: Points) -> pa.RecordBatch | None:
+    ``block`` and ``least`` are the row's block and the smallest of all its
+    blocks: with ``exact`` a pair is left to the first block that is one of
+    the smallest of both, if there is one.
+    """
+
+    def solve(keys: np.ndarray, block: np.ndarray, least: np.ndarray, rows: Points) -> pa.RecordBatch:
         """Pairs of whole blocks."""
         firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(firsts, len(keys)))
         small = (sizes > 1) & (sizes <= LEAF)
-        found = _leaf_pairs(rows, firsts[small], sizes[small], exact)
+        number = np.repeat(np.where(small, np.arange(len(sizes)), -1), sizes)
+        found = _leaf_pairs(rows, firsts[small], sizes[small]) if exact else _leaf_links(rows, number)
         for a, n in zip(firsts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-            own = slice(a, a + n)
-            part = Points(rows.ids[own], rows.sizes[own], rows.points[own], rows.components[own])
+            part = rows.part(slice(a, a + n))
             found += [x + a for x in (_cross_pairs(part) if exact else _central_links(part))]
-        if not found:
-            return None
-        a, b = rows.ids[np.concatenate(found, axis=1)]
+        a, b = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1).astype(np.int64)
+        if exact and len(a):
+            none = np.iinfo(np.int64).max
+            first = np.concatenate([_first_common(least[a[k : k + PAIRS]], least[b[k : k + PAIRS]], none) for k in range(0, len(a), PAIRS)])
+            own = (first == none) | (first == block[a])
+            a, b = a[own], b[own]
+        a, b = rows.ids[a], rows.ids[b]
         a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+        new = (np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)) & (a != b)
         return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # rows of blocks that aren't known to be whole
+        held: list[tuple] = []  # rows of the last block, which may go on
+
+        def joined() -> tuple:
+            return *(np.concatenate([x[k] for x in held]) for k in range(3)), Points.joined([x[3] for x in held])
+
         for batch in batches:
             for at in range(0, batch.num_rows, TILE):
                 part = batch.slice(at, TILE)
-                key = part.column(0).to_numpy()
-                new = (key, part.column(1).to_numpy(), part.column(2).to_numpy(), unpacked(part.column(3).to_pylist()), part.column(4).to_numpy())
+                key, ids, n, _, component, block = (part.column(k).to_numpy() if k != 3 else None for k in range(6))
+                least = np.stack(part.column(6).to_numpy(zero_copy_only=False)) if exact else np.zeros((len(key), 1), np.int64)
+                rows = Points.of(ids, n, part.column(3).to_pylist(), component)
                 last = int(np.searchsorted(key, key[-1], "left"))  # where the last block begins
-                if last == 0 and (not held or held[0][0][-1] == key[0]):
-                    held.append(new)
-                    continue
-                held.append(tuple(x[:last] for x in new))
-                keys, *rest = (np.concatenate(x) for x in zip(*held))
-                found = solve(keys, Points(rest[0], rest[1], rest[2], rest[3]))
-                held = [tuple(x[last:] for x in new)]
-                if found is not None:
-                    yield found
+                if last or held and held[0][0][0] != key[0]:
+                    held.append((key[:last], block[:last], least[:last], rows.part(slice(0, last))))
+                    yield solve(*joined())
+                    held = []
+                held.append((key[last:], block[last:], least[last:], rows.part(slice(last, None))))
         if held:
-            keys, *rest = (np.concatenate(x) for x in zip(*held))
-            found = solve(keys, Points(rest[0], rest[1], rest[2], rest[3]))
-            if found is not None:
-                yield found
+            yield solve(*joined())
 
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _first_common(x: np.ndarray, y: np.ndarray, none: int) -> np.ndarray:
+    """The smallest value that rows of both have in common."""
+    both = (x[:, :, None] == y[:, None, :]).any(axis=2)
+    return np.where(both, x, none).min(axis=1)
+
+
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose points allow enough overlap. points: id, n, point."""
+    side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
+                m = part.num_rows
+                sizes = np.concatenate([part.column(k).to_numpy() for k in (2, 3)])
+                rows = Points.of(np.arange(2 * m), sizes, part.column(4).to_pylist() + part.column(5).to_pylist(), np.arange(2 * m))
+                yield part.select(["a", "b"]).filter(pa.array(rows.near(np.arange(m), np.arange(m) + m)))
+
+    return both.mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -413,7 +508,7 @@ def _link_counts(sets: DataFrame, found: DataFrame, copies: DataFrame) -> DataFr
         sizes = np.array([len(x) for x in sets])
         # inside a tile all rows are compared, else those of one tile with those of the other
         groups = np.arange(n_rows) if block["i"][0].as_py() == block["j"][0].as_py() else own.astype(np.int64)
-        tree = CountTree(Points(np.arange(n_rows), sizes, np.stack([point(x) for x in sets]).astype(np.int32), groups))
+        tree = CountTree(Points(np.arange(n_rows), sizes, np.stack([point(x) for x in sets]), groups))
         values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
         sets = np.split(numbers, np.cumsum(sizes)[:-1])
         inside, linked = np.zeros(len(values), np.int64), np.zeros(n_rows, np.int64)
@@ -446,32 +541,46 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     classes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), *facts)
     # the number of a class is that of its row in the written table
     classes = scratch.table(classes.select("fp", "first", "first.doc_id", "first.text_hash", "copies", F.col("n_shingles").alias("n"), "firsts", "point", F.monotonically_increasing_id().alias("id")), "classes")
-    members = classes.select("id", "n", F.explode("firsts").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.table(members.join(shared, "key"), "members")
-    points = classes.select("id", "point")
+    # in a similar pair the smaller set has a shared first shingle early on
+    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * SHARE) * F.col("n") / F.lit(100 + SHARE))
+    members = classes.select("id", "n", F.posexplode("firsts").alias("pos", "key")).select("id", "n", "key", early.alias("early"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("early").alias("early")).where("size > 1 and early").drop("early")
+    members = scratch.table(members.drop("early").join(shared, "key"), "members")
+    points = classes.select("id", "n", "point")
 
     def blocks(rows: DataFrame) -> DataFrame:
-        return rows.join(points, "id").repartition("key").sortWithinPartitions("key").select("key", "id", "n", "point", "component")
+        return rows.join(points.drop("n"), "id").repartition("key").sortWithinPartitions("key").select(*BLOCK_ROWS)
 
     # the first round: the blocks whose hashes are smallest, which copies have in common, in parts of at most a tile or so
     part = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / TILE))
     chosen = members.groupBy("id", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key", "size"))), 1, FIRST_BLOCKS).alias("b"))
     chosen = chosen.select("id", "n", F.explode("b").alias("b")).select("id", "n", "b.key", "b.size")
-    first = blocks(chosen.withColumn("key", F.xxhash64("key", part)).withColumn("component", F.col("id")))
+    unused = {"component": F.col("id"), "block": F.col("key"), "least": F.lit(None).cast("array<long>")}
+    first = blocks(chosen.withColumns(unused).withColumn("key", F.xxhash64("key", part)))
     tried = scratch.table(_block_pairs(first, exact=False).distinct(), "first")
     links = scratch.table(_verified(tried, own, classes, scratch, "first"), "first-links")
     found = components(links, scratch, "first-components")
 
-    # the second: all pairs of different components
+    # the second: all pairs of different components, first those that are blocks of their own
     rows = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    level = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
-    rows = rows.withColumn("cell", F.explode(F.when(F.col("size") > CUT_BLOCKS, F.array(level, level - 1)).otherwise(F.array(F.lit(-9)))))
-    mixed = rows.groupBy("key", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(mixed, ["key", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    facts = [f(c).alias(f"{n}_{c}") for c in ("component", "n", "id") for n, f in (("lo", F.min), ("hi", F.max))]
+    mixed = scratch.table(rows.groupBy("key").agg(F.first("size").alias("size"), *facts).where("lo_component < hi_component"), "mixed")
+    two = mixed.where((F.col("size") == 2) & (100 * F.col("lo_n") >= SHARE * F.col("hi_n"))).select(F.col("lo_id").alias("a"), F.col("hi_id").alias("b")).distinct()
+    # larger ones by size class: a cell has the sets of a class and of the next
+    level = F.floor(F.log("n") / F.log(F.lit(SIZE_CLASS))).cast("int")
+    rows = rows.where("size > 2").join(mixed.where("size > 2").select("key"), "key", "left_semi").withColumn("level", level)
+    rows = rows.withColumn("cell", F.explode(F.array(F.col("level"), F.col("level") - 1)))
+    cells = rows.groupBy("key", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("level") == F.col("cell")).alias("own"), F.count(F.lit(1)).alias("m"))
+    cells = cells.where("lo < hi and own").select("key", "cell", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    rows = scratch.table(rows.join(cells, ["key", "cell"]).select("key", "cell", "tiles", "id", "n", "component"), "cells")
+    least = rows.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    least = least.select("id", F.transform(F.sequence(F.lit(0), F.lit(LEAST_KEYS - 1)), lambda i: F.coalesce(F.get("keys", i), F.get("keys", F.lit(0)))).alias("least"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "own").alias("i"), F.greatest(t, "own").alias("j")))
-    tiled = rows.withColumn("t", F.explode(tiles)).select(F.xxhash64("key", "cell", "t.i", "t.j").alias("key"), "id", "n", "component")
-    pairs = scratch.table(_block_pairs(blocks(tiled), exact=True).distinct().join(tried, ["a", "b"], "left_anti"), "second")
+    tiled = rows.withColumn("t", F.explode(tiles)).select(F.xxhash64("key", "cell", "t.i", "t.j").alias("tile"), "id", "n", "component", F.col("key").alias("block"))
+    more = _block_pairs(blocks(tiled.withColumnRenamed("tile", "key").join(least, "id")), exact=True)
+    pairs = _bounded(two.join(tried, ["a", "b"], "left_anti"), points).unionByName(more.distinct().join(tried, ["a", "b"], "left_anti"))
+    pairs = scratch.table(pairs.distinct(), "second")
     named = ["first-sets"]
     if not pairs.isEmpty():
         links = links.unionByName(scratch.table(_verified(pairs, own, classes, scratch, "second"), "second-links"))

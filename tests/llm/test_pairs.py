@@ -141,7 +141,7 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 2)  # common shingles come last
     assert run() == want
     # blocks are cut by size and compared tile by tile, few of them in the first round, all but the smallest by trees
-    for name, value in (("CUT_BLOCKS", 6), ("TILE", 4), ("CENTERS", 1), ("FIRST_BLOCKS", 1), ("LEAF", 3), ("FAN", 2)):
+    for name, value in (("TILE", 4), ("LEAST_KEYS", 2), ("CENTERS", 1), ("FIRST_BLOCKS", 1), ("LEAF", 3), ("FAN", 2)):
         monkeypatch.setattr(jaccard, name, value)
     assert run() == want
 
@@ -167,6 +167,21 @@ def test_first_shingles_are_shared_by_similar_sets():
             assert len(np.intersect1d(*(jaccard.first_shingles(z, common, rank, seen) for z in (x, y))))
 
 
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (1, 5, 200, 1500, 2500, 30_000)]
+    sets.append(np.arange(5000, dtype=np.uint64))  # all in one group
+    fine, known = jaccard.unpacked([jaccard.packed(s) for s in sets])
+    assert known.tolist() == [True] * 6 + [False]
+    for s, counts in zip(sets[:6], fine):
+        assert counts.tolist() == np.bincount((s >> np.uint64(52)).astype(int), minlength=jaccard.FINE).tolist()
+    near = [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 10, dtype=np.uint64)])) for s in sets]
+    rows = jaccard.Points.of(np.arange(14), np.array([len(s) for s in sets + near]), [jaccard.packed(s) for s in sets + near], np.arange(14))
+    ok = rows.near(np.arange(7), np.arange(7, 14))
+    assert all(o for o, x, y in zip(ok, sets, near) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))) and ok[6]
+    assert not rows.near(np.array([2, 3, 4]), np.array([9, 4, 3]) * 0 + 5).any()
+
+
 def test_first_of_similar(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 2), (None, "a b c d e f", 3), (5, "other words of the same id here", 4), (None, "words without an id at all", 5)]
@@ -208,7 +223,7 @@ def test_tree_finds_all_near_points():
     tree = jaccard.CountTree(rows)
     for i in range(0, 720, 31):
         others = np.flatnonzero(rows.components != rows.components[i])
-        assert sorted(tree.search(i)) == sorted(rows.near(i, others))
+        assert sorted(tree.search(i)) == sorted(others[rows.near(np.full(len(others), i), others)])
 
 
 def test_components_of_chains(spark):
