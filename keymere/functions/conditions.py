@@ -93,6 +93,16 @@ class Where(Condition):
         return ~F.coalesce(found, F.lit(False)) if negated else found
 
 
+@dataclass(frozen=True)
+class Row(Condition):
+    """Any predicate of the row, as a column; null counts as false."""
+
+    predicate: Column
+
+    def build(self, df: DataFrame, negated: bool) -> Column:
+        return ~F.coalesce(self.predicate, F.lit(False)) if negated else self.predicate
+
+
 @dataclass(frozen=True)
 class And(Condition):
     left: Condition

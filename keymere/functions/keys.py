@@ -15,14 +15,22 @@ KeyExpression = str | Column | Callable[[DataFrame], Column]
 class Indexer:
     """A key of an entity: a column name, a Column, or a function of the frame.
 
-    ``comparer`` is ``exact`` or ``ci`` (keys compare in lower case). Keys that
-    are null are in no index.
+    ``comparer`` is ``exact``, ``ci`` (keys compare in lower case) or a
+    function of the key's column that gives the form in which keys compare.
+    Keys that are null are in no index. ``unique_allowed`` says whether a
+    unique constraint may use the key.
     """
 
     name: str
     expression: KeyExpression
     key_type: str | None = None
-    comparer: str = "exact"
+    comparer: str | Callable[[Column], Column] = "exact"
+    unique_allowed: bool = True
+
+    def stored(self) -> dict:
+        """The parts that can be stored; ``expression`` is None if the key is a function or has its own comparer."""
+        plain = isinstance(self.expression, str) and isinstance(self.comparer, str)
+        return {"name": self.name, "expression": self.expression if plain else None, "key_type": self.key_type, "comparer": self.comparer if plain else "exact", "unique_allowed": self.unique_allowed}
 
     def key(self, df: DataFrame) -> Column:
         """The key as it is."""
@@ -31,6 +39,8 @@ class Indexer:
         return c.cast(self.key_type) if self.key_type else c
 
     def normal(self, c: Column) -> Column:
+        if callable(self.comparer):
+            return self.comparer(c)
         return F.lower(c) if self.comparer == "ci" else c
 
     def compared(self, df: DataFrame) -> Column:

@@ -22,6 +22,10 @@ class UniqueConstraint:
 
     indexers: tuple[Indexer, ...]
 
+    def __post_init__(self) -> None:
+        if unfit := [x.name for x in self.indexers if not x.unique_allowed]:
+            raise ValueError(f"not suitable for a unique constraint: {', '.join(unfit)}")
+
     @property
     def name(self) -> str:
         return "+".join(x.name for x in self.indexers)
@@ -40,14 +44,33 @@ class UniqueConstraint:
 
 @dataclass(frozen=True)
 class CustomConstraint:
-    """A predicate that each row must fulfil; null counts as not fulfilled."""
+    """A predicate (a Column or SQL text) that each row must fulfil; null counts as not fulfilled.
+
+    With ``on_change`` it is about the structs ``old`` (the row that is
+    replaced; null for a new one) and ``new``, and is checked of the rows that
+    a mutation adds or changes.
+    """
 
     name: str
-    predicate: Column
+    predicate: Column | str
+    on_change: bool = False
+
+    def _unfulfilled(self, df: DataFrame) -> DataFrame:
+        return df.where(~F.coalesce(F.expr(self.predicate) if isinstance(self.predicate, str) else self.predicate, F.lit(False)))
 
     def violations(self, df: DataFrame, id_col: str = "entity_id") -> DataFrame:
-        bad = df.where(~F.coalesce(self.predicate, F.lit(False)))
-        return bad.select(F.lit(self.name).alias("constraint_name"), F.col(id_col).alias("entity_id"))
+        return self._unfulfilled(df).select(F.lit(self.name).alias("constraint_name"), F.col(id_col).alias("entity_id"))
+
+    def change_violations(self, old: DataFrame, new: DataFrame, id_col: str = "entity_id") -> DataFrame:
+        both = changed_rows(old, new, id_col)
+        return self._unfulfilled(both).select(F.lit(self.name).alias("constraint_name"), F.col(id_col).alias("entity_id"))
+
+
+def changed_rows(old: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
+    """id, ``old`` and ``new`` as structs, of rows that are new or differ."""
+    a = old.select(F.col(id_col).alias("_id"), F.struct(*old.columns).alias("old"))
+    b = new.select(id_col, F.struct(*old.columns).alias("new"))
+    return b.join(a, F.col(id_col) == F.col("_id"), "left").where(~F.col("old").eqNullSafe(F.col("new"))).select(id_col, "old", "new")
 
 
 @dataclass
@@ -73,8 +96,21 @@ class Constraints:
     def clear(self) -> None:
         self.all.clear()
 
-    def check(self, df: DataFrame, id_col: str) -> None:
+    def violations(self, df: DataFrame, id_col: str, before: DataFrame | None = None) -> DataFrame:
+        """All violations of custom constraints: constraint_name, entity_id."""
+        found = [x.change_violations(df.limit(0) if before is None else before, df, id_col) if x.on_change else x.violations(df, id_col) for x in self.all if isinstance(x, CustomConstraint)]
+        out = found[0] if found else df.limit(0).select(F.lit("").alias("constraint_name"), F.col(id_col).alias("entity_id"))
+        for x in found[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def check(self, df: DataFrame, id_col: str, before: DataFrame | None = None) -> None:
         for x in self.all:
-            bad = x.violations(df, id_col) if isinstance(x, CustomConstraint) else x.violations(df)
+            if isinstance(x, UniqueConstraint):
+                bad = x.violations(df)
+            elif x.on_change:
+                bad = x.change_violations(df.limit(0) if before is None else before, df, id_col)
+            else:
+                bad = x.violations(df, id_col)
             if not bad.isEmpty():
                 raise ConstraintViolation(x.name)

@@ -12,7 +12,7 @@ from ..functions.conditions import Condition
 from ..functions.keys import Indexer
 from .constraints import Constraints, CustomConstraint, UniqueConstraint
 from .index import EntityIndex
-from .prefix import dense_ids
+from .prefix import Descending, dense_ids
 from .query import EntityQuery
 
 
@@ -22,7 +22,7 @@ class ReadOnlyError(Exception):
 
 @dataclass
 class Segments:
-    """Exponents of the levels of a segment address."""
+    """Exponents of the levels of a segment address. The defaults and bounds are fixed values."""
 
     low: int = 8
     mid: int = 10
@@ -39,17 +39,23 @@ class Segments:
 
 @dataclass
 class EntityMap:
-    """id -> entity. Mutations return a new map and leave this one as it is."""
+    """id -> entity. Mutations return a new map and leave this one as it is.
+
+    ``next_id`` is the id that the next added row gets; where it isn't given,
+    it is looked up in the rows when it is needed. ``equality`` names the
+    columns by which entities are the same (all columns if none).
+    """
 
     df: DataFrame
     id_col: str = "entity_id"
-    next_id: int = 0
+    next_id: int | None = None
     indexers: dict[str, Indexer] = field(default_factory=dict)
     constraints: Constraints = field(default_factory=Constraints)
     segments: Segments = field(default_factory=Segments)
     equality: tuple[str, ...] = ()
     identity_indexers: tuple[str, ...] = ()
     categories: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    per_segment: int = 16
     _read_only: int = 0
     _closed: bool = False
 
@@ -76,6 +82,13 @@ class EntityMap:
     def size(self) -> int:
         return self.df.count()
 
+    def free_id(self) -> int:
+        """The id that the next added row gets: above all that were used."""
+        if self.next_id is not None:
+            return self.next_id
+        top = self.df.agg(F.max(self.id_col)).first()[0]
+        return 0 if top is None else int(top) + 1
+
     def release(self) -> None:
         self.df.unpersist()
 
@@ -90,7 +103,7 @@ class EntityMap:
     def with_index(self, *new: Indexer, unique: bool = False, identity: bool = False) -> EntityMap:
         out = self._with(indexers=self.indexers | {x.name: x for x in new})
         if unique:
-            out.constraints = Constraints(list(self.constraints.all))
+            out.constraints = Constraints([*self.constraints.all])
             out.constraints.add(*[UniqueConstraint((x,)) for x in new])
         if identity:
             out.identity_indexers = (*self.identity_indexers, *[x.name for x in new])
@@ -108,9 +121,9 @@ class EntityMap:
         return EntityIndex(self.df, self._indexer(name), self.id_col)
 
     # -- querying --------------------------------------------------------
-    def query(self, what: Condition | str | Indexer | None = None, *key: object):
+    def query(self, what: Condition | str | Indexer | None = None, *key: object, key_type: str | None = None):
         q = EntityQuery(self.df, self.id_col, self.indexers)
-        return q if what is None else q.and_(what, *key)
+        return q if what is None else q.and_(what, *key, key_type=key_type)
 
     # -- mutations -------------------------------------------------------
     def _with(self, **changes) -> EntityMap:
@@ -124,28 +137,65 @@ class EntityMap:
             raise ReadOnlyError("the map is marked read-only")
 
     def _checked(self, df: DataFrame, **changes) -> EntityMap:
-        self.constraints.check(df, self.id_col)
+        self.constraints.check(df, self.id_col, self.df)
         return self._with(df=df, **changes)
 
-    def add_all(self, rows: DataFrame, order: list[Column]) -> EntityMap:
+    def add_all(self, rows: DataFrame, order: list[Column | Descending], **changes) -> EntityMap:
         """Add rows in the given order; they get the next ids. All or nothing: a violated constraint leaves the map as it is."""
         self._guard()
-        new = dense_ids(rows.drop(self.id_col), order, self.next_id, self.id_col)
-        return self._checked(self.df.unionByName(new), next_id=self.next_id + rows.count())
+        first = self.free_id()
+        if self.next_id is not None and not self.df.where(F.col(self.id_col) >= first).isEmpty():
+            raise ValueError(f"ids from {first} on are in use")
+        new = dense_ids(rows.drop(self.id_col), order, first, self.id_col)
+        return self._checked(self.df.unionByName(new, allowMissingColumns=True), next_id=first + rows.count(), **changes)
 
     def add(self, **values: object) -> EntityMap:
+        """Add one entity; columns that aren't given are null."""
         self._guard()
         if not values:
             raise ValueError("an entity is needed")
-        row = self.df.sparkSession.range(1).select(F.lit(self.next_id).cast("long").alias(self.id_col), *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema if f.name != self.id_col])
-        return self._checked(self.df.unionByName(row), next_id=self.next_id + 1)
+        if unknown := set(values) - set(self.df.columns) | {self.id_col} & set(values):
+            raise ValueError(f"not columns of an entity: {', '.join(sorted(unknown))}")
+        row = self.df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema if f.name != self.id_col])
+        return self.add_all(row, [F.lit(0)])
+
+    def _same(self, values: dict[str, object]) -> Column:
+        """Whether a row is the entity: equal in the columns of ``equality``, null to null."""
+        names = self.equality or tuple(c for c in self.df.columns if c != self.id_col)
+        out = F.lit(True)
+        for c in names:
+            out &= F.col(c).eqNullSafe(F.lit(values.get(c)).cast(self.df.schema[c].dataType))
+        return out
+
+    def find(self, **values: object) -> int:
+        """The smallest id of an entity that is the same as this one, or -1."""
+        found = self.df.where(self._same(values)).agg(F.min(self.id_col)).first()[0]
+        return -1 if found is None else int(found)
+
+    def remove_entity(self, **values: object) -> tuple[EntityMap, int]:
+        """Remove the first entity that is the same as this one; also its id, or -1."""
+        self._guard()
+        found = self.find(**values)
+        return (self if found < 0 else self.remove([found])), found
+
+    def replace(self, old: dict[str, object], new: dict[str, object]) -> EntityMap:
+        """Put a new entity in the place of the first that is the same as ``old``; the very same or a missing one is an error."""
+        self._guard()
+        if old is new:
+            raise ValueError("an entity can't replace itself")
+        found = self.find(**old)
+        if found < 0:
+            raise KeyError("no such entity")
+        fields = [F.lit(found).cast(self.df.schema[self.id_col].dataType).alias(self.id_col)]
+        fields += [F.lit(new.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema if f.name != self.id_col]
+        return self.set(self.df.sparkSession.range(1).select(*fields))
 
     def remove(self, ids: DataFrame | list[int]) -> EntityMap:
         self._guard()
         if isinstance(ids, list):
-            return self._with(df=self.df.where(~F.col(self.id_col).isin(ids)))
+            return self._with(df=self.df.where(~F.col(self.id_col).isin(ids)), next_id=self.free_id())
         keys = ids.select(F.col(ids.columns[0]).alias(self.id_col))
-        return self._with(df=self.df.join(keys, self.id_col, "left_anti"))
+        return self._with(df=self.df.join(keys, self.id_col, "left_anti"), next_id=self.free_id())
 
     def remove_first(self, condition: Condition) -> EntityMap:
         """Remove the match with the smallest id."""
@@ -154,7 +204,7 @@ class EntityMap:
 
     def remove_all(self, reset_ids: bool = True) -> EntityMap:
         self._guard()
-        return self._with(df=self.df.limit(0), next_id=0 if reset_ids else self.next_id)
+        return self._with(df=self.df.limit(0), next_id=0 if reset_ids else self.free_id())
 
     def set(self, delta: DataFrame) -> EntityMap:
         """Replace rows by id: a row of ``delta`` takes the columns that it has. Ids that the map lacks are an error."""
@@ -204,15 +254,29 @@ class EntityMap:
         self._closed = True
 
     # -- persistence -----------------------------------------------------
-    def segmented(self, per_segment: int = 16) -> DataFrame:
-        return self.df.withColumn("segment_id", F.shiftright(F.col(self.id_col), per_segment))
+    def segmented(self) -> DataFrame:
+        """The rows with the number of their segment, by which they are stored: 2 ** per_segment ids each."""
+        return self.df.withColumn("segment_id", F.shiftright(F.col(self.id_col), self.per_segment))
 
     def metadata(self) -> dict:
-        return {"id_col": self.id_col, "next_id": self.next_id, "index_names": sorted(self.indexers), "constraints": [c.name for c in self.constraints.all], "segments": vars(self.segments)}
-
-
-def builder(df: DataFrame, id_col: str, *indexers: Indexer, unique: tuple[Indexer, ...] = (), custom: tuple[CustomConstraint, ...] = (), next_id: int | None = None) -> EntityMap:
-    top = next_id if next_id is not None else 0
-    out = EntityMap(df, id_col, top, {x.name: x for x in (*indexers, *unique)})
+        """What a stored map needs beside its rows. Keys and predicates that are functions or columns have no stored form."""
+        known = [{"name": c.name, "keys": [x.name for x in c.indexers]} if isinstance(c, UniqueConstraint) else {"name": c.name, "predicate": c.predicate if isinstance(c.predicate, str) else None, "on_change": c.on_change} for c in self.constraints.all]
+        own = {x.name: x for c in self.constraints.all if isinstance(c, UniqueConstraint) for x in c.indexers} | self.indexers
+        return {"id_col": self.id_col, "next_id": self.free_id(), "indexers": [own[n].stored() for n in sorted(own)], "constraints": known, "segments": vars(self.segments), "equality": list(self.equality), "identity": list(self.identity_indexers), "per_segment": self.per_segment}
+
+
+def builder(
+    df: DataFrame,
+    id_col: str,
+    *indexers: Indexer,
+    unique: tuple[Indexer, ...] = (),
+    custom: tuple[CustomConstraint, ...] = (),
+    identity: tuple[Indexer, ...] = (),
+    equality: tuple[str, ...] = (),
+    segments: Segments | None = None,
+    next_id: int | None = None,
+) -> EntityMap:
+    """An entity map over rows with ids. Without ``next_id`` added rows get ids above those of the rows."""
+    out = EntityMap(df, id_col, next_id, {x.name: x for x in (*indexers, *unique, *identity)}, segments=segments or Segments(), equality=equality, identity_indexers=tuple(x.name for x in identity))
     out.constraints.add(*[UniqueConstraint((x,)) for x in unique], *custom)
     return out

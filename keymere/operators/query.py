@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.conditions import And, Condition, Is, IsIn, IsNot, IsNotIn, Not, Or, Where
+from ..functions.conditions import And, Condition, Is, IsIn, IsNot, IsNotIn, Not, Or, Row, Where
 from ..functions.keys import Indexer
 
 #: Members above which a set is joined instead of listed in the plan.
@@ -72,18 +72,35 @@ class EntityQuery:
     def _combined(self, kind: type, c: Condition) -> EntityQuery:
         return self._with(condition=c if self.condition is None else kind(self.condition, c))
 
-    def and_(self, what: Condition | str | Indexer, *key: object) -> EntityQuery | ConditionBuilder:
-        return self._add(And, what, key)
+    def and_(self, what: Condition | str | Indexer | EntityQuery, *key: object, key_type: str | None = None) -> EntityQuery | ConditionBuilder:
+        """Add a condition, the condition of another query, or begin one on a key; a ``key_type`` must be the one that the index declares."""
+        return self._add(And, what, key, key_type)
 
-    def or_(self, what: Condition | str | Indexer, *key: object) -> EntityQuery | ConditionBuilder:
-        return self._add(Or, what, key)
+    def or_(self, what: Condition | str | Indexer | EntityQuery, *key: object, key_type: str | None = None) -> EntityQuery | ConditionBuilder:
+        """The same, as an alternative. Of several queries each is one."""
+        if isinstance(what, EntityQuery) and key:
+            return self._add(Or, what, (), None).or_(*key)
+        return self._add(Or, what, key, key_type)
 
-    def _add(self, kind: type, what: Condition | str | Indexer, key: tuple) -> EntityQuery | ConditionBuilder:
+    def _add(self, kind: type, what: Condition | str | Indexer | EntityQuery, key: tuple, key_type: str | None) -> EntityQuery | ConditionBuilder:
+        if isinstance(what, EntityQuery):
+            return self if what.condition is None else self._combined(kind, what.condition)
         if isinstance(what, Condition):
             return self._combined(kind, what)
-        builder = ConditionBuilder(self, self.index(what), lambda c: self._combined(kind, c))
+        index = self.index(what)
+        if key_type is not None and (index.key_type or self.declared(index)) != key_type:
+            raise TypeError(f"the keys of {index.name} are {index.key_type or self.declared(index)}, not {key_type}")
+        builder = ConditionBuilder(self, index, lambda c: self._combined(kind, c))
         return builder.is_(key[0]) if key else builder
 
+    def declared(self, index: Indexer) -> str:
+        """The type of an index's keys by the schema."""
+        return self.df.select(index.key(self.df).alias("k")).schema["k"].dataType.simpleString()
+
+    def where(self, predicate: Column) -> EntityQuery:
+        """Add a predicate of the row itself."""
+        return self._combined(And, Row(predicate))
+
     def skip(self, n: int) -> EntityQuery:
         if n < 0:
             raise ValueError("skip must not be negative")
@@ -112,7 +129,7 @@ class EntityQuery:
     def _joined(df: DataFrame, c: IsIn) -> DataFrame:
         key = c.index.compared(df)
         kind = df.select(key.alias("k")).schema["k"].dataType.simpleString()
-        keys = df.sparkSession.createDataFrame([(v.lower() if c.index.comparer == "ci" else v,) for v in c.values if v is not None], f"_key {kind}")
+        keys = df.sparkSession.createDataFrame([(v,) for v in c.values if v is not None], f"_key {kind}").select(c.index.normal(F.col("_key")).alias("_key"))
         return df.withColumn("_key", key).join(keys, "_key", "left_semi").drop("_key")
 
     def execute(self) -> DataFrame:

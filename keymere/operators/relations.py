@@ -50,6 +50,20 @@ def nest(children: DataFrame, key: str, columns: list[str], order: str, name: st
     return children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias(name))
 
 
+def conditional(children: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """Counts and tests of the children of each key, without gathering them: aggregates of conditions."""
+    return children.groupBy(key).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
+def map_value(column: Column, key: object) -> Column:
+    """The value of a key of a dictionary, null where it isn't there."""
+    return F.try_element_at(column, F.lit(key))
+
+
+def map_contains(column: Column, key: object) -> Column:
+    return F.coalesce(F.map_contains_key(column, key), F.lit(False))
+
+
 def overlapping(intervals: DataFrame, start: Column, end: Column, first: Column, last: Column) -> DataFrame:
     """Intervals that meet [first, last], ends included."""
     return intervals.where((start <= last) & (end >= first))

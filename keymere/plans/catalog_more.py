@@ -82,16 +82,14 @@ def batch_chunks(t):
     return prefix.groups_of(t.customer.select("c_custkey"), [F.col("c_custkey")], 128)
 
 
-@query("select o_orderkey, cast(coalesce(sum(o_custkey) over (order by o_orderkey rows between unbounded preceding and 1 preceding), 0) // 5000 as bigint) as file_no from orders")
+@query("with recursive p as (select o_orderkey, o_custkey as n, sum(o_custkey) over (order by o_orderkey) as e from orders where o_custkey > 0), f(file_no, s) as (select cast(0 as bigint), cast(0 as hugeint) union all select file_no + 1, min(p.e - p.n) from f join p on p.e - f.s > 200000 and p.e - p.n >= f.s and not (f.file_no > 0 and p.e - p.n = f.s) group by file_no) select o.o_orderkey, (select max(file_no) from f where f.s <= p.e - p.n) as file_no from orders o left join p on o.o_orderkey = p.o_orderkey")
 def file_roll_over(t):
-    return storage.roll_over(t.orders.select("o_orderkey", "o_custkey"), [F.col("o_orderkey")], F.col("o_custkey"), 5000).select("o_orderkey", "file_no")
+    return storage.roll_over(t.orders.select("o_orderkey", "o_custkey"), [F.col("o_orderkey")], F.col("o_custkey"), 200000).select("o_orderkey", "file_no")
 
 
 @query("select event_id, cast(row_number() over (partition by user_id order by event_id) as integer) as seq from events")
 def tx_sequence(t):
-    from pyspark.sql import Window
-
-    return t.events.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("seq"))
+    return storage.sequence(t.events.select("event_id", "user_id"), "user_id", "event_id").select("event_id", "seq")
 
 
 @query("select o_orderkey from orders order by md5(cast(o_orderkey as varchar)), o_orderkey limit 50")
@@ -139,9 +137,7 @@ def json_round_trip(t):
 
 @query("select l_orderkey, bool_or(l_quantity > 45) as any_large, bool_and(l_quantity > 5) as all_over_5 from lineitem group by 1")
 def nested_any_all(t):
-    nested = relations.nest(t.lineitem, "l_orderkey", ["l_quantity"], "l_linenumber")
-    over = lambda n: lambda x: x["l_quantity"] > n
-    return nested.select("l_orderkey", F.exists("items", over(45)).alias("any_large"), F.forall("items", over(5)).alias("all_over_5"))
+    return relations.conditional(t.lineitem, "l_orderkey", any_large=F.bool_or(F.col("l_quantity") > 45), all_over_5=F.bool_and(F.col("l_quantity") > 5))
 
 
 # -- constraints and versions ------------------------------------------------
@@ -250,22 +246,22 @@ def gc_sweep(t):
 
 
 # -- metrics -----------------------------------------------------------------
-@query("select count(*) as files, cast(sum(l_quantity) as bigint) as total, cast(sum(l_quantity) filter (where l_returnflag = 'N') as bigint) as live from lineitem")
+@query("select count(*) as files, cast(sum(l_quantity) as bigint) as total, cast(sum(l_quantity) filter (where l_returnflag = 'N') as bigint) as live, cast(sum(l_quantity) filter (where l_returnflag = 'N') as bigint) / cast(sum(l_quantity) as bigint) as usage from lineitem")
 def storage_usage(t):
     files = t.lineitem.select(F.col("l_quantity").cast("long").alias("total"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity").cast("long")).alias("live"))
-    return storage.usage(files, "total", "live").drop("usage")
+    return storage.usage(files, "total", "live")
 
 
-@query("select cast(count(*) as bigint) as total, cast(count(*) filter (where value >= 100) as bigint) as failed, cast(count(distinct event_type) as bigint) as operations, count(*) filter (where value >= 100) / count(*) as error_rate from events")
+@query("select cast(count(*) as bigint) as total, cast(count(*) filter (where value >= 100) as bigint) as failed, cast(count(distinct event_type) as bigint) as operations, count(*) filter (where value >= 100) / count(*) as error_rate, count(*) / 60.0 as per_second from events")
 def metrics_totals(t):
     by = monitor.by_operation(t.events, F.col("event_type"), F.col("value"), F.col("value") < 100)
-    return monitor.totals(by, 60.0).drop("per_second")
+    return monitor.totals(by, 60.0)
 
 
-@query("select count(*) as allocations, cast(count(*) filter (where event_type = 'error') as bigint) as evictions, cast(sum(user_id) as bigint) as used, 1 - cast(count(*) filter (where event_type = 'error') as double) / count(*) as hit_ratio, 100 * (cast(sum(user_id) as double) / 1000000) > 90 as pressure from events")
+@query("select count(*) as allocations, cast(count(*) filter (where event_type = 'error') as bigint) as evictions, cast(sum(user_id) as bigint) as used, 1 - cast(count(*) filter (where event_type = 'error') as double) / count(*) as hit_ratio, cast(sum(user_id) as double) / count(*) as avg_entry, 100 * (cast(sum(user_id) as double) / 1000000) as utilisation, 100 * (cast(sum(user_id) as double) / 1000000) > 90 as pressure from events")
 def memory_statistics(t):
     stats = t.events.agg(F.count(F.lit(1)).alias("allocations"), F.count_if(F.col("event_type") == "error").alias("evictions"), F.sum("user_id").alias("used"), F.lit(1000000).alias("capacity"), F.count(F.lit(1)).alias("entries"))
-    return monitor.memory(stats).select("allocations", "evictions", "used", "hit_ratio", "pressure")
+    return monitor.memory(stats).select("allocations", "evictions", "used", "hit_ratio", "avg_entry", "utilisation", "pressure")
 
 
 @query("select cast(sum(l_quantity) as bigint) as l_quantity, cast(sum(l_suppkey) as bigint) as l_suppkey from lineitem")

@@ -55,7 +55,7 @@ SQL: dict[str, str] = {
     "tx_committed": "select user_id as tx_id, count(*) as n_entries, min(event_id) as first_seq, max(event_id) as last_seq from events group by 1 having bool_or(event_type='purchase')",
     "tx_last_committed": "select coalesce(max(user_id),0) as last_tx from events where event_type='purchase'",
     "recovery_extents": "select l_suppkey as file_no, max(l_orderkey + cast(l_quantity as bigint)) as expected_size from lineitem group by 1",
-    "metrics_by_operation": "select event_type as op, count(*) as total, cast(count(*) filter (where value < 100) as bigint) as ok, min(value) as min_v, max(value) as max_v, round(cast(count(*) filter (where value < 100) as double)/count(*), 6) as success_rate from events group by 1",
+    "metrics_by_operation": "select event_type as op, count(*) as total, cast(count(*) filter (where value < 100) as bigint) as ok, cast(count(*) filter (where value >= 100) as bigint) as failed, min(value) as min_v, max(value) as max_v, round(avg(value), 4) as avg_v, round(cast(count(*) filter (where value < 100) as double)/count(*), 6) as success_rate, round(cast(count(*) filter (where value >= 100) as double)/count(*), 6) as failure_rate from events group by 1",
     "metrics_recommend": "select event_type as op, (max(value)-min(value) > 400) as high_variance, (avg(value) > 100) as high_latency from events group by 1",
     "recent_events": "select event_id, event_type from events order by ts desc, event_id desc limit 100",
     "cache_lru_evict": "select event_id, user_id from (select event_id, user_id, coalesce(sum(user_id + 1) over (order by ts, event_id rows between unbounded preceding and 1 preceding),0) as freed_before from events) where freed_before < 5000",

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, rating
 from ..sources.store import Engine, StorageError
 
 #: Fixed patterns of files that no version refers to.
@@ -21,23 +20,57 @@ def orphan_files(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.where(F.col(path_col).rlike(ORPHANS))
 
 
-def cache_evaluation(caches: DataFrame) -> DataFrame:
-    """From hit_ratio, utilisation (percent) and avg_entry: a rating, the issues, and what to do.
+#: Fixed values of the evaluation: the hit ratio wanted, the utilisation (percent) allowed, the factors that still are
+#: good and fair, allocations from which the hit ratio counts, the share of evictions and the entry size that are remarked.
+TARGET_HITS, MOST_USED = 0.85, 85.0
+GOOD_HITS, GOOD_USED, FAIR_HITS, FAIR_USED = 0.8, 1.1, 0.6, 1.2
+LEAST_ALLOCATIONS, MOST_EVICTED, SMALL_ENTRY = 100, 0.5, 1024
+#: Factors by which the capacity grows for a hit ratio below ``GOOD_HITS`` of the one wanted, and for too high a utilisation.
+MORE_FOR_HITS, MORE_FOR_USE = 1.5, 1.2
 
-    The score is the hit ratio less a tenth for each issue.
+
+def cache_evaluation(caches: DataFrame, target: float = TARGET_HITS, most: float = MOST_USED) -> DataFrame:
+    """Rating, issues, advice, whether to evict, the best capacity and what evicting would save.
+
+    Columns: hit_ratio, utilisation (percent), pressure, allocations,
+    evictions, entries, avg_entry, used, capacity (bytes).
     """
-    issues = {"low hit ratio": F.col("hit_ratio") < 0.7, "high pressure": F.col("utilisation") > 90, "mostly empty": F.col("utilisation") < 10, "large entries": F.col("avg_entry") > 1 << 20}
-    advice = {"low hit ratio": "raise the capacity or the timeout", "high pressure": "evict sooner", "mostly empty": "lower the capacity", "large entries": "split entries"}
-    found = lambda names: F.array_compact(F.array(*[F.when(issues[n], F.lit(names[n])) for n in issues]))
-    out = caches.withColumn("issues", found({n: n for n in issues})).withColumn("advice", found(advice))
-    score = clamp(F.col("hit_ratio") - F.size("issues") * 0.1, F.lit(0.0), F.lit(1.0))
-    return out.withColumn("score", score).withColumn("rating", rating(F.col("score"), 0.9, 0.75, 0.5))
-
-
-def optimal_capacity(entries: DataFrame, last_access: Column, size: Column, since: Column) -> DataFrame:
-    """Bytes of the entries used since a time: what a cache of just these would need, and what it would save."""
-    used = F.sum(F.when(last_access >= since, size).otherwise(0))
-    return entries.agg(used.alias("capacity"), (F.sum(size) - used).alias("saved"))
+    hits, used = F.col("hit_ratio"), F.col("utilisation")
+    target, most = min(max(target, 0.0), 1.0), min(max(most, 0.0), 100.0)
+    rating = (
+        F.when((hits >= target) & (used <= most), "Excellent")
+        .when((hits >= target * GOOD_HITS) & (used <= most * GOOD_USED), "Good")
+        .when((hits >= target * FAIR_HITS) & (used <= most * FAIR_USED), "Fair")
+        .otherwise("Poor")
+    )
+    issues = {"utilisation too high": used > most, "hit ratio below target": hits < target, "memory pressure": F.col("pressure")}
+    advice = {
+        "raise the capacity or evict more often": used > most,
+        "raise the capacity or adjust the timeout": hits < target,
+        "many evictions: raise the capacity": F.col("evictions") > F.col("allocations") * MOST_EVICTED,
+        "many small entries: consolidate": (F.col("entries") > 0) & (F.col("avg_entry") < SMALL_ENTRY),
+        "nothing to change": F.col("rating") == "Excellent",
+    }
+    listed = lambda tests: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]))
+    capacity = F.when(hits >= target, 1.0).when(hits < target * GOOD_HITS, MORE_FOR_HITS).when(used > most, MORE_FOR_USE).otherwise(1.0)
+    return (
+        caches.withColumn("rating", rating)
+        .withColumn("issues", listed(issues))
+        .withColumn("advice", listed(advice))
+        .withColumn("should_evict", (used > most) | ((hits < target) & (F.col("allocations") > LEAST_ALLOCATIONS)))
+        .withColumn("optimal_capacity", F.floor(F.col("capacity") * capacity).cast("long"))
+        .withColumn("savings", F.when(used > most, F.floor(F.col("used") * ((used - most) / 100.0))).otherwise(0).cast("long"))
+    )
+
+
+def totals(runs: DataFrame) -> DataFrame:
+    """What housekeeping has done so far, from its runs: kind (collection or consolidation), reclaimed, ended."""
+    return runs.agg(
+        F.count_if(F.col("kind") == "collection").alias("collections"),
+        F.count_if(F.col("kind") == "consolidation").alias("consolidations"),
+        F.coalesce(F.sum("reclaimed"), F.lit(0)).alias("reclaimed"),
+        F.max("ended").alias("last_run"),
+    )
 
 
 @dataclass

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import guarded_ratio, sha256_text
-from ..operators.prefix import groups_of, running
-
-#: Fixed codes of log entries.
-STORE, CREATE, TRANSFER, DELETE, TRUNCATE, COMMIT, ROLLBACK = range(1, 8)
+from ..operators.prefix import Descending, filled, groups_of, running
+from ..sources.shared import cut
 
 
 def transactions(log: DataFrame, tx: Column, seq: Column, commit: Column) -> DataFrame:
@@ -25,12 +23,23 @@ def committed(log: DataFrame, tx: Column, seq: Column, commit: Column) -> DataFr
 def replay(log: DataFrame, tx: str, seq: str, commit: Column) -> DataFrame:
     """Entries of committed transactions up to the first bad entry (``valid`` false), if the log has that column."""
     if "valid" in log.columns:
-        bad = log.where("not valid").agg(F.coalesce(F.min(seq), F.lit((1 << 63) - 1)).alias("_bad"))
-        log = log.crossJoin(F.broadcast(bad)).where(F.col(seq) < F.col("_bad")).drop("_bad")  # one row
+        bad = log.where("not valid").agg(F.min(seq).alias("bad"))
+        log = log.where(F.col(seq) < F.coalesce(bad.scalar(), F.lit((1 << 63) - 1)))
     done = log.groupBy(tx).agg(F.bool_or(commit).alias("_c")).where("_c").select(tx)
     return log.join(done, tx, "left_semi")
 
 
+def ordered_entries(log: DataFrame, tx: str, seq: str, entry: list[str], commit: Column) -> DataFrame:
+    """Each transaction with its entries in order as an array, and whether it was committed. For transactions that fit a row."""
+    items = F.sort_array(F.collect_list(F.struct(seq, *entry))).alias("entries")
+    return log.groupBy(tx).agg(items, F.bool_or(commit).alias("committed"))
+
+
+def sequence(log: DataFrame, tx: str, order: str, name: str = "seq") -> DataFrame:
+    """Number the entries of each transaction from 1."""
+    return log.withColumn(name, F.row_number().over(Window.partitionBy(tx).orderBy(order)))
+
+
 def last_committed(log: DataFrame, tx: Column, commit: Column) -> DataFrame:
     return log.where(commit).agg(F.coalesce(F.max(tx), F.lit(0)).alias("last_tx"))
 
@@ -66,11 +75,28 @@ def incremental(files: DataFrame, modified: Column, since: Column) -> DataFrame:
     return files.where(modified > since)
 
 
-def evictions(cache: DataFrame, order: list[Column], size: Column, target: int) -> DataFrame:
-    """Least recently used entries, until ``target`` bytes are freed."""
+def evictions(cache: DataFrame, order: list[Column | Descending], size: Column, target: int | Column) -> DataFrame:
+    """Least recently used entries, until ``target`` bytes are freed. Hand in the columns that are needed only."""
     return running(cache, order, {"freed_before": size}).where(F.col("freed_before") < target)
 
 
+def expired_first(cache: DataFrame, last_access: Column, expired_before: Column, tie: Column, size: Column, target: int) -> DataFrame:
+    """The same, but entries that weren't used since ``expired_before`` go first, in the order of their last use."""
+    fresh = F.coalesce(last_access >= expired_before, F.lit(False))
+    return evictions(cache, [fresh, last_access, tie], size, target)
+
+
+def cleared(cache: DataFrame, evict: Column, tie: Column, cost_ms: Column, budget_ms: int) -> DataFrame:
+    """A sweep within a time budget: the entries to clear, and ``done`` where the budget was enough for all entries.
+
+    Entries are looked at in the order of ``tie``, each at its cost; a sweep
+    whose budget ends before the last entry clears nothing.
+    """
+    rows = cache.withColumns({"_evict": evict, "_cost": cost_ms})
+    total = rows.agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("n"))
+    return rows.withColumn("done", total.scalar() <= budget_ms).where("_evict and done").drop("_evict", "_cost")
+
+
 def should_evict(age_ms: Column, cached: Column, has_references: Column, cache_size: Column, threshold: Column, timeout_ms: Column | None = None) -> Column:
     """The weight rule: old enough, or the room left is less than length times age (in 65 s), doubled without references."""
     weight = cached * F.shiftright(age_ms, 16)
@@ -92,19 +118,22 @@ def consolidation_groups(files: DataFrame, id_col: str, small: Column, size: int
     return grouped.join(alone, "grp", "left_semi").select(id_col, "grp")
 
 
-def roll_over(chunks: DataFrame, order: list[Column], size: Column, most: int) -> DataFrame:
-    """File number of each chunk when files are cut every ``most`` bytes of the stream."""
-    return running(chunks, order, {"_at": size}).withColumn("file_no", F.floor(F.col("_at") / most)).drop("_at")
+def roll_over(chunks: DataFrame, order: list[Column | Descending], size: Column, most: int) -> DataFrame:
+    """File number of each chunk: a new file is begun when the chunk would make the current one larger than ``most`` bytes."""
+    return filled(chunks, order, size, most)
+
+
+def merge_files(spark, paths: list[str], target: str) -> None:
+    """Write the rows of small Parquet files as one file's worth of rows."""
+    spark.read.parquet(*paths).coalesce(1).write.parquet(target)
 
 
 def reachable(roots: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
     """Ids reachable from ``roots`` (id) along ``edges`` (src, dst): a breadth-first search by joins.
 
-    As many rounds as the longest shortest path; the visited set is
-    checkpointed, where the session has a folder for that.
+    As many rounds as the longest shortest path; each front is checkpointed
+    in the shared folder.
     """
-    sc = edges.sparkSession.sparkContext
-    cut = lambda df: df.checkpoint() if sc.getCheckpointDir() else df.persist()
     seen = front = roots.select("id").distinct()
     step = 0
     while True:
@@ -122,9 +151,30 @@ def sweep(objects: DataFrame, live: DataFrame, id_col: str) -> DataFrame:
     return objects.join(live.select(F.col("id").alias(id_col)), id_col, "left_anti")
 
 
-def file_rollup(files: DataFrame, channel: Column, file: Column, size: Column) -> DataFrame:
-    """Totals by file, channel and storage."""
-    return files.rollup(channel.alias("channel"), file.alias("file_no")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("bytes"))
+def touched(entities: DataFrame, ids: DataFrame, id_col: str, now: Column) -> DataFrame:
+    """Entities whose last use is now, for the ids in question."""
+    hit = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct().withColumn("_hit", F.lit(True))
+    return entities.join(hit, id_col, "left").withColumn("last_touched", F.when(F.col("_hit"), now).otherwise(F.col("last_touched"))).drop("_hit")
+
+
+def entity_state(entities: DataFrame, cached: Column, deleted: Column, marked: Column, queued: Column) -> DataFrame:
+    """is_live, is_deleted and the collector's colour (white: not reached, grey: reached, black: done) of each entity."""
+    colour = F.when(~marked, "white").when(queued, "grey").otherwise("black")
+    return entities.withColumns({"is_live": cached & ~deleted, "is_deleted": deleted, "colour": colour})
+
+
+def adjacency(objects: DataFrame, id_col: str, references: str) -> DataFrame:
+    """The edges of a store, as an export lists them: src, dst; nothing for null references."""
+    return objects.select(F.col(id_col).alias("src"), F.explode(references).alias("dst")).where("dst is not null")
+
+
+def file_rollup(files: DataFrame, channel: Column, file: Column, size: Column, live: Column | None = None) -> DataFrame:
+    """Totals by file, channel and storage; with ``live`` also the share of live bytes."""
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("bytes")]
+    if live is None:
+        return files.rollup(channel.alias("channel"), file.alias("file_no")).agg(*sums)
+    out = files.rollup(channel.alias("channel"), file.alias("file_no")).agg(*sums, F.coalesce(F.sum(live), F.lit(0)).cast("long").alias("live"))
+    return out.withColumn("usage", guarded_ratio(F.col("live"), F.col("bytes")))
 
 
 def usage(files: DataFrame, total: str, live: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running
 from ..operators.relations import overlapping
 
 #: Schemes of the stores and how Spark addresses them; the others have no Hadoop file system.
@@ -24,10 +25,20 @@ def read_files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def with_offsets(blobs: DataFrame, file: str, number: str, size: Column, name: str = "start_off") -> DataFrame:
-    """Add the byte at which each blob begins in its file."""
-    before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    return blobs.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+def with_offsets(blobs: DataFrame, file: str, number: str, size: Column, name: str = "start_off", large: bool = False) -> DataFrame:
+    """Add the byte at which each blob begins in its file.
+
+    A window of each file, in one task; for files of very many blobs
+    (``large``) a running sum over all, dealt by (file, number), from which the
+    sum at the file's beginning is taken off.
+    """
+    if not large:
+        before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+        return blobs.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    placed = running(blobs, [F.col(file), F.col(number)], {"_all": size})
+    firsts = placed.groupBy(F.col(file).alias("_file")).agg(F.min("_all").alias("_first"))
+    out = placed.join(firsts, F.col(file).eqNullSafe(F.col("_file")))
+    return out.withColumn(name, F.col("_all") - F.col("_first")).drop("_all", "_first", "_file")
 
 
 def file_sizes(blobs: DataFrame, file: str, size: Column) -> DataFrame:
@@ -46,13 +57,18 @@ def range_blobs(blobs: DataFrame, file: str, number: str, size: Column, offset:
     return overlapping(placed, F.col("_start"), end, F.lit(offset), last)
 
 
-def read_range(blobs: DataFrame, file: str, number: str, data: str, offset: int, length: int) -> DataFrame:
-    """The bytes of a range of each file, cut from its blobs and put together in order."""
+def range_parts(blobs: DataFrame, file: str, number: str, data: str, offset: int, length: int) -> DataFrame:
+    """The parts of a range of each file: its blobs, cut to the range, in rows of their own."""
     hit = range_blobs(blobs, file, number, F.octet_length(data).cast("long"), offset, length)
     first = F.greatest(F.lit(offset) - F.col("_start"), F.lit(0))
     n = F.least(F.lit(offset + length) - F.col("_start"), F.col("_size")) - first if length >= 0 else F.col("_size") - first
-    part = F.substring(F.col(data), (first + 1).cast("int"), n.cast("int"))
-    pieces = hit.select(file, F.struct(F.col(number).alias("n"), F.hex(part).alias("h")).alias("p"))
+    return hit.withColumn(data, F.substring(F.col(data), (first + 1).cast("int"), n.cast("int"))).drop("_start", "_size")
+
+
+def read_range(blobs: DataFrame, file: str, number: str, data: str, offset: int, length: int) -> DataFrame:
+    """The bytes of a range of each file, put together in order: for ranges that fit a row."""
+    parts = range_parts(blobs, file, number, data, offset, length)
+    pieces = parts.select(file, F.struct(F.col(number).alias("n"), F.hex(data).alias("h")).alias("p"))
     return pieces.groupBy(file).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["h"]), "")).alias(data))
 
 
@@ -74,6 +90,25 @@ def copy_file(blobs: DataFrame, file: str, source: str, target: str) -> DataFram
     return blobs.unionByName(blobs.where(F.col(file) == source).withColumn(file, F.lit(target)))
 
 
+def copy_range(blobs: DataFrame, file: str, number: str, data: str, source: str, offset: int, length: int, target: str) -> DataFrame:
+    """Append a range of a file to another one, as new blobs."""
+    own = blobs.where(F.col(file) == target).agg(F.coalesce(F.max(number) + 1, F.lit(0)).alias("n"))
+    parts = range_parts(blobs.where(F.col(file) == source), file, number, data, offset, length)
+    least = parts.agg(F.min(number).alias("n"))
+    moved = parts.withColumns({file: F.lit(target), number: (F.col(number) - least.scalar() + own.scalar()).cast(blobs.schema[number].dataType)})
+    return blobs.unionByName(moved.select(*blobs.columns))
+
+
+def append_blob(blobs: DataFrame, file: str, number: str, data: str, name: str, content: bytes, store: str = "local") -> DataFrame:
+    """Write bytes to a file: a further blob, or the only one in stores that overwrite. Nothing is written for no bytes."""
+    if not content:
+        return blobs
+    kept = blobs.where(F.col(file) != name) if store in OVERWRITE else blobs
+    top = F.lit(0) if store in OVERWRITE else blobs.where(F.col(file) == name).agg(F.coalesce(F.max(number) + 1, F.lit(0)).alias("n")).scalar()
+    row = blobs.sparkSession.createDataFrame([(name, bytearray(content))], f"`{file}` string, `{data}` binary").withColumn(number, top.cast(blobs.schema[number].dataType))
+    return kept.unionByName(row, allowMissingColumns=True)
+
+
 def move_file(blobs: DataFrame, file: str, source: str, target: str) -> DataFrame:
     return blobs.withColumn(file, F.when(F.col(file) == source, F.lit(target)).otherwise(F.col(file)))
 

@@ -12,20 +12,32 @@ from ..sources.store import Engine
 
 
 def store_stream(changes: DataFrame, engine: Engine, name: str, checkpoint: str, every: str | None = None):
-    """Append each micro-batch of a change feed to a root as one commit. A repeated batch is skipped."""
+    """Append each micro-batch of a change feed to a root. A batch and its number are one commit, so a repeated batch is skipped."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        manifest = engine.manifest(name)
-        seen = (manifest or {}).get("meta", {}).get("epoch", -1)
-        if epoch <= seen or batch.isEmpty():
-            return
-        engine.append(name, batch)
-        engine._commit(name, engine.manifest(name) | {"meta": {"epoch": epoch}})
+        meta = (engine.manifest(name) or {}).get("meta", {})
+        if epoch > meta.get("epoch", -1) and not batch.isEmpty():
+            engine.append(name, batch, {"epoch": epoch})
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def from_earliest(spark, path: str, schema: str, format: str = "parquet", **options: str) -> DataFrame:
+    """A growing log read from its first entry on, as a stream: files of a folder, or a topic with ``format="kafka"``."""
+    if format == "kafka":
+        options = {"subscribe": path, "startingOffsets": "earliest"} | options
+        return spark.readStream.format("kafka").options(**options).load()
+    return spark.readStream.schema(schema).format(format).options(**options).load(path)
+
+
+def latest_by_key(log: DataFrame, key: str, order: str) -> DataFrame:
+    """The state that a log makes when it is replayed: the last entry of each key, without those that are null."""
+    values = [c for c in log.columns if c not in (key, order)]
+    last = log.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("v"))
+    return last.where("v is not null").select(key, "v.*")
+
+
 def committed_stream(log: DataFrame, tx: str, ts: str, commit: Column) -> DataFrame:
     """Transactions of a streamed log that have a commit entry (update mode): the batch form, with ``ts`` as sequence.
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from keymere.plans import catalog_more  # noqa: F401  adds its queries
+from keymere.plans import catalog_more, catalog_store  # noqa: F401  add their queries
 from keymere.plans.catalog import QUERIES
 from keymere.plans.catalog_sql import SQL
 

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keymere.functions.conditions import Is
-from keymere.functions.keys import ignore_case, property_key
+from keymere.functions.conditions import Is, Row
+from keymere.functions.keys import Indexer, ignore_case, property_key
 from keymere.operators import index as sets
 from keymere.operators.constraints import ConstraintViolation, CustomConstraint, UniqueConstraint
 from keymere.operators.entity_map import EntityMap, ReadOnlyError, Segments, builder
@@ -33,6 +33,57 @@ def test_add(spark, people):
     assert people.add_all(new.limit(0), [F.col("mail")]).next_id == 5
 
 
+def test_next_id_is_looked_up(spark):
+    df = spark.createDataFrame([(3, "a"), (9, "b")], "id long, v string")
+    m = EntityMap(df, "id")
+    assert sorted(r.id for r in m.add(v="c").add(v="d").df.collect()) == [3, 9, 10, 11]
+    assert sorted(r.id for r in m.remove([9]).add(v="c").df.collect()) == [3, 10]  # ids aren't used again
+    assert EntityMap(df.limit(0), "id").add(v="x").df.first().id == 0
+    with pytest.raises(ValueError):
+        EntityMap(df, "id", next_id=5).add(v="x")
+    with pytest.raises(ValueError):
+        m.add(w="x")
+    with pytest.raises(ValueError):
+        m.add(id=4, v="x")
+
+
+def test_the_same_entity(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, None, 3)], "id long, v string, n int")
+    m = builder(df, "id", equality=("v",))
+    assert m.find(v="a", n=99) == 1 and m.find(v=None) == 3 and m.find(v="z") == -1 and EntityMap(df, "id").find(v="a", n=2) == 2
+    left, found = m.remove_entity(v="a")
+    assert found == 1 and sorted(r.id for r in left.df.collect()) == [2, 3] and m.remove_entity(v="z") == (m, -1)
+    assert {r.id: r.v for r in m.replace({"v": "a"}, {"v": "q", "n": 5}).df.collect()} == {1: "q", 2: "a", 3: None}
+    with pytest.raises(KeyError):
+        m.replace({"v": "z"}, {"v": "q"})
+    same = {"v": "a"}
+    with pytest.raises(ValueError):
+        m.replace(same, same)
+
+
+def test_rules_of_change(spark, people):
+    rule = CustomConstraint("older", "old is null or new.age >= old.age", on_change=True)
+    people.constraints.add(rule)
+    assert ages(people.update(Is(MAIL, "p1@x"), {"age": F.col("age") + 5}))[1] == 26
+    with pytest.raises(ConstraintViolation, match="older"):
+        people.update(Is(MAIL, "p1@x"), {"age": F.lit(18)})
+    people.add(mail="n@x", age=18)
+    found = people.constraints.violations(people.df.withColumn("age", F.lit(17)), "entity_id", people.df).collect()
+    assert sorted({r.constraint_name for r in found}) == ["grown", "older"] and len(found) == 10
+    with pytest.raises(ValueError):
+        UniqueConstraint((Indexer("text", "mail", "string", unique_allowed=False),))
+
+
+def test_queries_of_queries(spark, people):
+    q = people.with_index(property_key("text", "mail")).query
+    assert q("age", 20).or_(q("age", 21), q("age", 22)).count() == 3
+    assert q("age", key_type="int").is_(20).count() == 1 and q("text", key_type="string").is_("P1@x").count() == 1
+    with pytest.raises(TypeError):
+        q("age", key_type="string")
+    assert q("age").is_in(20, 21).where(F.col("mail") == "P1@x").count() == 1 and q(Row(F.col("age") > 22)).count() == 2
+    assert q(~Row(F.col("age") > 22)).count() == 3
+
+
 def test_constraints(spark, people):
     with pytest.raises(ConstraintViolation, match="mail"):
         people.add(mail="p1@X", age=30)
@@ -127,8 +178,23 @@ def test_store(spark, tmp_path, people):
     assert engine.root("x").count() == 8 and engine.roots() == ["x"]
     engine.register("people", people.remove([4]))
     engine.store_map("people")
-    loaded = engine.load_map("people")
-    assert loaded.next_id == 5 and set(ages(loaded)) == {0, 1, 2, 3}
+    with pytest.raises(StorageError, match="grown"):  # its predicate is a column, which has no stored form
+        engine.load_map("people")
+    grown = CustomConstraint("grown", F.col("age") >= 18)
+    loaded = engine.load_map("people", custom=(grown,))
+    assert loaded.next_id == 5 and set(ages(loaded)) == {0, 1, 2, 3} and loaded.query("age", 21).count() == 1
+    for bad in ({"mail": "p1@X", "age": 30}, {"mail": "new", "age": 3}):
+        with pytest.raises(ConstraintViolation):
+            loaded.add(**bad)
+    assert ages(loaded.add(mail="new", age=30))[5] == 30
     assert spark.table("people").count() == 4
+    own = builder(people.df, "entity_id", property_key("year", lambda d: d["age"] + 1), custom=(CustomConstraint("old", "age > 3"),))
+    engine.register("own", own)
+    engine.store_map("own")
+    with pytest.raises(StorageError, match="year"):
+        engine.load_map("own")
+    again = engine.load_map("own", (property_key("year", lambda d: d["age"] + 1),))
+    assert again.query("year", 22).count() == 1 and again.constraints.has("old") and again.segments == Segments()
+    assert "part_id" not in again.df.columns and engine.load_segments("own", 1, 2).count() == 2
     with pytest.raises(StorageError):
         engine.load_map("nothing")

@@ -2,13 +2,17 @@
 
 import hashlib
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keymere.functions import paths, scalars
-from keymere.plans import monitor, storage
+from keymere.operators import prefix
+from keymere.plans import monitor, storage, translog
 from keymere.sources import blobs
-from keymere.sources.store import Engine
+from keymere.sources.store import Engine, StorageError
 from keymere.streaming import feeds
 
 
@@ -24,6 +28,13 @@ def test_blobs(spark):
     assert [(r.blob_no, bytes(r.data)) for r in parts] == [(0, b"abc"), (1, b"def"), (2, b"g")]
     assert blobs.copy_file(df, "path", "f", "h").count() == 7 and blobs.move_file(df, "path", "f", "h").where("path = 'h'").count() == 3
     assert blobs.delete_file(df, "path", "f").count() == 1
+    both = blobs.copy_range(df, "path", "n", "data", "f", 3, 5, "g")
+    assert {r.path: bytes(r.data) for r in blobs.read_range(both, "path", "n", "data", 0, -1).collect()} == {"f": b"hello world", "g": b"xlo wo"}
+    more = blobs.append_blob(blobs.append_blob(df, "path", "n", "data", "g", b"yz"), "path", "n", "data", "new", b"1")
+    assert {r.path: bytes(r.data) for r in blobs.read_range(more, "path", "n", "data", 0, -1).collect()} == {"f": b"hello world", "g": b"xyz", "new": b"1"}
+    assert blobs.append_blob(df, "path", "n", "data", "f", b"over", "nio").where("path = 'f'").count() == 1 and blobs.append_blob(df, "path", "n", "data", "f", b"") is df
+    dealt = blobs.with_offsets(df.withColumn("size", F.octet_length("data")), "path", "n", F.col("size"), large=True)
+    assert sorted((r.path, r.n, r.start_off) for r in dealt.collect()) == [("f", 0, 0), ("f", 1, 5), ("f", 2, 5), ("g", 0, 0)]
     assert blobs.uri("s3", "bucket/a") == "s3a://bucket/a"
     with pytest.raises(ValueError):
         blobs.uri("redis", "x")
@@ -38,6 +49,12 @@ def test_paths(spark):
     assert [r.b for r in n] == [12, None, None]
     ok = lambda name, store: spark.range(1).select(paths.valid_container(F.lit(name), store)).first()[0]
     assert ok("my-bucket", "s3") and not ok("My", "s3") and not ok("192.168.1.1", "s3") and not ok("..", "kafka") and ok("a_b", "kafka") and not ok("a--b", "azure")
+    assert ok("my.bucket.", "s3") and not ok("xn--a", "s3") and not ok("Big", "oci") and not ok("a..b", "oci") and ok("7", "oci")
+    key = lambda k, store: spark.range(1).select(paths.valid_key(F.lit(k), store)).first()[0]
+    assert key("a/b c", "azure") and not key("a<b", "azure") and not key("a.", "azure") and not key("a\tb", "azure") and not key(" a", "oci") and not key("..", "oci") and not key("x" * 1025, "s3")
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(paths.topic_name(F.lit("a/b c/ü"))) == "a_b_c__" and one(paths.topic_name(F.lit("__x"))) == "ns__x" and one(paths.topic_name(F.lit(".."))) == "ns_.."
+    assert len(one(paths.topic_name(F.lit("y" * 300)))) == 249 and one(paths.index_topic(F.lit("t"))) == "__t_index" and one(paths.is_valid_path(F.lit("my-bucket/a/b"), "s3"))
 
 
 def test_scalars(spark):
@@ -68,7 +85,7 @@ def test_scalars(spark):
 
 def test_log(spark):
     log = spark.createDataFrame([(1, 1, 1, 0, 10), (1, 2, 6, 0, 0), (2, 3, 1, 10, 5), (3, 4, 1, 15, 5), (3, 5, 6, 0, 0)], "tx long, seq long, type int, off long, len long")
-    done = F.col("type") == storage.COMMIT
+    done = F.col("type") == translog.COMMIT
     assert sorted(r.tx_id for r in storage.committed(log, F.col("tx"), F.col("seq"), done).collect()) == [1, 3]
     assert storage.replay(log, "tx", "seq", done).count() == 4
     assert storage.replay(log.withColumn("valid", F.col("seq") < 4), "tx", "seq", done).count() == 2
@@ -94,6 +111,16 @@ def test_cache_and_files(spark):
     assert sorted(r.id for r in storage.evictions(cache, [F.col("seen"), F.col("id")], F.col("size"), 7).collect()) == [3, 4, 5]
     chunks = storage.roll_over(cache, [F.col("id")], F.col("size"), 6).orderBy("id").collect()
     assert [r.file_no for r in chunks] == [0, 0, 1, 1, 2, 2]
+    unequal = spark.createDataFrame([(0, 4), (1, 4), (2, 0), (3, 5), (4, 25), (5, 1), (6, None), (7, 9)], "id long, size long")
+    chunks = storage.roll_over(unequal, [F.col("id")], F.col("size"), 10).orderBy("id").collect()
+    assert [r.file_no for r in chunks] == [0, 0, None, 1, 2, 3, None, 3]
+    first = storage.roll_over(unequal.where("id = 4"), [F.col("id")], F.col("size"), 10).first()
+    assert first.file_no == 1  # the empty first file is left
+    old = spark.createDataFrame([(i, i % 4, 2) for i in range(8)], "id long, seen long, size long")
+    gone = storage.expired_first(old.withColumn("seen", 10 - F.col("seen")), F.col("seen"), F.lit(9), F.col("id"), F.col("size"), 7)
+    assert sorted(r.id for r in gone.collect()) == [2, 3, 6, 7]
+    sweep = lambda ms: sorted(r.id for r in storage.cleared(old, F.col("seen") > 2, F.col("id"), F.lit(1), ms).collect())
+    assert sweep(8) == [3, 7] and sweep(7) == []
     files = spark.createDataFrame([(i, 1) for i in range(6)], "f long, size long")
     assert storage.consolidation_groups(files, "f", F.col("size") < 5).count() == 5
     assert storage.usage(files.limit(0).withColumn("live", F.lit(0)), "size", "live").first().usage == 0.0
@@ -139,3 +166,127 @@ def test_committed_stream_counts_whole_transactions(spark, tmp_path):
         q.awaitTermination()
     want = {r.tx_id: tuple(r) for r in storage.committed(log, F.col("tx"), F.col("ts"), F.col("done")).collect()}
     assert got == want and {k: v[1] for k, v in got.items()} == {1: 2, 2: 4, 4: 2}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 14), max_size=12), min_size=1, max_size=6), st.integers(1, 20))
+def test_filling_over_partitions(parts, most):
+    """What each partition states of any filling, chained, is what one pass over all rows gives."""
+    container = filling = 0
+    chained = []
+    for values in parts:
+        values = np.array(values, np.int64)
+        upto, begun, left = prefix._outcomes(values[values > 0], most)
+        assert (np.diff(upto) > 0).all()
+        number, *end = prefix._numbers(values, most, container, filling)
+        chained += [int(n) for n, v in zip(number, values) if v > 0]
+        k = int(np.searchsorted(upto, filling, "left"))
+        assert end == [container + int(begun[k]), int(left[k]) if begun[k] else filling + int(left[k])]
+        container, filling = end
+    want, container, filling = [], 0, 0
+    for v in (v for values in parts for v in values if v > 0):
+        if filling + v > most:
+            container, filling = container + 1, 0
+        filling += v
+        want.append(container)
+    assert chained == want
+
+
+def test_filled_over_many_partitions(spark):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 60, 3000)
+    df = spark.createDataFrame([(int(i), int(v)) for i, v in enumerate(sizes)], "id long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.file_no for r in prefix.filled(df.repartition(5), [prefix.Descending(F.col("id"))], F.col("v"), 200).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    container = filling = 0
+    for i in range(2999, -1, -1):
+        v = int(sizes[i])
+        if not v:
+            assert got[i] is None
+            continue
+        if filling + v > 200:
+            container, filling = container + 1, 0
+        filling += v
+        assert got[i] == container
+    assert prefix.filled(df.limit(0), [F.col("id")], F.col("v"), 200).count() == 0
+
+
+def test_log_frames(spark, tmp_path):
+    entry = {"type": translog.STORE, "tx_id": 5, "ts_ms": 1, "channel": 2, "seq": 3, "file_no": 4, "offset": 10, "length": 20, "object_ids": [1, -2]}
+    frame = translog.encode(entry)
+    assert {k: v for k, v in translog.decode(frame).items() if v is not None} == entry
+    assert translog.decode(frame[:-1]) is None and translog.decode(frame[:9] + b"x" + frame[10:]) is None and translog.decode(b"") is None
+    made = [translog.encode(entry | {"seq": k}) for k in range(4)] + [translog.encode({"type": translog.CREATE, "tx_id": 1, "ts_ms": 0, "channel": 0, "seq": 9, "file_no": 1, "path": "ä.dat"})]
+    assert list(translog.split(b"".join(made))) == made
+    (tmp_path / "a.log").write_bytes(b"".join(made))
+    (tmp_path / "b.log").write_bytes(b"".join(made[:2]) + made[2][:-3] + made[3])  # damaged in the third
+    got = translog.read_files(spark, str(tmp_path)).collect()
+    assert sorted((r.path or "", r.seq) for r in got) == sorted([("", 0), ("", 1), ("", 2), ("", 3), ("ä.dat", 9), ("", 0), ("", 1)])
+
+
+def test_log_writer_and_recovery(spark, tmp_path):
+    engine = Engine.start(spark, f"file://{tmp_path}/store")
+    log = translog.Log(engine)
+    assert log.entries().count() == 0
+    a, b, c = log.begin(), log.begin(), log.begin()
+    log.store(a, 1, 0, 100, [1])
+    log.store(b, 2, 0, 50, [2])
+    log.store(a, 3, 0, 70, [3])
+    log.commit(a)
+    log.rollback(b)  # c is still open when the writer dies
+    log.store(c, 4, 0, 1, [4])
+    with pytest.raises(StorageError):
+        log.store(b, 2, 0, 50, [2])
+    sizes = spark.createDataFrame([(1, 100), (3, 60)], "file_no long, size long")
+    found = {r.file_no: (r.expected_size, r.state) for r in translog.recover(engine, "log", sizes).collect()}
+    assert found == {1: (100, "ok"), 3: (70, "short")}
+    again = translog.Log(engine)
+    assert again.position == log.position and again.begin() == 3
+    engine.append("log", spark.createDataFrame([(again.position, bytearray(b"damaged"))], translog.FRAME))
+    late = translog.Log(engine)
+    d = late.begin()
+    late.delete(d, 1)
+    late.commit(d)
+    assert late.entries().where(F.col("tx_id") == d).count() == 0  # behind the damage
+
+
+def test_recorder_and_monitors(spark, tmp_path):
+    engine = Engine.start(spark, f"file://{tmp_path}/store")
+    r = monitor.Recorder(engine, at_once=3)
+    assert r.events().count() == 0
+    for k in range(4):
+        r.write(k, 10, 1000 * k, ok=k != 2)
+    with pytest.raises(ZeroDivisionError), r.timed("work"):
+        1 / 0
+    got = {x.op: (x.total, x.failed) for x in monitor.by_operation(r.events(), F.col("op"), F.col("nanos"), F.col("ok")).collect()}
+    assert got == {"Write": (4, 1), "work": (1, 1)} and r.events(2).count() == 2
+    m = monitor.Monitors()
+    m.add("a", "cache", lambda: spark.range(2))
+    m.add("b", "files", lambda: spark.range(3))
+    assert m.get("b").count() == 3 and m.get("x") is None and list(m.of_kind("cache")) == ["a"] and m.listed(spark).count() == 2
+    with pytest.raises(ValueError):
+        m.add("a", "cache", lambda: None)
+
+
+def test_replay_of_a_growing_log(spark, tmp_path):
+    log = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (1, 3, "c"), (2, 4, None)], "key long, n long, value string")
+    assert {r.key: r.value for r in feeds.latest_by_key(log, "key", "n").collect()} == {1: "c", 2: None}
+    log.write.parquet(f"{tmp_path}/in")
+    stream = feeds.from_earliest(spark, f"{tmp_path}/in", "key long, n long, value string")
+    q = stream.writeStream.format("memory").queryName("replayed").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert stream.isStreaming and spark.table("replayed").count() == 4
+
+
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    """A batch whose commit was done before the stream's own checkpoint was written comes again and is skipped."""
+    engine = Engine.start(spark, f"file://{tmp_path}/store")
+    spark.range(30).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    feeds.store_stream(stream, engine, "x", f"{tmp_path}/one").awaitTermination()
+    assert engine.manifest("x")["meta"] == {"epoch": 0} and engine.manifest("x")["version"] == 1
+    feeds.store_stream(stream, engine, "x", f"{tmp_path}/lost").awaitTermination()  # batch 0 once more
+    assert engine.root("x").count() == 30 and engine.manifest("x")["version"] == 1
