@@ -28,8 +28,8 @@ from .toxicity import stems
 RATE = 0.1
 #: Steps of a walk for each word of its piece; by then it has nearly always left the piece.
 STEPS = 3
-#: Items compared in one pass over the documents.
-ITEMS_AT_ONCE = 20_000
+#: Items, and bytes of their texts, compared in one pass over the documents. The index of so many has about 8 bytes a byte.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 8 << 20
 _BLOCK = 1 << 16
 FOUND = "item_id long, first_word long, n_words long, distance long, item_words long"
 
@@ -81,7 +81,7 @@ class _Table:
     hashes: np.ndarray  # ascending
     owners: np.ndarray  # item numbers
     firsts: np.ndarray  # first word of the piece in its item
-    seen: np.ndarray  # bitmap of the hashes
+    seen: np.ndarray  # bitmap of the hashes, 32 to 64 times as many bits
 
 
 class ItemIndex:
@@ -112,9 +112,13 @@ class ItemIndex:
         key = walk_keys(symbols(words), len(words), [size])[0][::size]
         order = np.argsort(key, kind="stable")
         owners, firsts = np.array(pieces).T
-        seen = np.zeros(1 << min(max(16, len(pieces).bit_length() + 8), 26), bool)
+        seen = np.zeros(1 << min(max(12, len(pieces).bit_length() + 5), 32), bool)
         seen[key & np.uint32(len(seen) - 1)] = True
-        return _Table(size, key[order], owners[order], firsts[order], seen)
+        return _Table(size, key[order], owners[order].astype(np.int32), firsts[order].astype(np.int32), np.packbits(seen, bitorder="little"))
+
+    def n_bytes(self) -> int:
+        """Of the arrays."""
+        return sum(v.nbytes for v in self.values) + sum(t.hashes.nbytes + t.owners.nbytes + t.firsts.nbytes + t.seen.nbytes for t in self.tables)
 
     def candidates(self, values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(texts, item numbers, where the item would start) of windows that agree with a piece."""
@@ -124,7 +128,8 @@ class ItemIndex:
         for first in range(0, len(values), _BLOCK):
             near = letters[first : first + _BLOCK + max(sizes)]
             for t, key in zip(self.tables, walk_keys(near, min(_BLOCK, len(values) - first), sizes)):
-                maybe = np.flatnonzero(t.seen[key & np.uint32(len(t.seen) - 1)])
+                low = key & np.uint32(8 * len(t.seen) - 1)
+                maybe = np.flatnonzero(np.take(t.seen, low >> np.uint32(3)) >> (low & np.uint32(7)).astype(np.uint8) & np.uint8(1))
                 if not len(maybe):
                     continue
                 a, b = np.searchsorted(t.hashes, key[maybe], "left"), np.searchsorted(t.hashes, key[maybe], "right")
@@ -186,16 +191,20 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col:
 
     A passage counts if it differs from the item in at most ``rate`` of the
     item's words (insertions, deletions, substitutions), wherever the edits
-    lie; of an item's passages in a text the closest is given. Items and texts that are null or without words match
-    nothing. Items go to the tasks in blocks of ``ITEMS_AT_ONCE``, each
-    against all documents. Repeated rows give repeated results.
+    lie; of an item's passages in a text the closest is given, and of equally
+    close ones the first. So an item of one word is found in every text that
+    has this word, whole texts being searched however long they are. Items and
+    texts that are null or without words match nothing; an empty table of
+    either gives no rows. Items go to the tasks in blocks of about
+    ``ITEMS_AT_ONCE`` items and ``BYTES_AT_ONCE`` bytes, each against all
+    documents. Repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {FOUND}"
     wanted = items.where("text is not null").select("item_id", "text")
-    total = wanted.count()
-    blocks = -(-total // ITEMS_AT_ONCE)
+    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    blocks = max(-(-total["n"] // ITEMS_AT_ONCE), -(-total["b"] // BYTES_AT_ONCE) if total["n"] else 0)
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
