@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from .scratch import Scratch
 BITS = 60
 #: Bits looked at in the first round, and in each later one.
 FIRST, STEP = 12, 4
-#: Above so many shards (8 bytes each) the directory is joined instead of sent to tasks.
-SENT_SHARDS = 1 << 21
+#: Up to so many shards (17 bytes each) the directory is sent to all tasks; a larger one is joined.
+SENT_SHARDS = 1 << 20
 
 
 def hash_bits(key: Column) -> Column:
@@ -26,65 +25,39 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-@dataclass(frozen=True)
-class Directory:
-    """Leaves in order of their first hash: depth and prefix of each; ``overflow`` marks those that no bit can split."""
+DIRECTORY = "depth long, prefix long, overflow boolean"
 
-    depths: np.ndarray
-    prefixes: np.ndarray
-    overflow: np.ndarray
 
-    @property
-    def firsts(self) -> np.ndarray:
-        return self.prefixes << (BITS - self.depths)
+def build_directory(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """The leaves that have rows, as a table (depth, prefix, overflow); ``overflow`` marks those that no bit can split.
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.firsts, hashes, "right") - 1
-
-
-def build_directory(rows: DataFrame, limit: int) -> Directory:
-    """Split only buckets over ``limit`` bytes, bit by bit.
-
-    ``rows`` has columns h and n_bytes. Each round gathers the sums of the
-    next few bits of the buckets that are still too large, so what reaches the
-    driver is a few numbers per shard.
+    ``rows`` has columns h and n_bytes. Only buckets over ``limit`` bytes are
+    split: each round sums up the next few bits of the buckets that are still
+    too large, and settles those of their parts that fit while the part they
+    come from doesn't. The driver sees whether a round left large buckets, and
+    nothing else; rounds are as many as the deepest leaf needs.
     """
-    leaves: list[tuple[int, int, bool]] = []
-
-    def settle(depth: int, sums: dict[int, int], above: int) -> list[int]:
-        """Leaves between depth ``above`` and ``depth``; returns prefixes at ``depth`` that are still too large."""
-        levels = [sums]
-        for _ in range(depth - above):
-            up: dict[int, int] = {}
-            for p, n in levels[-1].items():
-                up[p >> 1] = up.get(p >> 1, 0) + n
-            levels.append(up)
-        large, todo = [], [(above, p) for p in levels[-1]]
-        while todo:
-            d, p = todo.pop()
-            if levels[depth - d].get(p, 0) <= limit and d < BITS + 1 and not (d == above and above):
-                leaves.append((d, p, False))
-            elif d == depth:
-                large.append(p)
-            else:
-                todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-        return large
-
-    depth = FIRST
-    prefix = lambda d: F.shiftright("h", BITS - d)
-    sums = {r["p"]: r["n"] for r in rows.groupBy(prefix(depth).alias("p")).agg(F.sum("n_bytes").alias("n")).collect()}
-    large = settle(depth, sums or {0: 0}, 0)
-    while large and depth < BITS:
-        spark, before = rows.sparkSession, depth
-        depth = min(BITS, depth + STEP)
-        parts = spark.createDataFrame([(p,) for p in large], "up long")
-        rows = rows.withColumn("up", prefix(before)).join(parts, "up", "left_semi").drop("up")
-        sums = {r["p"]: r["n"] for r in rows.groupBy(prefix(depth).alias("p")).agg(F.sum("n_bytes").alias("n")).collect()}
-        large = settle(depth, sums, before)
-    leaves += [(BITS, p, True) for p in large]
-    leaves.sort(key=lambda x: x[1] << (BITS - x[0]))
-    d, p, o = zip(*leaves) if leaves else ((0,), (0,), (False,))
-    return Directory(np.array(d, np.int64), np.array(p, np.int64), np.array(o, bool))
+    leaves, above, depth, large = None, 0, FIRST, None
+    while True:
+        prefix = lambda d: F.shiftright("h", BITS - d)
+        part = rows if large is None else rows.withColumn("up", prefix(above)).join(large.withColumnRenamed("prefix", "up"), "up", "left_semi")
+        deep = part.groupBy(prefix(depth).alias("prefix")).agg(F.sum("n_bytes").alias("n"))
+        levels = F.sequence(F.lit(above), F.lit(depth))
+        sums = deep.withColumn("depth", F.explode(levels)).groupBy("depth", F.expr(f"shiftright(prefix, {depth} - depth)").alias("prefix")).agg(F.sum("n").cast("long").alias("n"))
+        sums = scratch.table(sums.withColumn("depth", F.col("depth").cast("long")), f"sums-{depth}")
+        fits = sums.where(F.col("n") <= limit)
+        if large is not None:
+            fits = fits.where(F.col("depth") > above)
+        parents = sums.where(F.col("n") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+        split = fits.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_semi")
+        split = split.unionByName(fits.where("depth = 0").withColumn("parent", F.lit(0).cast("long"))).select("depth", "prefix", F.lit(False).alias("overflow"))
+        leaves = split if leaves is None else leaves.unionByName(split)
+        large = scratch.table(sums.where((F.col("n") > limit) & (F.col("depth") == depth)).select("prefix"), f"large-{depth}")
+        if depth == BITS or large.isEmpty():
+            break
+        above, depth = depth, min(BITS, depth + STEP)
+    over = large.select(F.lit(BITS).cast("long").alias("depth"), "prefix", F.lit(True).alias("overflow"))
+    return scratch.table(leaves.unionByName(over), "directory")
 
 
 def shard_rows(docs: DataFrame, limit: int, scratch: Scratch, key_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -98,30 +71,43 @@ def shard_rows(docs: DataFrame, limit: int, scratch: Scratch, key_col: str = "do
     """
     own = [F.col(key_col).alias("doc_id"), hash_bits(F.col(key_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")]
     keys = scratch.table(docs.select(*own), "keys")
-    directory = build_directory(keys, limit)
+    directory = build_directory(keys, limit, scratch)
     rows = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else keys
     placed = _place(rows, directory)
     names = ["doc_id", "n_bytes", "depth", "prefix"]
     kept = ["row"] if carry else []
-    plain = placed.where(~F.col("over")).select(*names, F.lit(0).cast("long").alias("page"), *kept)
-    if not directory.overflow.any():
+    plain = placed.where(~F.col("overflow")).select(*names, F.lit(0).cast("long").alias("page"), *kept)
+    if directory.where("overflow").isEmpty():
         return plain
-    return plain.unionByName(_pages(placed.where("over").select(*names, *kept), limit, scratch))
-
-
-def _place(rows: DataFrame, directory: Directory) -> DataFrame:
-    if len(directory.depths) > SENT_SHARDS:
-        spark = rows.sparkSession
-        leaves = spark.createDataFrame(list(zip(directory.depths.tolist(), directory.prefixes.tolist(), directory.overflow.tolist())), "depth long, prefix long, over boolean")
-        depths = F.explode(F.array(*[F.lit(int(d)) for d in np.unique(directory.depths)]).cast("array<long>"))
-        return rows.withColumn("depth", depths).withColumn("prefix", F.expr(f"shiftright(h, cast({BITS} - depth as int))")).join(leaves, ["depth", "prefix"])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = directory.find(batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(directory.depths[at]), pa.array(directory.prefixes[at]), pa.array(directory.overflow[at])], [*batch.schema.names, "depth", "prefix", "over"])
-
-    return rows.mapInArrow(find, StructType([*rows.schema, *StructType.fromDDL("depth long, prefix long, over boolean")]))
+    return plain.unionByName(_pages(placed.where("overflow").select(*names, *kept), limit, scratch))
+
+
+def _place(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """Add the leaf of each row: the last one that begins at or before the row's hash."""
+    n = directory.count()
+    if n <= SENT_SHARDS:
+        found = directory.toPandas()
+        firsts = found["prefix"].to_numpy(np.int64) << (BITS - found["depth"].to_numpy(np.int64))
+        order = np.argsort(firsts)
+        sent = rows.sparkSession.sparkContext.broadcast((firsts[order], found["depth"].to_numpy(np.int64)[order], found["overflow"].to_numpy(bool)[order]))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            firsts, depth, over = sent.value
+            for batch in batches:
+                at = np.searchsorted(firsts, batch.column(1).to_numpy(), "right") - 1
+                own = [pa.array(depth[at]), pa.array(firsts[at] >> (BITS - depth[at])), pa.array(over[at])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "depth", "prefix", "overflow"])
+
+        return rows.mapInArrow(find, StructType([*rows.schema, *StructType.fromDDL(DIRECTORY)]))
+    # an equi-join on the first bits, of which there are about as many values as leaves: a leaf that isn't so deep is in all of its values
+    bits = max(1, n.bit_length() - 4)
+    first = F.expr(f"shiftleft(prefix, cast({BITS} - depth as int))")
+    ends = [F.shiftright(first, BITS - bits), F.shiftright(first + F.expr(f"shiftleft(1L, cast({BITS} - depth as int))") - 1, BITS - bits)]
+    cells = directory.withColumn("first", first).withColumn("cell", F.explode(F.sequence(*ends)))
+    cells = cells.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("first", "depth", "prefix", "overflow"))).alias("leaves"))
+    joined = rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(cells, "cell")
+    leaf = F.element_at(F.filter("leaves", lambda x: x["first"] <= F.col("h")), -1)
+    return joined.withColumn("leaf", leaf).select(*[F.col(f"`{c}`") for c in rows.columns], "leaf.depth", "leaf.prefix", "leaf.overflow")
 
 
 def _pages(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
