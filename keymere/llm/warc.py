@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +25,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 BLOCK_LINES = 1024
 FILE_BYTES = 1 << 30
+#: Groups of equal payloads that are sent to all tasks (their sum, page and URL).
+HOT_GROUPS = 1000
 _NO_ID = -(1 << 63)
 CAPTURES = "key string, page_id long, file string, offset long, length long"
 
@@ -40,21 +41,32 @@ def url_key(url: Column) -> Column:
     return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1)), F.lit(""))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member: a response, or a revisit that has the response's HTTP headers but no payload."""
+def record(record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One gzip member: a response, or a revisit that has the response's HTTP headers but no payload.
+
+    ``WARC-Page-ID`` and ``WARC-Refers-To-Page-ID`` are headers of our own;
+    readers that don't know them follow the target URI and date.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        head.append(f"WARC-Page-ID: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + _one_line(url))
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {DATE}"]
+        head += [f"WARC-Refers-To-Target-URI: {_one_line(refers_url)}"] if refers_url is not None else []
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     raw = ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
 
 
+def _one_line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def parse(member: bytes) -> tuple[dict[str, str], int, bytes]:
     """WARC headers, the payload's full length and the payload that the record holds."""
     raw = zlib.decompress(member, 31)
@@ -72,16 +84,26 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     Of equal payloads of at least ``min_bytes`` bytes those with the largest
     page_id are responses and the others revisit it; smaller payloads are all
     responses. A null payload is empty. A null page_id is kept, but never
-    referred to; rows that repeat the largest page_id are all responses.
-    Equality is that of SHA-1 sums. The join that finds the response is on the
-    sum; partial aggregation and skew splitting keep copies from one task.
-    File names hold the attempt, so a repeated task never changes a file that
-    captures point to.
+    referred to; rows that repeat the largest page_id are all responses, and a
+    row that is there several times has as many records, each with an id of
+    its own. Very long payloads are single records. An empty table makes no
+    file; other columns are ignored. Equality is that of SHA-1 sums. The
+    largest groups of copies, ``HOT_GROUPS`` at most, are sent to all tasks,
+    and the others are joined, so that no task gets a large group. File names
+    hold the attempt, so a repeated task never changes a file that captures
+    point to.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("key", url_key(F.col("url")))
-    last = rows.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("sha1", "last")
-    joined = rows.join(last, "sha1", "left").withColumn("refers_to", F.expr(f"case when octet_length(payload) >= {int(min_bytes)} and not (page_id <=> last) then last end"))
+    named = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("last")
+    last = rows.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(named, F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
+    hot = last.orderBy(F.desc("n"), "sha1").limit(HOT_GROUPS).select("sha1", F.col("last").alias("hot"))
+    rows = rows.join(F.broadcast(hot), "sha1", "left")
+    # rows that are settled go anywhere
+    key = F.when(F.col("hot").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("-"), F.rand(11).cast("string")))
+    joined = rows.withColumn("find", key).join(last.select(F.col("sha1").alias("find"), "last"), "find", "left").withColumn("last", F.coalesce("hot", "last"))
+    refers = (F.length("payload") >= min_bytes) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id"))
+    joined = joined.withColumns({"refers_to": F.when(refers, F.col("last.page_id")), "refers_url": F.when(refers, F.col("last.url"))})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,10 +114,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
         stem, number, out, at = f"{task.partitionId():07d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}", 0, None, 0
         for batch in batches:
             files, offsets, lengths = [], [], []
-            for i in range(batch.num_rows):
-                page, url, payload, refers = (batch.column(k)[i].as_py() for k in range(4))
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                data = record(page, url, payload, digest, refers)
+            for payload, page, url, refers, refers_url, sha1 in zip(batch.column(5), *(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 6))):
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                data = record(str(uuid.uuid4()), page, url, payload.as_buffer().to_pybytes(), digest, refers, refers_url)
                 if out is None or at + len(data) > FILE_BYTES:
                     if out:
                         out.close()
@@ -110,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
         if out:
             out.close()
 
-    return joined.select("page_id", "url", "payload", "refers_to", "key").mapInArrow(write, CAPTURES)
+    return joined.select("page_id", "url", "refers_to", "refers_url", "key", "payload", "sha1").mapInArrow(write, CAPTURES)
 
 
 DIRECTORY = "file string, first_key string, first_page long, offset long, length long"
@@ -118,7 +139,7 @@ DIRECTORY = "file string, first_key string, first_page long, offset long, length
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Sort captures into compressed blocks of index files; returns the block directory (lazily)."""
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -225,8 +246,8 @@ class CaptureIndex:
                     if file != name:
                         name, data = file, fs.open_input_file(f"{root}/{file}")
                     headers, size, payload = parse(data.read_at(length, offset))
-                    number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
-                    row = (number(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), size, headers["WARC-Payload-Digest"][5:], headers["WARC-Type"], number(headers.get("WARC-Refers-To")))
+                    number = lambda x: None if x is None else int(x)
+                    row = (number(headers.get("WARC-Page-ID")), headers.get("WARC-Target-URI"), size, headers["WARC-Payload-Digest"][5:], headers["WARC-Type"], number(headers.get("WARC-Refers-To-Page-ID")))
                     rows.append((*row, payload) if with_payload else row)
                 if rows:
                     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(rows[0])]

@@ -62,7 +62,7 @@ def test_small_and_empty_tables(spark):
 
 
 def test_directory_join_is_the_same(spark, monkeypatch):
-    rows = [(i, "x" * 50, None, None) for i in range(400)]
+    rows = [(i, "x" * 50, None, None) for i in range(400)] + [(3, "y" * 90, None, None)] * 30
     a = sorted(_shards(spark, rows, 700))
     monkeypatch.setattr(sharding, "SENT_SHARDS", 1)
     assert sorted(_shards(spark, rows, 700)) == a
@@ -83,7 +83,8 @@ PAGES = [
 
 
 def _archive(spark, pages, **more):
-    index, captures = warc.archive(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), Scratch(spark, "t"), **more)
+    rows = spark.createDataFrame([(*p, "x", "y", "z") for p in pages], "page_id long, url string, html string, key string, sha1 string, last string")
+    index, captures = warc.archive(spark, rows, Scratch(spark, "t"), **more)
     return index, captures
 
 
@@ -103,6 +104,23 @@ def test_round_trip(spark):
         assert bytes(r.payload) == (b"" if revisit else payload)
 
 
+def test_records_by_the_standard(spark, monkeypatch):
+    """Hot groups or not, each record has an id of its own and a revisit names its response's URI."""
+    for hot in (1000, 1, 0):
+        monkeypatch.setattr(warc, "HOT_GROUPS", hot)
+        _, captures = _archive(spark, PAGES + [(20 + i, f"http://c.org/{i}", "long " * 200_000) for i in range(3)])
+        root = captures.inputFiles()[0].split("/captures/")[0].replace("file://", "") + "/archives"
+        members = []
+        for c in captures.collect():
+            with open(f"{root}/{c.file}", "rb") as f:
+                f.seek(c.offset)
+                members.append(warc.parse(f.read(c.length))[0])
+        assert len({m["WARC-Record-ID"] for m in members}) == len(members) == len(PAGES) + 3
+        urls = {m["WARC-Page-ID"]: m.get("WARC-Target-URI") for m in members if "WARC-Page-ID" in m}
+        revisits = [m for m in members if m["WARC-Type"] == "revisit"]
+        assert len(revisits) == 7 and all(m["WARC-Refers-To-Target-URI"] == urls[m["WARC-Refers-To-Page-ID"]] for m in revisits)
+
+
 def test_lookup(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 4)
     pages = [(i, f"http://h{i % 7}.example.com/{i // 3}", f"<p>{i}</p>") for i in range(200)]
