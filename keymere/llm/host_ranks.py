@@ -11,11 +11,12 @@ from .scratch import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 20
+#: Rounds go on until no rank changes by more than this share of itself, but no longer than ``ROUNDS``.
+CHANGE, ROUNDS = 1e-6, 200
 #: So many rounds run between two writes to the shared folder.
 EVERY = 5
-#: A host is blocked from this share of distrust among trust and distrust.
-CUT = 0.5
+#: A host is blocked above this share of distrust among trust and distrust; shares that differ by less than ``EVEN`` from it are even.
+CUT, EVEN = 0.5, 1e-4
 #: So many rules at most are compared as literals; more are joined.
 LITERAL_RULES = 200
 
@@ -67,34 +68,45 @@ def _joined_rule(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return pages.join(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("rule_verdict")), ["host", "path"], "left")
 
 
-def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Links between different hosts with their weight: the number of links, as a share of the source's."""
-    target = F.explode(F.expr(f"""regexp_extract_all({html_col}, '(?i)href\\\\s*=\\\\s*["\\']?([a-z][a-z0-9+.-]*://[^"\\'\\\\s>]+)', 1)"""))
-    links = pages.where("host <> ''").select(F.col("host").alias("src"), target.alias("to")).select("src", host_of(F.col("to")).alias("dst")).where("dst <> '' and dst <> src")
-    counts = links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return counts
-
+#: Targets of links with a host, with or without a scheme.
+_LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+_LINK_HOST = r"(?s)^[^/]*//([^/?#]*)"
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: (host, rank) from ``seeds`` (host, seed; summing to 1) along ``edges`` (src, dst, n).
 
-    Hosts without a rank aren't listed. What reaches a host without links
-    stops there, which scales all ranks of a seeding by one factor. Copies of
-    a link were summed up before, so each round moves one row per pair of
-    hosts, summed before its shuffle.
+def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Links between different hosts: src, dst, n (how many). Targets without a host are inside their page's."""
+    targets = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), F.lit(1)))
+    links = pages.where("host <> ''").select(F.col("host").alias("src"), targets.alias("to"))
+    named = links.select("src", F.translate(F.regexp_extract("to", _LINK_HOST, 1), _UPPER, _LOWER).alias("dst")).where("dst <> '' and dst <> src")
+    return named.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS, damping: float = DAMPING, change: float = CHANGE) -> DataFrame:
+    """Personalised PageRank of several kinds: (kind, host, rank), the ranks of a kind summing to 1.
+
+    From ``seeds`` (kind, host, seed) along ``edges`` (kind, src, dst, n). What
+    reaches a host without links goes back to the seeds: that scales all ranks
+    of a kind by one factor, so it is left out and the ranks are scaled in the
+    end. Rounds go on until the hosts reached and their ranks stop changing;
+    hosts more than ``rounds`` links away count as not reached. Copies of a
+    link were summed up before, so each round moves one row per pair of hosts,
+    summed before its shuffle.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{name}-edges")
-    ranks = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    base = ranks
-    if shares.isEmpty():
-        return ranks
-    for i in range(rounds):
-        sent = shares.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        ranks = sent.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
+    shares = scratch.table(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{name}-edges")
+    base = ranks = scratch.table(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")), f"{name}-seeds")
+    before = ranks
+    for i in range(0 if shares.isEmpty() else rounds):
+        sent = shares.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        ranks = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if (i + 1) % EVERY == 0:
             ranks = scratch.table(ranks, f"{name}-{i}")
-    return ranks
+            old = before.withColumnRenamed("rank", "old")
+            if ranks.join(old, ["kind", "host"], "left").where(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) > change * F.col("rank")).isEmpty():
+                break
+            before = ranks
+    total = ranks.groupBy("kind").agg(F.sum("rank").alias("total"))
+    return ranks.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))  # a row per kind
 
 
 def host_verdicts(pages: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -102,29 +114,30 @@ def host_verdicts(pages: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> D
 
     Seeds are the hosts of pages that a rule allows (trust) or blocks
     (distrust), weighted by their pages. Trust follows the links, distrust goes
-    against them: who links to a blocked host is suspect. A host is blocked
-    when its share of distrust is over ``CUT``; one that neither reaches is
-    allowed.
+    against them: who links to a blocked host is suspect. Both sum to 1 over
+    all hosts. A host is blocked when its share of distrust is over ``CUT``;
+    one that neither reaches is allowed.
     """
     counts = scratch.table(pages.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad")), "hosts")
     edges = scratch.table(host_edges(pages), "edges")
-    totals = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
-
-    def seeds(column: str) -> DataFrame:
-        return counts.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(totals[column] or 1))).alias("seed"))
-
-    trust = propagate(edges, seeds("good"), scratch, "trust", rounds)
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("bad"), scratch, "distrust", rounds)
-    joined = counts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
-    return joined.withColumn("host_verdict", F.when(F.col("distrust") > CUT * (F.col("trust") + F.col("distrust")), "block").otherwise("allow"))
+    both = edges.withColumn("kind", F.lit("trust")).unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    seeds = counts.select("host", F.explode(F.create_map(F.lit("trust"), "good", F.lit("distrust"), "bad")).alias("kind", "seed")).where("seed > 0")
+    seeds = seeds.join(F.broadcast(seeds.groupBy("kind").agg(F.sum("seed").alias("all"))), "kind").withColumn("seed", F.col("seed") / F.col("all"))  # a row per kind
+    ranks = propagate(both, seeds, scratch, "ranks", rounds)
+    side = lambda kind: ranks.where(F.col("kind") == kind).select("host", F.col("rank").alias(kind))
+    joined = counts.select("host").join(side("trust"), "host", "left").join(side("distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
+    blocked = F.col("distrust") > (CUT + EVEN) * (F.col("trust") + F.col("distrust"))
+    return joined.withColumn("host_verdict", F.when(blocked, "block").otherwise("allow"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, trust, distrust.
 
     A null url, or one without ``://``, has an empty host and path, no rule,
-    and is allowed. A null html has no links. Repeated rows are judged each;
-    other columns are ignored.
+    and is allowed. A null html has no links; html of any length is searched
+    whole. Repeated rows are judged each, and their links count each. Even
+    shares of trust and distrust allow. An empty table gives no rows; other
+    columns are ignored.
     """
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     own = with_rule(own.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))), rules)
@@ -134,28 +147,31 @@ def judge_urls(pages: DataFrame, rules: list[Rule], scratch: Scratch, id_col: st
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def sql(rules: list[Rule], rounds: int = ROUNDS) -> str:
-    """The same over the view ``pages`` for DuckDB: page_id, host, path, rule, verdict."""
-    split = r"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '" + _UPPER + "', '" + _LOWER + "')"
+def sql(rules: list[Rule], rounds: int = 130) -> str:
+    """The same over the view ``pages`` for DuckDB, with a fixed number of rounds: page_id, host, path, rule, verdict."""
+    lower = "translate({u}, '" + _UPPER + "', '" + _LOWER + "')"
+    host = lower.format(u="coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
+    linked = lower.format(u=f"regexp_extract(t, '{_LINK_HOST}', 1)")
     listed = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
-    steps = []
-    for kind, src, dst, seed in (("trust", "src", "dst", "good"), ("distrust", "dst", "src", "bad")):
-        steps.append(f"{kind}_e as (select {src} as a, {dst} as b, n / sum(n) over (partition by {src}) as share from edges)")
-        steps.append(f"{kind}_0 as (select host, {1 - DAMPING} * {seed} / (select sum({seed}) from hosts) as rank from hosts where {seed} > 0)")
-        for i in range(rounds):
-            steps.append(f"{kind}_{i + 1} as (select host, sum(rank) as rank from (select b as host, rank * share * {DAMPING} as rank from {kind}_{i} join {kind}_e on a = host union all from {kind}_0) group by host)")
+    link = _LINK.replace("'", "''")
     return f"""
-with split as (select page_id, html, {split.format(u="url")} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+with recursive split as (select page_id, html, {host} as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 rules(rule_host, rule_path, verdict) as (values {listed}),
 fit as (select distinct host, path, first_value(rule_host || rule_path) over w as rule, first_value(verdict) over w as verdict
   from (select distinct host, path from split) join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
   window w as (partition by host, path order by length(rule_host || rule_path) desc, rule_host || rule_path desc)),
 ruled as (select page_id, html, s.host, s.path, rule, verdict from split s left join fit f on s.host = f.host and s.path = f.path),
 hosts as (select host, count(*) filter (where verdict = 'allow') as good, count(*) filter (where verdict = 'block') as bad from ruled where host <> '' group by host),
-links as (select host as src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) as t from ruled where host <> ''),
-edges as (select src, dst, cast(count(*) as double) as n from (select src, {split.format(u="t")} as dst from links) where dst <> '' and dst <> src group by 1, 2),
-{", ".join(steps)},
-ranks as (select h.host, coalesce(t.rank, 0) as trust, coalesce(d.rank, 0) as distrust from hosts h left join trust_{rounds} t on t.host = h.host left join distrust_{rounds} d on d.host = h.host)
-select page_id, r.host, path, rule, coalesce(verdict, case when distrust > {CUT} * (trust + distrust) then 'block' end, 'allow') as verdict
+links as (select host as src, unnest(regexp_extract_all(html, '{link}', 1)) as t from ruled where host <> ''),
+edges as (select src, dst, cast(count(*) as double) as n from (select src, {linked} as dst from links) where dst <> '' and dst <> src group by 1, 2),
+shares as materialized (select 1 as kind, src as a, dst as b, n / sum(n) over (partition by src) as share from edges union all select 2, dst, src, n / sum(n) over (partition by dst) from edges),
+seeds as materialized (select kind, host, {1 - DAMPING} * seed / sum(seed) over (partition by kind) as rank from (select 1 as kind, host, good as seed from hosts union all select 2, host, bad from hosts) where seed > 0),
+walk as (select 0 as round, kind, host, rank from seeds union all
+  select round + 1, kind, host, sum(rank) from (
+    select w.round, w.kind, s.b as host, w.rank * s.share * {DAMPING} as rank from walk w join shares s on s.kind = w.kind and s.a = w.host where w.round < {rounds}
+    union all select r.round, s.kind, s.host, s.rank from (select distinct round from walk where round < {rounds}) r, seeds s) group by 1, 2, 3),
+last as (select kind, host, rank / sum(rank) over (partition by kind) as rank from walk where round = {rounds}),
+ranks as (select h.host, coalesce(t.rank, 0) as trust, coalesce(d.rank, 0) as distrust from hosts h left join last t on t.host = h.host and t.kind = 1 left join last d on d.host = h.host and d.kind = 2)
+select page_id, r.host, path, rule, coalesce(verdict, case when distrust > {CUT + EVEN} * (trust + distrust) then 'block' end, 'allow') as verdict
 from ruled r left join ranks k on k.host = r.host
 """
