@@ -53,8 +53,8 @@ LEAST_KEYS = 6
 TILE = 4096
 #: Sets, and shingles in them, of a component that one task compares with as many others when links are counted.
 LINK_TILE, LINK_SHINGLES = 2048, 1 << 21
-#: Pairs compared at once.
-PAIRS = 4096
+#: Pairs, and rows of blocks, looked at at once.
+PAIRS, ROWS = 1024, 1024
 #: Up to so many ids (8 bytes each) are sent to all tasks to pick their texts; more are joined.
 SENT_IDS = 1 << 20
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, fp binary, firsts array<long>, point binary"
@@ -391,8 +391,8 @@ def _block_pairs(blocks: DataFrame, exact: bool) -> DataFrame:
             return *(np.concatenate([x[k] for x in held]) for k in range(3)), Points.joined([x[3] for x in held])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                part = batch.slice(at, TILE)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 key, ids, n, _, component, block = (part.column(k).to_numpy() if k != 3 else None for k in range(6))
                 least = np.stack(part.column(6).to_numpy(zero_copy_only=False)) if exact else np.zeros((len(key), 1), np.int64)
                 rows = Points.of(ids, n, part.column(3).to_pylist(), component)
@@ -581,6 +581,8 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     more = _block_pairs(blocks(tiled.withColumnRenamed("tile", "key").join(least, "id")), exact=True)
     pairs = _bounded(two.join(tried, ["a", "b"], "left_anti"), points).unionByName(more.distinct().join(tried, ["a", "b"], "left_anti"))
     pairs = scratch.table(pairs.distinct(), "second")
+    for done in ("members", "mixed", "cells", "first"):
+        scratch.remove(done)
     named = ["first-sets"]
     if not pairs.isEmpty():
         links = links.unionByName(scratch.table(_verified(pairs, own, classes, scratch, "second"), "second-links"))
@@ -593,7 +595,10 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
         sets = scratch.spark.read.schema("id long, s binary").parquet(*map(scratch.path, named)).dropDuplicates(["id"])
         linked = scratch.table(_link_counts(sets, found, classes.select("id", "copies")), "linked")
         known = known.join(linked, "id", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).drop("linked")
-    return signed, scratch.table(known.drop("id", "copies"), "known")
+    known = scratch.table(known.drop("id", "copies"), "known")
+    for done in ("classes", "first-ids", "first-sets", "second-ids", "second-sets"):
+        scratch.remove(done)
+    return signed, known
 
 
 def similar_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
