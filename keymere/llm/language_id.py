@@ -15,15 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import text_slices, utf8
 
 DIMENSIONS = 1 << 13
 CENTROIDS = 4
-#: Bound of the training sample: rows of a language, and of all.
-LANGUAGE_ROWS, ALL_ROWS = 600, 12_000
+#: Bound of the training sample: rows of a language, rows of all, bytes of their texts of all.
+LANGUAGE_ROWS, ALL_ROWS, ALL_BYTES = 600, 12_000, 64 << 20
 #: A text is rejected when its cosine is below this share of the usual lowest one.
 REJECT = 0.6
 #: Sharpness of the score: a softmax over the languages' best cosines.
@@ -119,7 +119,8 @@ def train(docs: DataFrame, keep: Column, lang_col: str = "lang", text_col: str =
     """Fit on a bounded sample of the labelled rows where ``keep`` holds; None without any.
 
     At most ``LANGUAGE_ROWS`` whole texts of each language, ``ALL_ROWS`` in
-    all, chosen by a hash of id and text.
+    all, and ``ALL_BYTES`` shared by the languages alike, chosen by a hash of
+    id and text: so much is what reaches the driver.
     """
     rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("y"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20)).alias("h"))
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -129,8 +130,10 @@ def train(docs: DataFrame, keep: Column, lang_col: str = "lang", text_col: str =
     share = F.lit(0)
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(int(min(1.0, 1.2 * most / n) * (1 << 20)))).otherwise(share)
-    sample = rows.where(F.col("h") < share).limit(2 * ALL_ROWS).toPandas().sort_values(["h", "t"]).groupby("y", sort=True).head(most)
-    return fit(sample["t"].tolist(), sample["y"].tolist())
+    own = Window.partitionBy("y").orderBy("h", F.xxhash64("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = rows.where(F.col("h") < share).withColumns({"n": F.count(F.lit(1)).over(own), "b": F.sum(F.octet_length("t")).over(own)})
+    sample = few.where((F.col("n") <= most) & (F.col("b") <= ALL_BYTES // len(sizes))).select("y", "t", "h").toPandas().sort_values(["y", "h", "t"])
+    return fit(sample["t"].tolist(), sample["y"].tolist()) if len(sample) else None
 
 
 def fit(texts: list[str], labels: list[str]) -> LanguageModel:
@@ -164,21 +167,31 @@ def fit(texts: list[str], labels: list[str]) -> LanguageModel:
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score, cosine, rejected to the rows of ``docs``.
+def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Add lang_pred, score, cosine, rejected, each with ``prefix`` before its name, to the rows of ``docs``.
 
     A text that is null or has no letter is ``und`` with score 0, and rejected.
-    Columns of ``docs`` with these names are replaced.
+    Without a model (nothing was labelled) every text is ``und`` with score 0,
+    and those with a letter aren't rejected, as there is nothing to reject them
+    by. Of languages that are equally near the first in the order of their
+    names is taken. Each row is judged by its text alone, so repeated rows have
+    repeated results; very long texts are counted whole. An empty table gives
+    no rows. Columns of ``docs`` with the new names are replaced.
     """
-    docs = docs.drop(*(x.split()[0] for x in SCHEMA.split(", ")))
+    schema = [(prefix + x.split()[0], x.split()[1]) for x in SCHEMA.split(", ")]
+    docs = docs.drop(*(n for n, _ in schema))
+    if model is None:
+        letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+        values = (F.lit("und"), F.lit(0.0), F.lit(0.0), ~letter)
+        return docs.withColumns({n: v for (n, _), v in zip(schema, values)})
     at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCHEMA])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` {t}" for n, t in schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in text_slices(batch.column(at)):
                 own, found = batch.slice(first, len(part)), model.predict(part)
                 kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, t) for x, t in zip(found.values(), kinds))], [*own.schema.names, *found])
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, t) for x, t in zip(found.values(), kinds))], [*own.schema.names, *(n for n, _ in schema)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ddl)

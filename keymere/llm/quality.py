@@ -5,6 +5,13 @@ each stratum the strictest point of the path is taken at which the share of
 good documents rejected is at most ``risk``, with confidence ``1 - error``
 over all strata: the path is tested from its lenient end with exact binomial
 p-values (fixed-sequence testing) at level ``error / strata`` (Bonferroni).
+
+The path was fixed beforehand from what such statistics mean (a text that is
+nearly all capitals, marks or repeated lines at its lenient end, one with
+clearly more of them than prose at its strict end), not from labels: the
+guarantee needs a path that the labels it is tested on had no part in.
+Equal texts count once, as copies are no independent trials; near copies do
+count, so where they abound among the labelled rows the guarantee is weaker.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ RULES: dict[str, tuple[float, float]] = {
     "dup_line_share": (0.95, 0.40),  # n_dup_lines / lines with a word
     "repeat_share": (0.295, 0.20),  # n_repeat_words / n_words
 }
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level int"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level int, text_hash long"
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 
@@ -112,34 +119,42 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "base_failed": failed, "level": level.astype(np.int32)}
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the columns of ``SCHEMA``: the counts, ``base_failed``, and ``level``, the first step of the path that rejects.
+def measure(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Add the columns of ``SCHEMA``, each with ``prefix`` before its name: the counts, ``base_failed``, ``level``, the first step of the path that rejects, and a hash of the text.
 
-    A null text has no words. Columns of ``docs`` with these names are replaced.
+    A null text has no words and fails the base rules, as an empty one does; a
+    very long one is counted whole. Repeated rows have repeated results, an
+    empty table has none. Columns of ``docs`` with the new names are replaced.
     """
-    docs = docs.drop(*(x.split()[0] for x in SCHEMA.split(", ")))
-    at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), SCHEMA])
+    schema = [(prefix + x.split()[0], x.split()[1]) for x in SCHEMA.split(", ")]
+    docs = docs.drop(*(n for n, _ in schema)).withColumn(schema[-1][0], F.xxhash64(text_col))
+    at, last = docs.columns.index(text_col), docs.columns[:-1]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in last), *(f"`{n}` {t}" for n, t in schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in text_slices(batch.column(at)):
                 own = batch.slice(first, len(part))
                 stats = statistics(part)
-                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, stats.values())], [*own.schema.names, *stats])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *map(pa.array, stats.values()), own.columns[-1]], [*last, *(n for n, _ in schema)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ddl)
 
 
 def log_tail(k: int, n: int, p: float) -> float:
-    """log P(Binomial(n, p) <= k), summed exactly."""
+    """log P(Binomial(n, p) <= k), summed exactly from the largest term down, until terms no longer count."""
     if k >= n:
         return 0.0
-    j = np.arange(k + 1, dtype=float)
-    lg = np.vectorize(lgamma)
-    terms = lgamma(n + 1) - lg(j + 1) - lg(n - j + 1) + j * log(p) + (n - j) * log1p(-p)
-    top = terms.max()
-    return float(top + np.log(np.exp(terms - top).sum()))
+    j = min(k, int((n + 1) * p))  # the largest term up to k
+    top = lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p)
+    odds, total = p / (1 - p), 1.0
+    for way in (-1, 1):
+        i, term = j, 1.0
+        while 0 <= i + way <= k and term > 1e-18 * total:
+            term *= i / (n - i + 1) / odds if way < 0 else (n - i) / (i + 1) * odds
+            total += term
+            i += way
+    return top + log(total)
 
 
 def choose_steps(counts: dict[tuple[object, int], int], risk: float, error: float) -> dict[object, int]:
@@ -156,20 +171,22 @@ def choose_steps(counts: dict[tuple[object, int], int], risk: float, error: floa
     return out
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, risk: float, error: float, stratum_col: str = "lang", id_col: str = "doc_id") -> dict[object, int]:
+def calibrate(measured: DataFrame, labels: DataFrame, risk: float, error: float, stratum_col: str = "lang", id_col: str = "doc_id", prefix: str = "") -> dict[object, int]:
     """Choose steps from all labelled documents (quality 1: good) that pass the base rules.
 
-    Only counts by stratum and level reach the driver. A null stratum is one
-    of its own. A document with several labels is good if one of them says so.
+    Of a stratum's equal texts one counts. Only counts by stratum and level
+    reach the driver. A null stratum is one of its own. A document with several
+    labels is good if one of them says so. Without labels there are no steps.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    rows = measured.where(~F.col("base_failed")).join(good, id_col, "left_semi").groupBy(F.col(stratum_col).alias("s"), "level").count().collect()
-    return choose_steps({(r["s"], r["level"]): r["count"] for r in rows}, risk, error)
+    rows = measured.where(~F.col(f"{prefix}base_failed")).join(good, id_col, "left_semi").select(F.col(stratum_col).alias("s"), F.col(f"{prefix}level").alias("level"), F.col(f"{prefix}text_hash").alias("h"))
+    counted = rows.distinct().groupBy("s", "level").count().collect()
+    return choose_steps({(r["s"], r["level"]): r["count"] for r in counted}, risk, error)
 
 
-def judge(measured: DataFrame, steps: dict[object, int], stratum_col: str = "lang") -> DataFrame:
-    """Add ``kept``. A stratum without a safe step has only the base rules."""
+def judge(measured: DataFrame, steps: dict[object, int], stratum_col: str = "lang", prefix: str = "") -> DataFrame:
+    """Add ``kept`` (with the prefix). A stratum without a safe step has only the base rules; a text at the very cutoff is rejected."""
     step = F.lit(-1)
     for s, k in steps.items():
         step = F.when(F.col(stratum_col).eqNullSafe(F.lit(s)), F.lit(k)).otherwise(step)
-    return measured.withColumn("kept", ~F.col("base_failed") & (F.col("level") > step))
+    return measured.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}level") > step))

@@ -73,7 +73,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text")
     measured = Scratch(spark, "op7").table(measured, "measured")
     steps = quality.calibrate(measured, table(spark, sf_dir, "labels"), QUALITY_RISK, QUALITY_ERROR)
-    return quality.judge(measured, steps).drop("lang", "level")
+    return quality.judge(measured, steps).drop("lang", "level", "text_hash")
 
 
 URL_RULES = [host_ranks.Rule(*x) for x in (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))]

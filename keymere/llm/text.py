@@ -48,6 +48,13 @@ def pieces(raw: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
+def free_prefix(names: list[str], stem: str) -> str:
+    """A beginning that none of the names has: for columns that are put beside a user's."""
+    while any(n.lower().startswith(stem) for n in names):
+        stem = "_" + stem
+    return stem
+
+
 def is_space(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 

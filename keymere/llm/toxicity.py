@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import Words, text_slices
 
-#: Bounds of the training sample: confirmed and unlabelled rows.
-POSITIVE_ROWS, UNLABELLED_ROWS = 2000, 4000
+#: Bounds of the training sample: confirmed and unlabelled rows, and bytes of the texts of each.
+POSITIVE_ROWS, UNLABELLED_ROWS, SAMPLE_BYTES = 2000, 4000, 32 << 20
 #: Bytes of text whose words are held at once.
 SLICE = 1 << 20
 FEATURES = 2048
@@ -147,7 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_i
 
     Confirmed are documents with a label toxic = 1; all rows, labelled or not,
     are the unlabelled side. The prior is the share of toxic ones among the
-    labels of such rows. Samples are chosen by a hash.
+    labels of such rows. Samples are chosen by a hash, within the bounds above
+    on rows and bytes, which is what reaches the driver. Null texts are left
+    out; without confirmed texts, or with an empty table, every score is near
+    0.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("toxic").alias("toxic"))
     rows = docs.where(keep & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 20)).alias("h"))
@@ -156,14 +159,22 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_i
 
     def sample(frame: DataFrame, n: int, most: int) -> list[str]:
         part = frame.where(F.col("h") < int(min(1.0, 1.2 * most / max(n, 1)) * (1 << 20)))
-        return part.select("t", "h").limit(2 * most).toPandas().sort_values(["h", "t"])["t"].tolist()[:most]
+        part = part.select("t", "h", F.xxhash64("t").alias("k"), F.octet_length("t").alias("n")).orderBy("h", "k").limit(most)
+        upto = Window.orderBy("h", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of ``most`` rows
+        return part.withColumn("b", F.sum("n").over(upto)).where(F.col("b") <= SAMPLE_BYTES).toPandas().sort_values(["h", "t"])["t"].tolist()
 
     positive = sample(rows.join(marks.where("toxic = 1"), id_col, "left_semi"), known["k"], POSITIVE_ROWS)
     return fit(positive, sample(rows, total, UNLABELLED_ROWS), min(0.9, max(known["k"], 1) / max(known["n"], 1)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """Add ``score``, 0 to 1. A null text counts as an empty one. A column of that name is replaced."""
+    """Add ``score``, 0 to 1.
+
+    A null text counts as an empty one and has the score of the bias; a very
+    long one is counted whole. The score is one of the text alone, so rows
+    with equal texts have equal scores. An empty table gives no rows. A column
+    of the name ``score`` is replaced.
+    """
     docs = docs.drop("score")
     at = docs.columns.index(text_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])

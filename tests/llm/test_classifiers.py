@@ -52,6 +52,96 @@ def test_language_of_odd_texts(spark):
     assert language_id.train(_odd(spark).limit(0), F.lit(True)) is None
 
 
+def test_nothing_labelled(spark):
+    """Without labels there is no model: every text is ``und``, and only texts without a letter are rejected."""
+    got = language_id.identify(_odd(spark), None, prefix="p_").collect()
+    assert all(r.p_lang_pred == "und" and r.p_score == 0.0 for r in got) and {r.score for r in got} == {0.5, 0.1, 0.2}
+    assert all(r.p_rejected == (not any(map(str.isalpha, r.text or ""))) for r in got)
+    assert language_id.identify(_odd(spark).limit(0), None).count() == 0
+
+
+def test_languages_equally_near_and_repeated_rows(spark):
+    texts = ["one two three four " * 5] * 4
+    model = language_id.fit(texts * 2, ["zz"] * 4 + ["aa"] * 4)
+    got = language_id.identify(spark.createDataFrame([(1, texts[0]), (1, texts[0])], "doc_id long, text string"), model).collect()
+    assert got[0] == got[1] and got[0].lang_pred == "aa" and abs(got[0].score - 0.5) < 1e-6
+
+
+def test_training_samples_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * 200, "en" if i % 2 else "de") for i in range(400)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: seen.append((texts, labels)))
+    monkeypatch.setattr(language_id, "ALL_BYTES", 40_000)
+    language_id.train(docs, F.lit(True))
+    assert 10 < len(seen[0][0]) and sum(map(len, seen[0][0])) <= 40_000 and set(seen[0][1]) == {"de", "en"}
+    monkeypatch.setattr(toxicity, "fit", lambda positive, unlabelled, prior: seen.append((positive, unlabelled, prior)))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 30_000)
+    toxicity.train(docs, spark.createDataFrame([(i, 1, int(i < 90)) for i in range(180)], "doc_id long, quality int, toxic int"), F.lit(True))
+    positive, unlabelled, prior = seen[1]
+    assert prior == 0.5 and all(10 < len(x) and sum(map(len, x)) <= 30_000 for x in (positive, unlabelled))
+
+
+def _plain_grams(text):
+    """Counts of byte n-grams of two and three, by the hash group of the model."""
+    data = text.lower().encode()
+    out, gap = [], True
+    for k, b in enumerate(data):
+        if b >= 128 or 97 <= b <= 122:
+            out.append(b)
+            gap = False
+        elif not gap:
+            out.append(32)
+            gap = True
+    counts = {}
+    for n, factor in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+        for i in range(len(out) - n + 1):
+            value = 0
+            for b in out[i : i + n]:
+                value = value << 8 | b
+            group = (value * factor % 2**32) >> 19
+            counts[group] = counts.get(group, 0) + 1
+    return counts
+
+
+def test_language_against_plain_version():
+    docs = pd.read_parquet(f"{DIR}/documents.parquet").head(240)
+    model = language_id.fit(docs.text.tolist()[:200], docs.lang.tolist()[:200])
+    grams = [_plain_grams(t) for t in docs.text]
+    df = {}
+    for g in grams[:200]:
+        for x in g:
+            df[x] = df.get(x, 0) + 1
+    vectors = []
+    for g in grams:
+        v = {x: np.log(1 + c) * (np.log(201 / (1 + df.get(x, 0))) + 1) for x, c in g.items()}
+        norm = sum(w * w for w in v.values()) ** 0.5
+        vectors.append({x: w / norm for x, w in v.items()})
+    # centroids are unit means of the training vectors nearest to them, of their language
+    centroids = [{x: float(w) for x, w in enumerate(c) if w} for c in model.centroids]
+    cosine = lambda v, c: sum(w * c.get(x, 0.0) for x, w in v.items())
+    found = model.predict(pa.array(docs.text.tolist(), pa.large_string()))
+    for i, v in enumerate(vectors):
+        best = {}
+        for c, o in zip(centroids, model.owner):
+            best[o] = max(best.get(o, -1.0), cosine(v, c))
+        top = max(sorted(best), key=best.get)
+        assert found["lang_pred"][i] == model.languages[top] and abs(found["cosine"][i] - best[top]) < 1e-3
+        assert abs(found["score"][i] - 1 / sum(np.exp(language_id.SHARPNESS * (x - best[top])) for x in best.values())) < 1e-3
+    for o in range(len(model.languages)):
+        own = [v for v, lang in zip(vectors[:200], docs.lang[:200]) if lang == model.languages[o]]
+        mine = [k for k, x in enumerate(model.owner) if x == o]
+        groups = {k: [] for k in mine}
+        for v in own:
+            groups[max(mine, key=lambda k: cosine(v, centroids[k]))].append(v)
+        for k, members in groups.items():
+            total = {}
+            for v in members:
+                for x, w in v.items():
+                    total[x] = total.get(x, 0.0) + w
+            norm = sum(w * w for w in total.values()) ** 0.5
+            assert not members or cosine(centroids[k], {x: w / norm for x, w in total.items()}) > 0.97
+
+
 def test_several_centroids_are_needed():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(list("abc") if i % 2 else list("xyz"), 80)) for i in range(60)] + [" ".join(rng.choice(list("mno"), 80)) for _ in range(40)]
@@ -82,6 +172,60 @@ def test_toxicity_from_positive_and_unlabelled_only():
     assert toxicity.fit([], clean, 0.1).scores(pa.array(["x"], pa.large_string()))[0] < 0.1
 
 
+def _words(text):
+    out = {}
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        stem = word.strip(toxicity._MARKS.decode()).lower()
+        for key in [stem, *("^" + stem[:n] for n in toxicity.BEGINNINGS if len(stem) > n)]:
+            if key:
+                out[key] = out.get(key, 0) + 1
+    return out
+
+
+def test_toxicity_against_plain_version():
+    """The model's margins, and that its weights are where plain gradient steps of the same risk lead."""
+    rng = np.random.default_rng(7)
+    plain = [f"word{i}" for i in range(120)]
+    text = lambda bad: " ".join([*rng.choice(plain, 30), *(rng.choice(["nasty!", "Awful", "horrid"], 2) if bad else [])])
+    positive, unlabelled, prior = [text(True) for _ in range(40)], [text(i < 30) for i in range(200)], 0.15
+    model = toxicity.fit(positive, unlabelled, prior)
+    margin = lambda t, w, b: b + sum(w[model.features[k.encode()]] * np.log1p(c) for k, c in _words(t).items() if k.encode() in model.features)
+    tests = [text(True) for _ in range(10)] + [text(False) for _ in range(10)] + [""]
+    assert np.allclose(model.margins(pa.array(tests, pa.large_string())), [margin(t, model.weights, model.bias) for t in tests])
+    # features: much commoner in confirmed texts, by the standard error of the pooled rate
+    df = [{}, {}]
+    for k, texts in enumerate((positive, unlabelled)):
+        for t in texts:
+            for x in _words(t):
+                df[k][x] = df[k].get(x, 0) + 1
+    chosen = set()
+    for x in df[0]:
+        a, b = df[0][x], df[1].get(x, 0)
+        rate = (a + b) / 240
+        if a >= 2 and (a / 40 - b / 200) / np.sqrt(rate * (1 - rate) * (1 / 40 + 1 / 200)) > toxicity.Z_LEAST:
+            chosen.add(x.encode())
+    assert chosen == set(model.features)
+    # the risk of the weights is no higher than that of many plain steps from the same start, and near-by weights are no better
+    x_p, x_u = (np.array([[np.log1p(_words(t).get(k.decode(), 0)) for k in sorted(model.features, key=model.features.get)] for t in texts]) for texts in (positive, unlabelled))
+    soft = lambda z: np.logaddexp(0, z)
+
+    def risk(w, b):
+        m_p, m_u = x_p @ w + b, x_u @ w + b
+        return prior * soft(-m_p).mean() + max(0.0, soft(m_u).mean() - prior * soft(m_p).mean()) + toxicity.DECAY / 2 * w @ w
+
+    w, b = np.zeros(x_p.shape[1]), -2.0
+    for _ in range(4000):
+        s_p, s_u = 1 / (1 + np.exp(-(x_p @ w + b))), 1 / (1 + np.exp(-(x_u @ w + b)))
+        inside = soft(x_u @ w + b).mean() - prior * soft(x_p @ w + b).mean()
+        neg = x_u.T @ s_u / 200 - prior * x_p.T @ s_p / 40, s_u.mean() - prior * s_p.mean()
+        pos = prior * x_p.T @ (s_p - 1) / 40, prior * (s_p - 1).mean()
+        g = (pos[0] + neg[0], pos[1] + neg[1]) if inside >= 0 else (-neg[0], -neg[1])
+        w, b = np.maximum(w - 0.1 * (g[0] + toxicity.DECAY * w), 0), b - 0.1 * g[1]
+    biases = np.linspace(-12, 2, 200)
+    least = lambda w: min(risk(w, x) for x in biases)  # noqa: E731  the model's bias is shifted for its cutoff
+    assert least(model.weights) <= least(w) + 0.02 and least(w) < least(np.zeros_like(w)) - 0.1
+
+
 def test_toxicity_of_odd_texts(spark):
     labels = spark.createDataFrame([(5, 1, 1), (5, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(_odd(spark), labels, F.lit(True))
@@ -154,6 +298,56 @@ def test_quality_query(spark):
     assert np.mean(good) > 0.97
 
 
+def _plain_statistics(text):
+    words, symbols, dup, repeat = len(re.findall(r"[^\x20\x09-\x0D]+", text)), *_plain(text)[2:]
+    chars = sum(not (c == " " or "\t" <= c <= "\r") for c in text)
+    letters, digits, upper = (len(re.findall(x, text)) for x in ("[A-Za-z]", "[0-9]", "[A-Z]"))
+    visible = sum(ord(c) < 128 and not (c == " " or "\t" <= c <= "\r") for c in text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    c, w = max(chars, 1), max(words, 1)
+    return {"symbol_rate": symbols / w, "upper_share": upper / c, "mark_share": (visible - letters - digits) / c, "digit_share": digits / c, "long_words": chars / w, "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / w}
+
+
+def test_verdict_against_plain_version(spark):
+    """``kept`` by exact fractions: levels, tails and tests computed plainly over all labelled documents."""
+    from fractions import Fraction
+
+    docs = pd.read_parquet(f"{DIR}/documents.parquet")
+    labels = pd.read_parquet(f"{DIR}/labels.parquet")
+    good = set(labels[labels.quality == 1].doc_id)
+    got = {r.doc_id: r.kept for r in QUERIES["op7_quality_rules"](spark, DIR).collect()}
+    levels, counts = {}, {}
+    seen = set()
+    for i, text, lang in zip(docs.doc_id, docs.text, docs.lang):
+        n, *_, repeat = _plain(text)
+        stats = _plain_statistics(text)
+        level = quality.STEPS
+        for name, (a, b) in quality.RULES.items():
+            for k in range(quality.STEPS - 1, -1, -1):
+                if stats[name] >= a * (b / a) ** (k / (quality.STEPS - 1)):
+                    level = min(level, k)
+        levels[i] = (lang, level, n < 20 or 100 * repeat > 30 * n)
+        if i in good and not levels[i][2] and (lang, level, text) not in seen:
+            seen.add((lang, level, text))  # copies count once
+            counts.setdefault(lang, [0] * (quality.STEPS + 1))[level] += 1
+    risk, steps = Fraction(2, 100), {}
+    for lang, by in counts.items():
+        steps[lang], n, rejected = -1, sum(by), 0
+        for k in range(quality.STEPS):
+            rejected += by[k]
+            tail = sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(rejected + 1))
+            if tail * len(counts) > Fraction(5, 100):
+                break
+            steps[lang] = k
+    assert got == {i: not failed and level > steps.get(lang, -1) for i, (lang, level, failed) in levels.items()}
+
+
+def test_copies_are_one_trial(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{chr(97 + k)}" for k in range(26)), "en") for i in range(500)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert quality.calibrate(quality.measure(docs), labels, 0.02, 0.05) == {"en": -1}
+
+
 def test_quality_of_odd_texts(spark):
     measured = quality.measure(_odd(spark))
     steps = quality.calibrate(measured, spark.createDataFrame([(5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"), 0.02, 0.05)

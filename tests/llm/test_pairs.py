@@ -70,17 +70,41 @@ def test_many_rules_are_joined(spark, monkeypatch):
     assert host_ranks.judge_urls(df.limit(0), URL_RULES, Scratch(spark, "t")).count() == 0
 
 
-def test_ranks_match_power_iteration(spark):
-    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 3.0)]
-    got = {r["host"]: r["rank"] for r in host_ranks.propagate(spark.createDataFrame(edges, "src string, dst string, n double"), spark.createDataFrame([("a", 0.5), ("d", 0.5)], "host string, seed double"), Scratch(spark, "t"), "x").collect()}
-    names = "abcd"
-    m, s = np.zeros((4, 4)), np.array([0.5, 0, 0, 0.5])
+def _ranks(edges, seeds, names):
+    """Power iteration in which what reaches a host without links goes back to the seeds."""
+    m, s = np.zeros((len(names),) * 2), np.array([seeds.get(x, 0.0) for x in names])
     for x, y, n in edges:
         m[names.index(y), names.index(x)] = n / sum(e[2] for e in edges if e[0] == x)
-    r = 0.15 * s
-    for _ in range(host_ranks.ROUNDS):
-        r = 0.15 * s + 0.85 * m @ r
-    assert np.allclose([got[x] for x in names], r)
+    r = s
+    for _ in range(600):
+        r = 0.15 * s + 0.85 * (m @ r + (1 - m.sum(axis=0)) @ r * s)
+    return r
+
+
+def test_ranks_match_power_iteration(spark):
+    names = [*"abcdef", *(f"n{i}" for i in range(40))]
+    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 3.0), ("c", "e", 2.0), ("d", "f", 1.0), ("f", "n0", 1.0)]
+    edges += [(f"n{i}", f"n{i + 1}", 1.0) for i in range(39)]  # far from the seeds
+    table = [("trust", *e) for e in edges] + [("distrust", y, x, n) for x, y, n in edges]
+    seeds = {"trust": {"a": 0.5, "d": 0.5}, "distrust": {"e": 0.2, "c": 0.8}}
+    rows = [(k, h, v) for k, own in seeds.items() for h, v in own.items()]
+    found = host_ranks.propagate(spark.createDataFrame(table, "kind string, src string, dst string, n double"), spark.createDataFrame(rows, "kind string, host string, seed double"), Scratch(spark, "t"), "x").collect()
+    for kind, own in seeds.items():
+        want = _ranks([e[1:] for e in table if e[0] == kind], own, names)
+        got = {r["host"]: r["rank"] for r in found if r["kind"] == kind}
+        assert np.allclose([got.get(x, 0.0) for x in names], want, rtol=1e-4, atol=0)
+
+
+def test_verdicts_compare_shares_of_all_trust_and_distrust(spark):
+    """A trusted seed that links to a blocked host keeps more trust than distrust, whatever part of the walks ends at hosts without links."""
+    pages = [(1, "http://good.org/", '<a href="//X.com/a">'), (2, "http://x.com/de/", ""), (3, "http://bad.net/", '<a href=http://x.com/>'), (4, "http://lost.net/", "<a href='/inside'>")]
+    pages.append((5, "http://long.net/", "x" * 300_000 + '<a href="http://x.com">'))
+    df = spark.createDataFrame([(*p, "own", "own") for p in pages], "page_id long, url string, html string, host string, trust string")
+    got = {r.page_id: r for r in host_ranks.judge_urls(df.unionByName(df.where("page_id = 3")), URL_RULES, Scratch(spark, "t")).collect()}
+    edges = [("x.com", "good.org", 1.0), ("x.com", "bad.net", 2.0), ("x.com", "long.net", 1.0)]
+    want = _ranks(edges, {"x.com": 1.0}, ["x.com", "good.org", "bad.net", "long.net"])
+    assert np.allclose([got[k].distrust for k in (2, 1, 3, 5)], want, rtol=1e-4)
+    assert [got[k].verdict for k in (1, 2, 3, 4, 5)] == ["allow", "block", "block", "allow", "block"]
 
 
 def _shingles(text):
@@ -303,12 +327,30 @@ def test_passages_with_edits_at_one_place_are_found():
     assert not lost
 
 
+def test_index_is_small():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(20, 31)))) for i in range(4000)]
+    index = decontaminate.ItemIndex(items)
+    assert index.n_bytes() < 12 * sum(len(t) for _, t in items)
+
+
+def test_repeated_documents_and_equal_distances(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    near = item.replace("t3", "x3")
+    docs = spark.createDataFrame([(1, f"{near} and {near}", 9), (1, f"{near} and {near}", 9), (2, item, 9), (None, f"{item} {'long ' * 100_000}{item}", 9)], "doc_id long, text string, distance int")
+    got = sorted((r.doc_id or 0, r.item_id, r.first_word, r.distance) for r in decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect())
+    assert got == [(0, 7, 0, 0), (1, 7, 0, 1), (1, 7, 0, 1), (2, 7, 0, 0)]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     a = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 15)
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == a and a
+    monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", 2000)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == a
     norm = lambda t: " " + " ".join(w.decode() for w in decontaminate.stems([x.encode() for x in t.split()])) + " "
     d, b = docs.toPandas(), items.toPandas()
     texts, wanted = d.text.map(norm), b.text.map(norm)
@@ -335,6 +377,55 @@ def test_pipeline(spark):
     assert len(kept[4]) > 0.5 * len(kept[0])
 
 
+CLASHING = ["score", "level", "kept", "cosine", "rejected", "lang_pred", "n_words", "base_failed", "text_hash", "component_id", "n_shingles", "item_id", "length", "sequence_id", "lid_score", "rule_kept", "hash_text"]
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty, repeated and very long texts, an empty table and a user's columns with the stages' names."""
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 60").collect()
+    rows = [tuple(r) for r in plain] + [tuple(plain[3])] * 2
+    rows += [(None, plain[4].text, None, None, None), (901, None, "en", "s", 0), (902, "", None, None, 0), (903, " \n\t", "de", "s", 3), (904, plain[5].text * 300, "en", "s", None), (plain[6].doc_id, plain[7].text + " one more word", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in CLASHING)) for k, r in enumerate(rows)], schema)
+    scratch = Scratch(spark, "t")
+    frames = [scratch.table(docs, "docs")]
+    for name, stage in corpus_pipeline.STAGES:
+        frames.append(scratch.table(stage(spark, frames[-1], DIR), name))
+    all_rows = {tuple(r) for r in frames[0].collect()}
+    for before, after in zip(frames[:-2], frames[1:-1]):
+        assert after.columns == docs.columns and {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()} <= all_rows
+    kept = [[r.score for r in f.collect()] for f in frames[:-1]]
+    at = lambda k: f"score{k}"
+    assert {at(k) for k in (63, 64, 65)} & set(kept[1]) == set() and at(62) in kept[1]  # null and empty texts go, a null id stays
+    copies = [at(3), at(60), at(61)]
+    assert all(x in kept[1] for x in copies) and len([x for x in kept[3] if x in copies]) <= 1
+    assert len(kept[3]) == len(set(kept[3]))
+    texts = {r.score: r.text for r in frames[2].collect()}
+    want = _components(list(enumerate(texts.values())))
+    assert len(kept[3]) == len({c for _, _, c in want})  # one of each group
+    assert frames[-1].agg(F.sum("length")).first()[0] == frames[-1].select("doc_id", "doc_tokens", "start", "length").where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    nothing = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, DIR).count() == 0
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    """No label and no language anywhere: nothing is rejected for its language, and quality has its base rules."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language_id"](spark, docs, str(tmp_path))
+    assert kept.count() == docs.where("text rlike '\\\\p{L}'").count()
+    assert 0 < stages["quality_rules"](spark, kept, str(tmp_path)).count() < kept.count()
+    assert {r.lang_pred for r in QUERIES["op5_language_id"](spark, str(tmp_path)).collect()} == {"und"}
+
+
 @pytest.mark.parametrize("name", [q for q in QUERIES if q in SQL])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from keymere.llm import packing, token_ids, tokenize
 from keymere.llm.elias_fano import EliasFano
-from keymere.llm.queries import vocabulary
+from keymere.llm.queries import QUERIES, vocabulary
 from keymere.llm.scratch import Scratch
 from keymere.llm.text import text_slices
 from keymere.llm.tokenize import encode_slice
@@ -147,3 +147,30 @@ def test_patterns_use_each_length_once(histogram):
         for n in lengths:
             used[n] = used.get(n, 0) + count
     assert used == {k: v for k, v in histogram.items() if v}
+
+
+@pytest.mark.parametrize("name, vocabulary_name, end", [("op1_token_ids", "word_bpe_49k.json", 1), ("op4_packing", "byte_bpe_50k.json", 0)])
+def test_queries_against_the_library(spark, name, vocabulary_name, end):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    whole = Tokenizer.from_file(vocabulary(vocabulary_name))
+    want = {r.doc_id: np.array(whole.encode(r.text or "", add_special_tokens=False).ids + [end], "<u4") for r in docs}
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    if name == "op1_token_ids":
+        start = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want[r.doc_id]), zlib.crc32(want[r.doc_id].tobytes()))
+            start += r.n_tokens
+        assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(want)
+        return
+    ends, last = {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == last.get(r.doc_id, 0) and r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+        last[r.doc_id] = r.start + r.length
+    assert last == {i: len(x) for i, x in want.items()}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024 and len(ends) * 1024 < 1.03 * sum(map(len, want.values())) + 1024
