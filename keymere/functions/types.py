@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed ids and Spark forms of the built-in types.
@@ -82,3 +84,35 @@ class TypeDictionary:
     def from_frame(cls, df: DataFrame) -> TypeDictionary:
         rows = df.where("schema_json is not null").collect()  # a row per type
         return cls({r["type_name"]: (r["type_id"], T.StructType.fromJson(json.loads(r["schema_json"]))) for r in rows})
+
+
+@dataclass(frozen=True)
+class Handler:
+    """A type of values: how they are stored, and how they come back, as functions of columns."""
+
+    name: str
+    to_stored: Callable[[Column], Column]
+    from_stored: Callable[[Column], Column]
+
+
+@dataclass
+class Handlers:
+    """Handlers by name, applied to the columns of a frame that have their type."""
+
+    known: dict[str, Handler] = field(default_factory=dict)
+
+    def add(self, handler: Handler) -> None:
+        if handler.name in self.known:
+            raise TypeConflict(f"{handler.name} has a handler")
+        self.known[handler.name] = handler
+
+    def _of(self, name: str) -> Handler:
+        if name not in self.known:
+            raise TypeConflict(f"{name} has no handler")
+        return self.known[name]
+
+    def to_stored(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        return df.withColumns({c: self._of(h).to_stored(F.col(c)) for c, h in columns.items()})
+
+    def from_stored(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        return df.withColumns({c: self._of(h).from_stored(F.col(c)) for c, h in columns.items()})

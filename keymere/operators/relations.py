@@ -64,6 +64,11 @@ def map_contains(column: Column, key: object) -> Column:
     return F.coalesce(F.map_contains_key(column, key), F.lit(False))
 
 
+def sample_of(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows chosen by a hash of seed and id: the same ones each time, however the rows are dealt."""
+    return df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
+
+
 def overlapping(intervals: DataFrame, start: Column, end: Column, first: Column, last: Column) -> DataFrame:
     """Intervals that meet [first, last], ends included."""
     return intervals.where((start <= last) & (end >= first))

@@ -68,7 +68,7 @@ def load_by_types(t):
 
 @query("select max(o_orderkey) as max_object, max(o_custkey) as max_type, count(*) as n from orders")
 def id_analysis(t):
-    return t.orders.agg(F.max("o_orderkey").alias("max_object"), F.max("o_custkey").alias("max_type"), F.count(F.lit(1)).alias("n"))
+    return storage.id_analysis(t.orders, "o_orderkey", "o_custkey")
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderkey in (select o_orderkey from orders where o_custkey < 20 and o_orderkey is not null)")
@@ -92,9 +92,9 @@ def tx_sequence(t):
     return storage.sequence(t.events.select("event_id", "user_id"), "user_id", "event_id").select("event_id", "seq")
 
 
-@query("select o_orderkey from orders order by md5(cast(o_orderkey as varchar)), o_orderkey limit 50")
+@query("select o_orderkey from orders order by md5('1' || cast(o_orderkey as varchar)), o_orderkey limit 50")
 def sample_ids(t):
-    return t.orders.orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "o_orderkey").limit(50).select("o_orderkey")
+    return relations.sample_of(t.orders, "o_orderkey", 50, 1).select("o_orderkey")
 
 
 # -- scalars -----------------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, scalars
+from ..functions import binary, paths, scalars, types
 from ..functions.conditions import And, Is, Or, Where
 from ..functions.keys import Indexer, date_time, guid, identity, ignore_case, numeric, property_key
 from ..operators import relations
@@ -160,7 +160,7 @@ def mut_remove_first(t):
     return ids(m.remove_first(Is(m.indexers["brand"], "Brand#12")).df, "p_partkey", "p_name")
 
 
-@query("select 0 as entity_id, 'first' as s_name")
+@query("select cast(0 as bigint) as entity_id, 'first' as s_name")
 def mut_remove_all(t):
     m = suppliers(t).remove_all().add(s_name="first")
     return ids(m.df, "s_suppkey", "s_name")
@@ -173,7 +173,7 @@ def constraint_on_change(t):
     return rule.change_violations(t.customer, later, "c_custkey")
 
 
-@query("select c_custkey, c_acctbal as old_balance, 0.0 as new_balance from customer where c_custkey % 5 = 0 and c_acctbal <> 0")
+@query("select c_custkey, c_acctbal as old_balance, cast(0 as double) as new_balance from customer where c_custkey % 5 = 0 and c_acctbal <> 0")
 def change_pairs(t):
     later = t.customer.withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.lit(0.0)).otherwise(F.col("c_acctbal")))
     return changed_rows(t.customer, later, "c_custkey").select("c_custkey", F.col("old.c_acctbal").alias("old_balance"), F.col("new.c_acctbal").alias("new_balance"))
@@ -455,3 +455,97 @@ def average_rates(t):
 def channel_usage(t):
     size = F.col("l_quantity").cast("long")
     return storage.file_rollup(t.lineitem, F.col("l_orderkey") % 4, F.col("l_suppkey") % 3, size, F.when(F.col("l_returnflag") == "N", size).otherwise(0))
+
+
+# -- stored forms of values --------------------------------------------------
+@query("select c_custkey, c_custkey - 750 as back, cast(greatest(1, ceil(length(ltrim(bin(case when c_custkey >= 750 then 2 * (c_custkey - 750) else -2 * (c_custkey - 750) - 1 end), '0')) / 7.0)) as integer) as n, lower(hex(encode(chr(cast(case when c_custkey between 750 and 813 then 2 * (c_custkey - 750) else 0 end as integer))))) = '00' or c_custkey between 751 and 813 as known from customer")
+def varint_round_trip(t):
+    data = binary.varint(F.col("c_custkey") - 750)
+    first = F.when(F.col("c_custkey").between(751, 813), F.conv(F.hex(data), 16, 10).cast("long") == 2 * (F.col("c_custkey") - 750)).otherwise(F.lit(True))
+    return t.customer.select("c_custkey", binary.from_varint(data).alias("back"), F.octet_length(data).alias("n"), first.alias("known"))
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as varchar) as o_orderdate from orders")
+def binary_round_trip(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    return binary.deserialised(binary.serialised(rows), rows.schema).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def handled_types(t):
+    handlers = types.Handlers()
+    handlers.add(types.Handler("cents", lambda c: F.round(c * 100).cast("long"), lambda c: c / 100.0))
+    stored = handlers.to_stored(t.customer.select("c_custkey", "c_name", "c_acctbal"), {"c_acctbal": "cents"})
+    return handlers.from_stored(stored, {"c_acctbal": "cents"})
+
+
+@query("select p_partkey, try_cast(p_brand as integer) as not_a_number, try_cast(split_part(p_brand, '#', 2) as integer) as brand_no, try_cast(cast(p_size as varchar) || '.5' as double) as half, cast(try_cast('1997-01-' || cast(p_size as varchar) as date) as varchar) as day from part")
+def parsed_keys(t):
+    key = lambda c, kind: c.try_cast(kind)
+    size = F.col("p_size").cast("string")
+    return t.part.select("p_partkey", key(F.col("p_brand"), "int").alias("not_a_number"), key(F.split_part("p_brand", F.lit("#"), F.lit(2)), "int").alias("brand_no"), key(F.concat(size, F.lit(".5")), "double").alias("half"), key(F.concat(F.lit("1997-01-"), size), "date").cast("string").alias("day"))
+
+
+@query("select s_suppkey as entity_id, s_name from supplier order by md5('42' || cast(s_suppkey as varchar)), s_suppkey limit 20")
+def sample_with_seed(t):
+    return ids(relations.sample_of(t.supplier, "s_suppkey", 20, 42), "s_suppkey", "s_name")
+
+
+# -- the file system of blobs ------------------------------------------------
+def _blob_files(t):
+    return blobs.BlobFiles(t.conversations.select(F.concat(F.lit("box/"), F.col("conv_id").cast("string")).alias("path"), "turn", F.col("text").cast("binary").alias("data")), "path", "turn", "data")
+
+
+@query("with f as (select 'box/' || cast(conv_id as varchar) as path, cast(sum(octet_length(encode(text))) as bigint) as size from conversations group by 1) select case path when 'box/1' then 'box/moved' else path end as path, size from f where path <> 'box/2' union all select 'box/3-copy', size from f where path = 'box/3' union all select 'box/new', 3")
+def blob_file_system(t):
+    files = _blob_files(t).move("box/1", "box/moved").delete("box/2").copy("box/3", "box/3-copy").write("box/new", b"abc")
+    return files.sizes().select("path", "size")
+
+
+@query("select sha256(encode(string_agg(text, '' order by turn))) as checksum, true as there, false as missing from conversations where conv_id = 4")
+def blob_file_read(t):
+    files = _blob_files(t)
+    data = files.read("box/4").select(F.sha2("data", 256).alias("checksum"))
+    return data.select("checksum", F.lit(files.exists("box/4")).alias("there"), F.lit(files.exists("box/nothing")).alias("missing"))
+
+
+# -- upkeep ------------------------------------------------------------------
+@query("select doc_id, case when doc_id % 5 = 0 then 'restored' when doc_id % 7 = 0 then 'lost' else 'kept' end as outcome, case when doc_id % 5 <> 0 and doc_id % 7 = 0 then null else sha256(text) end as checksum from documents")
+def integrity_repair(t):
+    whole = t.documents.select("doc_id", "text")
+    stored = whole.where("doc_id % 7 <> 0 or doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, "damaged").otherwise(F.col("text")))
+    checks = storage.checksums(whole, "doc_id", "text")
+    backup = whole.where("doc_id % 5 = 0")
+    out = storage.repaired(stored, checks, backup, "doc_id", "text")
+    return out.select("doc_id", "outcome", F.when(F.col("outcome") != "lost", F.sha2(F.col("text").cast("binary"), 256)).alias("checksum"))
+
+
+@query("select s_suppkey as file_no, case when s_suppkey % 5 = 0 then 'quarantine' when s_suppkey % 3 = 0 then 'restore' else 'keep' end as step from supplier")
+def recovery_steps(t):
+    state = F.when(F.col("s_suppkey") % 5 == 0, "short").when(F.col("s_suppkey") % 3 == 0, "missing").otherwise("ok")
+    return storage.recovery_steps(t.supplier.select(F.col("s_suppkey").alias("file_no"), state.alias("state")))
+
+
+@query("select * from (values ('collection', true), ('consolidation', true), ('optimisation', false)) v(task, done)")
+def upkeep_run(t):
+    def fails(seconds: float) -> None:
+        raise RuntimeError("nothing to optimise")
+
+    work = {"collection": lambda s: t.region.count(), "consolidation": lambda s: s, "optimisation": fails}
+    done = housekeeping.run_tasks(work, housekeeping.Budget(10.0))
+    return t.spark.createDataFrame([(name, not isinstance(result, Exception)) for name, _, _, result in done], "task string, done boolean")
+
+
+@query("select l_suppkey as file_no, count(*) as n, cast(sum(l_quantity) as bigint) as total from lineitem group by 1")
+def file_statistics(t):
+    return storage.file_statistics(t.lineitem, F.col("l_suppkey"), F.col("l_quantity").cast("long"))
+
+
+@query("select cast(n_nationkey as bigint) as id, n_name from nation where n_regionkey = 2")
+def entities_with_action(t):
+    """Each entity is handed to an action, which keeps it in an accumulator of ids."""
+    seen = t.spark.sparkContext.accumulator(0)
+    m = builder(t.nation.where("n_regionkey = 2"), "n_nationkey")
+    m.iterate_indexed(lambda i, row: seen.add(1))
+    kept = m.peek(-1).count() + seen.value
+    return m.df.where(F.lit(kept) == m.size()).select(F.col("n_nationkey").cast("long").alias("id"), "n_name")

@@ -71,6 +71,33 @@ def integrity(current: DataFrame, stored: DataFrame, id_col: str) -> DataFrame:
     return joined.select(id_col, state.alias("state"))
 
 
+def repaired(stored: DataFrame, checks: DataFrame, backup: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Rows as they should be: kept where the checksum is right, else restored from the backup, else lost (``outcome``)."""
+    right = checks.select(id_col, F.col("checksum").alias("_right"))
+    own = stored.select(id_col, F.col(text).alias("_own"))
+    spare = backup.select(id_col, F.col(text).alias("_spare"))
+    rows = right.join(own, id_col, "left").join(spare, id_col, "left")
+    kept = F.coalesce(sha256_text(F.col("_own")) == F.col("_right"), F.lit(False))
+    fits = F.coalesce(sha256_text(F.col("_spare")) == F.col("_right"), F.lit(False))
+    outcome = F.when(kept, "kept").when(fits, "restored").otherwise("lost")
+    return rows.select(id_col, F.when(kept, F.col("_own")).when(fits, F.col("_spare")).alias(text), outcome.alias("outcome"))
+
+
+def recovery_steps(states: DataFrame) -> DataFrame:
+    """What a start does with each file after :func:`recovery`: a short one goes to quarantine, a missing one is restored."""
+    step = F.when(F.col("state") == "short", "quarantine").when(F.col("state") == "missing", "restore").otherwise("keep")
+    return states.select("file_no", step.alias("step"))
+
+
+def id_analysis(objects: DataFrame, object_id: str, type_id: str) -> DataFrame:
+    """The highest ids of objects and types, and the number of objects: where a store goes on after a start."""
+    return objects.agg(F.max(object_id).alias("max_object"), F.max(type_id).alias("max_type"), F.count(F.lit(1)).alias("n"))
+
+
+def file_statistics(files: DataFrame, file: Column, size: Column) -> DataFrame:
+    return files.groupBy(file.alias("file_no")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("total"))
+
+
 def incremental(files: DataFrame, modified: Column, since: Column) -> DataFrame:
     return files.where(modified > since)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +17,29 @@ SCHEMES = {"local": "file", "nio": "file", "s3": "s3a", "azure": "abfss", "oci":
 OVERWRITE = {"nio"}
 
 
+#: Readers of stores without a file system: store -> function of (spark, path) that gives path, number and data of blobs.
+READERS: dict[str, Callable] = {}
+
+
+def register_reader(store: str, read: Callable) -> None:
+    """Let :func:`read_store` load blobs of a store that Spark has no file system for (a key-value or document store, a topic)."""
+    if store in SCHEMES or store in READERS:
+        raise ValueError(f"store {store} is known")
+    READERS[store] = read
+
+
+def read_store(spark, store: str, path: str) -> DataFrame:
+    """Blobs below a path of any known store: path, n, data."""
+    if store in READERS:
+        return READERS[store](spark, path).select("path", "n", "data")
+    files = read_files(spark, uri(store, path)).select("path", F.col("content").alias("data"))
+    number = F.regexp_extract("path", r"\.(\d+)$", 1)
+    return files.select(F.regexp_replace("path", r"\.\d+$", "").alias("path"), F.when(number != "", number.cast("long")).otherwise(0).alias("n"), "data")
+
+
 def uri(store: str, path: str) -> str:
     if store not in SCHEMES:
-        raise ValueError(f"store {store} has no file system that Spark reads; load its blobs as a table")
+        raise ValueError(f"store {store} has no file system that Spark reads; register a reader of its blobs")
     return f"{SCHEMES[store]}://{'/' if SCHEMES[store] == 'file' and not path.startswith('/') else ''}{path}"
 
 
@@ -141,3 +164,51 @@ def exists(files: DataFrame, path_col: str, path: str) -> DataFrame:
     own = files.select(F.col(path_col).alias("p")).where((F.col("p") == name) | F.col("p").startswith(name + "/"))
     is_file, below = F.coalesce(F.bool_or(F.col("p") == name), F.lit(False)), F.coalesce(F.bool_or(F.col("p") != name), F.lit(False))
     return own.agg(is_file.alias("is_file"), below.alias("is_folder"), (~below).alias("is_empty"))
+
+
+class BlobFiles:
+    """The files of a table of blobs. What changes them gives a new object; nothing is written until a result is."""
+
+    def __init__(self, blobs: DataFrame, file: str = "path", number: str = "n", data: str = "data", store: str = "local"):
+        self.blobs, self.file, self.number, self.data, self.store = blobs, file, number, data, store
+
+    def _of(self, blobs: DataFrame) -> BlobFiles:
+        return BlobFiles(blobs, self.file, self.number, self.data, self.store)
+
+    def sizes(self) -> DataFrame:
+        return file_sizes(self.blobs, self.file, F.octet_length(self.data).cast("long"))
+
+    @contextmanager
+    def remembered(self):
+        """Sizes and existence kept in memory while the block runs, as one small row a file."""
+        sizes = self.sizes().persist()
+        try:
+            yield sizes
+        finally:
+            sizes.unpersist()
+
+    def exists(self, name: str) -> bool:
+        return not self.blobs.where(F.col(self.file) == name).isEmpty()
+
+    def is_empty(self, folder: str) -> bool:
+        return self.blobs.where(F.col(self.file).startswith(folder.rstrip("/") + "/")).isEmpty()
+
+    def read(self, name: str, offset: int = 0, length: int = -1) -> DataFrame:
+        return read_range(self.blobs.where(F.col(self.file) == name), self.file, self.number, self.data, offset, length)
+
+    def write(self, name: str, content: bytes) -> BlobFiles:
+        return self._of(append_blob(self.blobs, self.file, self.number, self.data, name, content, self.store))
+
+    def copy(self, source: str, target: str, offset: int = 0, length: int = -1) -> BlobFiles:
+        whole = offset == 0 and length < 0
+        return self._of(copy_file(self.blobs, self.file, source, target) if whole else copy_range(self.blobs, self.file, self.number, self.data, source, offset, length, target))
+
+    def move(self, source: str, target: str) -> BlobFiles:
+        return self._of(move_file(self.blobs, self.file, source, target))
+
+    def truncate(self, name: str, length: int) -> BlobFiles:
+        others = delete_file(self.blobs, self.file, name)
+        return self._of(others.unionByName(truncate(self.blobs.where(F.col(self.file) == name), self.file, self.number, self.data, length)))
+
+    def delete(self, name: str) -> BlobFiles:
+        return self._of(delete_file(self.blobs, self.file, name))

@@ -40,6 +40,34 @@ def test_blobs(spark):
         blobs.uri("redis", "x")
 
 
+def test_blob_files(spark):
+    df = spark.createDataFrame([("a/f", 0, bytearray(b"hello")), ("a/f", 1, bytearray(b" world")), ("a/g", 0, bytearray(b"x"))], "path string, n long, data binary")
+    files = blobs.BlobFiles(df)
+    text = lambda f, name, *at: bytes(f.read(name, *at).first().data)
+    assert files.exists("a/f") and not files.exists("a") and not files.is_empty("a") and files.is_empty("b")
+    assert text(files, "a/f", 3, 4) == b"lo w" and text(files.truncate("a/f", 7), "a/f") == b"hello w"
+    assert text(files.copy("a/f", "a/g", 6), "a/g") == b"xworld" and text(files.copy("a/f", "b/h"), "b/h") == b"hello world"
+    moved = files.move("a/f", "c").write("c", b"!")
+    assert text(moved, "c") == b"hello world!" and not moved.exists("a/f") and not files.delete("a/g").exists("a/g")
+    over = blobs.BlobFiles(df, store="nio").write("a/f", b"new")
+    assert text(over, "a/f") == b"new"
+    with files.remembered() as sizes:
+        assert {r.path: r.size for r in sizes.collect()} == {"a/f": 11, "a/g": 1}
+
+
+def test_stores_with_a_reader(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blobs, "READERS", {})
+    blobs.register_reader("redis", lambda s, path: s.createDataFrame([(path + "/k", 0, bytearray(b"v"))], "path string, n long, data binary"))
+    assert blobs.read_store(spark, "redis", "top").first().path == "top/k"
+    for n, part in enumerate((b"ab", b"cd")):
+        (tmp_path / f"file.{n}").write_bytes(part)
+    files = blobs.BlobFiles(blobs.read_store(spark, "local", str(tmp_path)))
+    name = files.sizes().first().path
+    assert name.endswith("/file") and bytes(files.read(name).first().data) == b"abcd"
+    with pytest.raises(ValueError):
+        blobs.register_reader("s3", None)
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("a/b/c.txt",), ("a/d",), ("e",)], "p string")
     row = df.select(paths.container(F.col("p")).alias("c"), paths.parent(F.col("p")).alias("up"), paths.identifier(F.col("p")).alias("i"), paths.file_type(F.col("p")).alias("t"), paths.file_stem(paths.identifier(F.col("p"))).alias("s"))
