@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, wide
 from .text import Words, text_slices
 
 SHINGLE = 5
@@ -549,7 +549,8 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     points = classes.select("id", "n", "point")
 
     def blocks(rows: DataFrame) -> DataFrame:
-        return rows.join(points.drop("n"), "id").repartition("key").sortWithinPartitions("key").select(*BLOCK_ROWS)
+        rows = rows.join(points.drop("n"), "id")
+        return rows.repartition(*wide(rows), "key").sortWithinPartitions("key").select(*BLOCK_ROWS)
 
     # the first round: the blocks whose hashes are smallest, which copies have in common, in parts of at most a tile or so
     part = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / TILE))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, wide
 from .text import text_slices
 from .token_ids import append_end
 from .tokenize import encode_slice
@@ -146,7 +146,7 @@ def pack(pieces: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     order = ["length", "doc_id", "start", "ids_crc32"]
-    dealt = pieces.withColumn("_deal", F.rand(5)).repartitionByRange(*order, "_deal").sortWithinPartitions(*order).drop("_deal")
+    dealt = pieces.withColumn("_deal", F.rand(5)).repartitionByRange(*wide(pieces), *order, "_deal").sortWithinPartitions(*order).drop("_deal")
     ordered = scratch.table(dealt.mapInArrow(rank, schema + ", _part long, _rank long"), "ordered")
     before: dict[tuple[int, int], int] = {}
     total: dict[int, int] = defaultdict(int)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import Scratch
+from .scratch import Scratch, wide
 
 #: Bits of the hash: the first 15 hex digits of an MD5 sum.
 BITS = 60
@@ -128,7 +128,7 @@ def _pages(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
                 pages.append(page)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int64()), pa.array([part] * len(pages), pa.int64())], [*batch.schema.names, "page", "part"])
 
-    salted = rows.withColumn("_s", F.rand(17)).repartitionByRange("prefix", "_s").sortWithinPartitions("prefix", "_s").drop("_s")
+    salted = rows.withColumn("_s", F.rand(17)).repartitionByRange(*wide(rows), "prefix", "_s").sortWithinPartitions("prefix", "_s").drop("_s")
     filled = scratch.table(salted.mapInArrow(fill, StructType([*rows.schema, *StructType.fromDDL("page long, part long")])), "pages")
     used = filled.groupBy("prefix", "part").agg((F.max("page") + 1).alias("n"))
     from pyspark.sql import Window
@@ -146,7 +146,7 @@ def write_shards(docs: DataFrame, limit: int, folder: str, scratch: Scratch, key
     """
     rows = shard_rows(docs, limit, scratch, key_col, text_col, carry=True)
     named = rows.select("row.*", F.concat_ws("-", "depth", "prefix", "page").alias("shard"))
-    named.repartition("shard").write.partitionBy("shard").parquet(folder)
+    named.repartition(*wide(docs), "shard").write.partitionBy("shard").parquet(folder)
     return docs.sparkSession.read.schema(StructType([*docs.schema, *StructType.fromDDL("shard string")])).parquet(folder)
 
 

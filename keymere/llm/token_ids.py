@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .scratch import Scratch, open_fs
+from .scratch import Scratch, open_fs, wide
 from .text import text_slices
 from .tokenize import cache_of, encode_slice
 
@@ -125,7 +125,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     width = 2 if vocabulary_size <= 1 << 16 else 4
     key = F.xxhash64(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), key.alias("k"), F.rand(3).alias("r"))
-    rows = rows.repartitionByRange("id", "k", "r").sortWithinPartitions("id", "k", "t").select("id", "t")
+    rows = rows.repartitionByRange(*wide(rows), "id", "k", "r").sortWithinPartitions("id", "k", "t").select("id", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

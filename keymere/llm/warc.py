@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, open_fs
+from .scratch import Scratch, open_fs, wide
 
 #: Fixed values of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,7 +139,7 @@ DIRECTORY = "file string, first_key string, first_page long, offset long, length
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Sort captures into compressed blocks of index files; returns the block directory (lazily)."""
-    ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
+    ordered = captures.repartitionByRange(*wide(captures), "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -228,7 +228,7 @@ class CaptureIndex:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "page_id", "file", "offset", "length"])
 
-        near = wanted.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+        near = wanted.select("key", "page_id").repartitionByRange(*wide(wanted), "key", "page_id").sortWithinPartitions("key", "page_id")
         return near.mapInArrow(find, CAPTURES)
 
     def read(self, captures: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -253,7 +253,7 @@ class CaptureIndex:
                     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(rows[0])]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-        near = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+        near = captures.select("file", "offset", "length").repartitionByRange(*wide(captures), "file", "offset").sortWithinPartitions("file", "offset")
         return near.mapInArrow(load, schema)
 
 

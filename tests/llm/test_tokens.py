@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keymere.llm import packing, token_ids, tokenize
+from keymere.llm import packing, scratch, token_ids, tokenize
 from keymere.llm.elias_fano import EliasFano
 from keymere.llm.queries import QUERIES, vocabulary
 from keymere.llm.scratch import Scratch
@@ -77,6 +77,16 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
         assert len(cache.known) <= 200 + 85 and b" the" in cache.known.to_pylist()
 
 
+def test_large_inputs_are_dealt_out_widely(spark, monkeypatch, tmp_path):
+    spark.range(200_000).selectExpr("id", "md5(cast(cast(id as string) as binary)) as text").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert scratch.wide(df) == () and scratch.wide(spark.createDataFrame([(1,)], "a int")) == ()
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 20)
+    (n,) = scratch.wide(df)
+    assert 5 < n < 100 and scratch.wide(df.join(df.withColumnRenamed("text", "t"), "id")) in ((2 * n,), (2 * n + 1,))
+    assert df.repartitionByRange(n, "id").rdd.getNumPartitions() == n
+
+
 def test_copies_of_a_row_are_dealt_out(spark, request):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
