@@ -253,6 +253,13 @@ def export_import(t):
     return e.root("copy")
 
 
+@query("select c_custkey, c_name from customer")
+def store_by_channel(t):
+    e = engine(t, channels=3)
+    e.store_by_channel("customer", t.customer.select("c_custkey", "c_name"), "c_custkey")
+    return e.channels("customer").drop("channel")
+
+
 @query("select n_name as name, 'nation' as kind, cast(null as bigint) as size from nation union all select url, null, cast(length(html) as bigint) from pages")
 def backends_concat(t):
     return stores.concat(t.nation.select(F.col("n_name").alias("name"), F.lit("nation").alias("kind")), t.pages.select(F.col("url").alias("name"), F.length("html").cast("long").alias("size"))).select("name", "kind", "size")

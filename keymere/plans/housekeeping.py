@@ -107,6 +107,35 @@ def run_tasks(tasks: dict[str, Callable[[float], object]], budget: Budget) -> li
     return out
 
 
+class Upkeep:
+    """The work of an engine's housekeeping on its roots: parts that nothing names are removed, many small parts are merged."""
+
+    def __init__(self, engine: Engine, most_parts: int = 8):
+        self.engine, self.most_parts = engine, most_parts
+
+    def collect(self, seconds: float) -> int:
+        """Garbage collection within a time: roots that are left are done the next time. Returns parts removed."""
+        return sum(self._each(seconds, self.engine.collect_garbage).values())
+
+    def consolidate(self, seconds: float) -> list[str]:
+        """Merge roots of more than ``most_parts`` parts; returns their names."""
+        many = lambda name: len(self.engine.manifest(name)["parts"]) > self.most_parts and bool(self.engine.compact(name))
+        return [name for name, done in self._each(seconds, many).items() if done]
+
+    def _each(self, seconds: float, work: Callable[[str], object]) -> dict[str, object]:
+        end, out = time.monotonic() + seconds, {}
+        for name in self.engine.roots():
+            if time.monotonic() >= end:
+                break
+            out[name] = work(name)
+        return out
+
+    def run(self, budget: Budget | None = None) -> list[tuple[str, float, bool, object]]:
+        """All of it within the budget (the engine's if none is given)."""
+        budget = budget or Budget(self.engine.config.housekeeping_budget_ms / 1000)
+        return run_tasks({"collection": self.collect, "consolidation": self.consolidate}, budget)
+
+
 class Backups:
     """Copies of the current version of roots, as folders named by their number."""
 
@@ -116,9 +145,9 @@ class Backups:
     def full(self, names: list[str] | None = None) -> list[str]:
         done = []
         for name in names or self.engine.roots():
-            df = self.engine.root(name)
+            df, m = self.engine.root(name), self.engine.manifest(name)
             if df is not None:
-                self.target.store(name, df, meta={"kind": "full", "of": self.engine.manifest(name)["version"]})
+                self.target.store(name, df, tuple(m["partition_by"]), {"kind": "full", "of": m["version"], "meta": m["meta"]})
                 done.append(name)
         return done
 
@@ -136,7 +165,8 @@ class Backups:
         df = self.target.root(name)
         if df is None:
             raise StorageError(f"no backup of {name}")
-        return self.engine.store(name, df)
+        m = self.target.manifest(name)
+        return self.engine.store(name, df, tuple(m["partition_by"]), m["meta"].get("meta"))
 
 
 class Lock:

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keymere.functions.keys import property_key
+from keymere.operators.entity_map import EntityMap
 from keymere.plans import housekeeping as h
 from keymere.sources import blobs
 from keymere.sources.store import Engine, StorageError
@@ -47,6 +49,13 @@ def test_backups(spark, tmp_path):
     assert sorted(r.id for r in engine.root("x").collect()) == [0, 1, 2, 3, 4, 12, 13]
     with pytest.raises(StorageError):
         backups.restore("z")
+    m = EntityMap(spark.range(6).withColumnRenamed("id", "entity_id").withColumn("v", F.lit("a"))).with_index(property_key("v", "v"))
+    engine.register("m", m)
+    engine.store_map("m")
+    backups.full(["m"])
+    engine.store("m", spark.range(1))
+    backups.restore("m")
+    assert engine.load_map("m").query("v", "a").count() == 6  # with its indexers
 
 
 def test_lock(spark, tmp_path):
@@ -127,3 +136,30 @@ def test_foundation_and_import(spark, tmp_path):
         Foundation(spark, f"file://{tmp_path}/c").with_root("x", lambda: spark.range(1)).with_evaluator(lambda s: False).start()
     with pytest.raises(ValueError):
         Foundation(spark, "x", channels=0)
+
+
+def test_upkeep(spark, tmp_path, monkeypatch):
+    from keymere.sources import store
+
+    engine = Engine.start(spark, f"file://{tmp_path}/store")
+    for k in range(4):
+        engine.append("x", spark.range(k, k + 1))
+    engine.store("y", spark.range(2))
+    engine._write("x", spark.range(9), [])  # the part of a writer that crashed
+    work = h.Upkeep(engine, most_parts=3)
+    assert work.collect(60.0) == 0  # it may still be writing
+    monkeypatch.setattr(store, "STALE_SECONDS", -1)
+    done = {name: result for name, _, _, result in work.run(h.Budget(1000.0))}
+    assert done == {"collection": 1, "consolidation": ["x"]}
+    assert sorted(r.id for r in engine.root("x").collect()) == [0, 1, 2, 3] and len(engine.manifest("x")["parts"]) == 1
+    assert work.collect(0.0) == 0 and engine.root("y").count() == 2
+
+
+def test_channels(spark, tmp_path):
+    engine = Engine.start(spark, f"file://{tmp_path}/store", channels=3)
+    engine.store_by_channel("x", spark.range(60), "id")
+    assert sorted(r.id for r in engine.channels("x").collect()) == list(range(60))
+    parts = [{r.id for r in engine.channels("x", [c]).collect()} for c in range(3)]
+    assert all(parts) and sum(map(len, parts)) == 60
+    engine.append("x", engine.channels("x", [1]))
+    assert engine.channels("x", [1]).count() == 2 * len(parts[1]) and engine.channels("none") is None
