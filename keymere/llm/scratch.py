@@ -33,7 +33,7 @@ TASK_BYTES = 128 << 20
 def wide(df: DataFrame) -> tuple[int, ...]:
     """The number of partitions to deal ``df`` out to, where the session's is too few for the tables it reads; else nothing, which lets Spark join small ones."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # Spark takes a size that it doesn't know for as large as can be
     wanted = sum(x for x in sizes if x < 1 << 60) // TASK_BYTES
     return (wanted,) if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
