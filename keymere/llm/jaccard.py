@@ -118,11 +118,13 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, s
     return shingles[np.argsort(own, kind="stable")[:most]]
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(values in ascending order, rank) of the commonest shingles of all texts; rank is the binary logarithm of the count.
 
     Counted are repetitions within ``CHUNK`` shingles of a task, so all but
-    rare ones meet in the sums. At most ``MOST_COMMON`` are returned.
+    rare ones meet in the sums. Whole ranks are taken, from the highest down,
+    as long as they have no more than ``MOST_COMMON`` shingles together: so
+    many at most reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +146,18 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield repeated()
 
     found = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    rows = found.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    ranked = scratch.table(found.select("s", F.floor(F.log2("n")).cast("int").alias("rank")), "common")
+    least, total = 64, 0
+    for rank, n in sorted(map(tuple, ranked.groupBy("rank").count().collect()), reverse=True):
+        total += n
+        if total > MOST_COMMON:
+            break
+        least = rank
+    rows = ranked.where(F.col("rank") >= least).toPandas()
+    scratch.remove("common")
     value = rows["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(value)
-    return value[order], np.log2(np.maximum(rows["n"].to_numpy(np.int64), 1)).astype(np.uint8)[order]
+    return value[order], rows["rank"].to_numpy(np.uint8)[order]
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
@@ -184,9 +194,9 @@ def unpacked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, known
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs: doc_id, text."""
-    common, rank = common_shingles(docs)
+    common, rank = common_shingles(docs, scratch)
     seen = np.zeros(1 << max(16, min(24, len(common).bit_length() + 4)), bool)
     seen[common & np.uint64(len(seen) - 1)] = True
     sent = docs.sparkSession.sparkContext.broadcast((common, rank, np.packbits(seen)))
@@ -535,7 +545,7 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     text_hash) of the row with its smallest id. Docs: doc_id, text.
     """
     own = docs.withColumn("text_hash", F.xxhash64("text"))
-    signed = scratch.table(signatures(docs), "signatures")
+    signed = scratch.table(signatures(docs, scratch), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     facts = [F.first(c).alias(c) for c in ("n_shingles", "firsts", "point")]
     classes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), *facts)

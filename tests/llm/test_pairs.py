@@ -176,6 +176,20 @@ def test_jaccard_query_against_all_pairs(spark):
     assert got == _components(list(zip(docs.doc_id, docs.text)))
 
 
+def test_common_shingles(spark, monkeypatch):
+    """All repeated shingles with their ranks, and only whole ranks from the highest down where there are too many."""
+    texts = ["a b c d e f"] * 40 + ["g h i j k l m"] * 9 + [f"only{i} in this one text" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    shingles = {t: next(iter(jaccard.shingle_sets(pa.array([t], pa.large_string())))) for t in set(texts)}
+    monkeypatch.setattr(jaccard, "COMMON", 2)
+    value, rank = jaccard.common_shingles(docs, Scratch(spark, "t"))
+    assert dict(zip(value.tolist(), rank.tolist())) == {x: r for t, r in (("a b c d e f", 5), ("g h i j k l m", 3)) for x in shingles[t].tolist()}
+    assert (np.diff(value.astype(object)) > 0).all()
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 3)
+    assert sorted(jaccard.common_shingles(docs, Scratch(spark, "t"))[0].tolist()) == sorted(shingles["a b c d e f"].tolist())
+    assert len(jaccard.common_shingles(docs.limit(0), Scratch(spark, "t"))[0]) == 0
+
+
 def test_first_shingles_are_shared_by_similar_sets():
     rng = np.random.default_rng(9)
     common = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
