@@ -150,9 +150,20 @@ def roll_over(chunks: DataFrame, order: list[Column | Descending], size: Column,
     return filled(chunks, order, size, most)
 
 
-def merge_files(spark, paths: list[str], target: str) -> None:
-    """Write the rows of small Parquet files as one file's worth of rows."""
-    spark.read.parquet(*paths).coalesce(1).write.parquet(target)
+def merge_groups(groups: DataFrame, path_col: str, target: str) -> DataFrame:
+    """Write the rows of each group of small Parquet files as a folder of its own below ``target``; returns them with their ``grp``.
+
+    groups: the files' paths and ``grp``. Rows find their group by the file
+    that they come from, in one job; a group goes to one task, as its files
+    are small.
+    """
+    spark = groups.sparkSession
+    paths = [r[0] for r in groups.select(path_col).collect()]  # a row per file, as in any listing
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = spark.read.parquet(*paths).withColumn("_file", plain(F.col("_metadata.file_path")))
+    named = groups.select(plain(F.col(path_col)).alias("_file"), "grp")
+    rows.join(F.broadcast(named), "_file").drop("_file").repartition("grp").write.partitionBy("grp").parquet(target)
+    return spark.read.parquet(target)
 
 
 def reachable(roots: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:

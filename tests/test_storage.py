@@ -105,6 +105,7 @@ def test_scalars(spark):
     got = spark.createDataFrame([(v,) for v in values], "v long").select("v", scalars.varint_length(F.col("v"))).collect()
     assert [tuple(r) for r in got] == [(v, length(v)) for v in values]
     one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(scalars.ticks_to_micros(F.lit(12345))) == 1234
     assert one(scalars.mask_secrets(F.lit("host=a;Password = x;port=1"))) == "host=a;Password=***;port=1"
     assert one(scalars.rating(F.lit(0.8), 0.9, 0.7, 0.5)) == "Good" and one(scalars.numbered_name(F.lit(7), 3)) == "007"
     assert one(scalars.guarded_ratio(F.lit(1), F.lit(0))) == 0.0 and one(scalars.clamp(F.lit(9), F.lit(1), F.lit(5))) == 5
@@ -154,6 +155,17 @@ def test_cache_and_files(spark):
     assert storage.usage(files.limit(0).withColumn("live", F.lit(0)), "size", "live").first().usage == 0.0
 
 
+def test_small_files_are_merged(spark, tmp_path):
+    for k in range(7):
+        spark.range(10 * k, 10 * k + 3).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files = blobs.read_files(spark, f"{tmp_path}/in/*.parquet").select("path", "length")
+    numbered = files.withColumn("id", F.xxhash64("path"))
+    groups = storage.consolidation_groups(numbered, "id", F.col("length") < 1 << 20, size=3).join(numbered, "id").select("path", "grp")
+    merged = storage.merge_groups(groups, "path", f"{tmp_path}/out")
+    assert merged.select("grp").distinct().count() == 2 and merged.count() == 18  # the seventh is alone
+    assert len(merged.inputFiles()) == 2 and {r.id for r in merged.collect()} <= {r.id for r in spark.read.parquet(f"{tmp_path}/in").collect()}
+
+
 def test_metrics(spark):
     events = spark.createDataFrame([("a", 10.0, True), ("a", 2000.0, False), ("b", 1.0, True)], "op string, ms double, ok boolean")
     m = monitor.by_operation(events, F.col("op"), F.col("ms"), F.col("ok"))
