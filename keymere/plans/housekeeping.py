@@ -137,9 +137,12 @@ class Upkeep:
 
 
 class Backups:
-    """Copies of the current version of roots, as folders named by their number."""
+    """Copies of the current version of roots, in a store of their own: in ``folder``, or where the engine's settings say."""
 
-    def __init__(self, engine: Engine, folder: str):
+    def __init__(self, engine: Engine, folder: str | None = None):
+        folder = folder or engine.config.backup_directory
+        if not folder:
+            raise StorageError("no folder for backups")
         self.engine, self.target = engine, Engine.start(engine.spark, folder)
 
     def full(self, names: list[str] | None = None) -> list[str]:

@@ -39,7 +39,10 @@ def test_backups(spark, tmp_path):
     engine = Engine.start(spark, f"file://{tmp_path}/store")
     engine.store("x", spark.range(5))
     engine.store("y", spark.range(3))
-    backups = h.Backups(engine, f"file://{tmp_path}/backup")
+    with pytest.raises(StorageError):
+        h.Backups(engine)
+    engine.config.backup_directory = f"file://{tmp_path}/backup"
+    backups = h.Backups(engine)
     assert backups.full() == ["x", "y"]
     engine.append("x", spark.range(10, 14))
     assert backups.incremental("x", F.col("id"), F.lit(11)) == 2
