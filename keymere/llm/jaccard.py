@@ -551,11 +551,15 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     classes = signed.where("n_shingles > 0").groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), *facts)
     # the number of a class is that of its row in the written table
     classes = scratch.table(classes.select("fp", "first", "first.doc_id", "first.text_hash", "copies", F.col("n_shingles").alias("n"), "firsts", "point", F.monotonically_increasing_id().alias("id")), "classes")
+    signed = scratch.table(signed.select("doc_id", "text_hash", "n_shingles", "fp"), "rows")
+    scratch.remove("signatures")
     # in a similar pair the smaller set has a shared first shingle early on
     early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * SHARE) * F.col("n") / F.lit(100 + SHARE))
     members = classes.select("id", "n", F.posexplode("firsts").alias("pos", "key")).select("id", "n", "key", early.alias("early"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("early").alias("early")).where("size > 1 and early").drop("early")
     members = scratch.table(members.drop("early").join(shared, "key"), "members")
+    classes = scratch.table(classes.drop("firsts"), "kept")
+    scratch.remove("classes")
     points = classes.select("id", "n", "point")
 
     def blocks(rows: DataFrame) -> DataFrame:
@@ -570,6 +574,7 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     first = blocks(chosen.withColumns(unused).withColumn("key", F.xxhash64("key", part)))
     tried = scratch.table(_block_pairs(first, exact=False).distinct(), "first")
     links = scratch.table(_verified(tried, own, classes, scratch, "first"), "first-links")
+    scratch.remove("first-ids")
     found = components(links, scratch, "first-components")
 
     # the second: all pairs of different components, first those that are blocks of their own
@@ -592,8 +597,7 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
     more = _block_pairs(blocks(tiled.withColumnRenamed("tile", "key").join(least, "id")), exact=True)
     pairs = _bounded(two.join(tried, ["a", "b"], "left_anti"), points).unionByName(more.distinct().join(tried, ["a", "b"], "left_anti"))
     pairs = scratch.table(pairs.distinct(), "second")
-    for done in ("members", "mixed", "cells", "first"):
-        scratch.remove(done)
+    scratch.remove("members", "mixed", "cells", "first")
     named = ["first-sets"]
     if not pairs.isEmpty():
         links = links.unionByName(scratch.table(_verified(pairs, own, classes, scratch, "second"), "second-links"))
@@ -607,8 +611,7 @@ def _classes(docs: DataFrame, scratch: Scratch, count_links: bool) -> tuple[Data
         linked = scratch.table(_link_counts(sets, found, classes.select("id", "copies")), "linked")
         known = known.join(linked, "id", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).drop("linked")
     known = scratch.table(known.drop("id", "copies"), "known")
-    for done in ("classes", "first-ids", "first-sets", "second-ids", "second-sets"):
-        scratch.remove(done)
+    scratch.remove("kept", "first-sets", "second-ids", "second-sets", "linked")
     return signed, known
 
 

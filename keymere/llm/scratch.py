@@ -73,8 +73,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def remove(self, name: str) -> None:
-        _delete(self.spark, self.path(name))
+    def remove(self, *names: str) -> None:
+        """Delete tables that are done with, and let Spark delete the shuffles that made them: it does so when
+        the driver's garbage is collected, which may otherwise be long after executors' disks are full."""
+        for name in names:
+            _delete(self.spark, self.path(name))
+        self.spark._jvm.System.gc()
 
     def drop(self) -> None:
         _delete(self.spark, self.root)
