@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import paths, scalars
 from ..functions.conditions import And, Is, Not
@@ -28,11 +29,21 @@ def query(f: Query) -> Query:
 
 
 class Tables:
+    """The tables of a folder. The schema of one is looked up once, as long as the table stays as it is, for that takes a job of its own."""
+
+    _schemas: dict[tuple[str, int, int], StructType] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        path = f"{self._dir}/{name}.parquet"
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        key = (status.getPath().toString(), status.getModificationTime(), status.getLen())
+        if key not in self._schemas:
+            self._schemas[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[key]).parquet(path)
 
 
 def customers(t: Tables) -> EntityMap:
