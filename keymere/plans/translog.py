@@ -2,6 +2,8 @@
 
 A log is a table (or files) of frames in the order of ``position``; a reader
 stops at the first frame that isn't whole. All integers are little-endian.
+Tables of frames are written and read by expressions; the functions on single
+frames are for the writer and for log files.
 """
 
 from __future__ import annotations
@@ -33,7 +35,29 @@ _FIELDS: dict[int, tuple[tuple[str, str], ...]] = {
     COMMIT: (("op_count", "i"),),
     ROLLBACK: (),
 }
-_NAMES = [x.split()[0] for x in ENTRY.split(", ")]
+_TYPES = dict(x.split() for x in ENTRY.split(", "))
+_NAMES = list(_TYPES)
+#: What is stored of a field of any length first: how many values or bytes follow.
+_COUNT = "i"
+
+
+def _size(kind: str) -> int:
+    """Bytes of a field; of one of any length, those of its count."""
+    return struct.calcsize("<" + (_COUNT if kind in ("*q", "s") else kind))
+
+
+def _placed(fields: tuple[tuple[str, str], ...], at: int) -> list[tuple[str, str, int]]:
+    """Name, kind and first byte in the body, of fields from ``at``. Only the last one may be of any length."""
+    out = []
+    for name, kind in fields:
+        out.append((name, kind, at))
+        at += _size(kind)
+    return out
+
+
+#: The same as _HEAD, field by field.
+_HEAD_PLACED = _placed(tuple(zip(_NAMES, "bqqiq")), 0)
+_PLACED = {code: _placed(fields, _HEAD.size) for code, fields in _FIELDS.items()}
 
 
 def encode(entry: dict) -> bytes:
@@ -53,7 +77,7 @@ def encode(entry: dict) -> bytes:
 
 
 def decode(frame: bytes) -> dict | None:
-    """The entry of a frame; None if it isn't whole."""
+    """The entry of a frame; None if it isn't whole or its fields don't fit in it."""
     if len(frame) < 8 + _HEAD.size or struct.unpack_from("<i", frame)[0] != len(frame) - 8:
         return None
     body = frame[4:-4]
@@ -62,12 +86,21 @@ def decode(frame: bytes) -> dict | None:
     out = dict.fromkeys(_NAMES) | dict(zip(_NAMES, _HEAD.unpack_from(body)))
     at = _HEAD.size
     for name, kind in _FIELDS[out["type"]]:
+        to = at + _size(kind)
+        if to > len(body):
+            return None
         if kind in ("*q", "s"):
-            n, at = struct.unpack_from("<i", body, at)[0], at + 4
-            out[name], at = (list(struct.unpack_from(f"<{n}q", body, at)), at + 8 * n) if kind == "*q" else (body[at : at + n].decode(), at + n)
+            n, at = struct.unpack_from("<i", body, at)[0], to
+            to = at + (8 * n if kind == "*q" else n)
+            if not at <= to <= len(body):
+                return None
+            try:
+                out[name] = list(struct.unpack_from(f"<{n}q", body, at)) if kind == "*q" else body[at:to].decode()
+            except UnicodeDecodeError:
+                return None
         else:
             out[name] = struct.unpack_from("<" + kind, body, at)[0]
-            at += struct.calcsize("<" + kind)
+        at = to
     return out
 
 
@@ -81,35 +114,96 @@ def split(data: bytes) -> Iterator[bytes]:
         at = max(to, at + 1)
 
 
+# Expressions are put together as SQL, for each of their hundreds of parts would else be a call of the JVM.
+
+
+def _swapped(v: str) -> str:
+    """A long with its bytes in the opposite order. The value is named eight times, so it should be a plain column."""
+    for n, mask in ((8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        v = f"(shiftrightunsigned({v}, {n}) & {mask}L | shiftleft({v} & {mask}L, {n}))"
+    return f"(shiftrightunsigned({v}, 32) | shiftleft({v}, 32))"
+
+
+def _packed(v: str, kind: str) -> str:
+    """The bytes of a whole number in hexadecimal digits, the lowest first."""
+    swapped = _swapped(f"cast({v} as bigint)")
+    return f"substring(lpad(hex({swapped}), 16, '0'), 1, {2 * _size(kind)})"
+
+
+def _number(data: str, kind: str) -> str:
+    """The long whose bytes are given, the highest first."""
+    return f"cast(conv(hex({data}), 16, {-10 if kind == 'q' else 10}) as bigint)"
+
+
+def _turned(v: str, kind: str) -> str:
+    """What :func:`_number` read, the lowest byte first."""
+    return v if kind == "b" else _swapped(v) if kind == "q" else f"shiftright({_swapped(v)}, 32)"
+
+
 def encoded(entries: DataFrame, position: Column) -> DataFrame:
-    """Frames of entries."""
+    """Frames of entries. One that lacks a field of its code is an error."""
+    missing = "raise_error('an entry has no code, or lacks a field of its code')"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pydict({"position": pa.array([r.pop("position") for r in rows], pa.int64()), "frame": pa.array([encode(r) for r in rows], pa.binary())})
+    def digits(name: str, kind: str) -> str:
+        if kind == "*q":
+            return f"{_packed(f'size({name})', _COUNT)}, array_join(transform({name}, x -> coalesce({_packed('x', 'q')}, {missing})), '')"
+        return f"{_packed(f'octet_length({name})', _COUNT)}, hex({name})" if kind == "s" else _packed(name, kind)
 
-    return entries.select(position.cast("long").alias("position"), *_NAMES).mapInArrow(run, FRAME)
+    head = ", ".join(digits(f"`{name}`", kind) for name, kind, _ in _HEAD_PLACED)
+    own = " ".join(f"when {code} then concat({', '.join(['""', *(digits(f'`{name}`', kind) for name, kind in fields)])})" for code, fields in _FIELDS.items())
+    rows = entries.select(position.cast("long").alias("position"), *_NAMES)
+    rows = rows.selectExpr("position", f"coalesce(unhex(concat({head}, case type {own} end)), {missing}) as body")
+    rows = rows.selectExpr("position", "body", "octet_length(body) as size", "crc32(body) as crc")
+    # a table of one frame each: conditions on what is read from frames would else be evaluated by writing them again for each use
+    return rows.selectExpr("position", f"explode(array(concat(unhex({_packed('size', 'i')}), body, unhex({_packed('crc', 'i')})))) as frame")
 
 
 def decoded(frames: DataFrame) -> DataFrame:
     """Entries of frames with their position and whether they are ``valid``; the fields of others are null."""
-    schema = f"position long, valid boolean, {ENTRY}"
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
-    kind = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [decode(x or b"") for x in batch.column(1).to_pylist()]
-            rows = [{"position": p, "valid": e is not None} | (e or {}) for p, e in zip(batch.column(0).to_pylist(), found)]
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    return frames.select("position", "frame").mapInArrow(run, schema)
+    body = lambda at, n: f"substring(frame, {at} + 5, {n})"
+    number = lambda at, kind: f"_{kind}{at}"  # noqa: E731  once it is read
+    read = sorted({(at, _COUNT if kind in ("*q", "s") else kind) for fields in (_HEAD_PLACED, *_PLACED.values()) for _, kind, at in fields})
+    size = "(octet_length(frame) - 8)"
+    rows = frames.selectExpr(
+        "cast(position as bigint) as position",
+        "frame",
+        f"{_number('substring(frame, 1, 4)', 'i')} as _size",
+        f"{_number('substring(frame, -4, 4)', 'i')} as _crc",
+        f"crc32({body(0, size)}) as _own",
+        *[f"{_number(body(at, _size(kind)), kind)} as {number(at, kind)}" for at, kind in read],
+    )
+    whole = f"{size} >= {_HEAD.size} and {_turned('_size', 'i')} = {size} and shiftrightunsigned({_swapped('_crc')}, 32) = _own"
+    rows = rows.selectExpr("position", "frame", f"{whole} as _whole", *[f"{_turned(number(at, kind), kind)} as {number(at, kind)}" for at, kind in read])
+
+    code, fit = number(0, "b"), []
+    for c, fields in _PLACED.items():
+        ok = f"{size} >= {_HEAD.size + sum(_size(kind) for _, kind, _ in fields)}"
+        for _, kind, at in fields[-1:]:
+            if kind in ("*q", "s"):
+                n = number(at, _COUNT)
+                ok += f" and {n} between 0 and ({size} - {at + 4}) div {8 if kind == '*q' else 1}"
+            if kind == "s":
+                ok += f" and is_valid_utf8(cast({body(at + 4, f'cast({n} as int)')} as string))"
+        fit.append(f"when {c} then {ok}")
+    rows = rows.selectExpr("*", f"coalesce(_whole and case {code} {' '.join(fit)} end, false) as valid")
+
+    def value(kind: str, at: int) -> str:
+        if kind not in ("*q", "s"):
+            return number(at, kind)
+        n = f"cast({number(at, _COUNT)} as int)"
+        if kind == "s":
+            return f"cast({body(at + 4, n)} as string)"
+        return f"transform(transform(array_repeat(0, {n}), (_, i) -> {_number(body(f'{at + 4} + 8 * i', 8), 'q')}), x -> {_swapped('x')})"
+
+    found = {name: f"when valid then {value(kind, at)}" for name, kind, at in _HEAD_PLACED}
+    for name in _NAMES[len(found) :]:
+        found[name] = " ".join(f"when valid and {code} = {c} then {value(kind, at)}" for c, fields in _PLACED.items() for other, kind, at in fields if other == name)
+    return rows.selectExpr("position", "valid", *[f"cast(case {x} end as {_TYPES[name]}) as `{name}`" for name, x in found.items()])
 
 
 def up_to_damage(entries: DataFrame) -> DataFrame:
     """Entries before the first one that isn't valid."""
-    bad = entries.where("not valid").agg(F.min("position").alias("bad"))
+    bad = entries.agg(F.min(F.when(~F.col("valid"), F.col("position"))).alias("bad"))
     return entries.where(F.col("position") < F.coalesce(bad.scalar(), F.lit((1 << 63) - 1)))
 
 

@@ -1,6 +1,8 @@
 """Blobs, paths, scalars, logs, caches, collection, metrics and streams."""
 
 import hashlib
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -267,6 +269,40 @@ def test_log_frames(spark, tmp_path):
     assert sorted((r.path or "", r.seq) for r in got) == sorted([("", 0), ("", 1), ("", 2), ("", 3), ("ä.dat", 9), ("", 0), ("", 1)])
 
 
+def test_frames_are_expressions(spark):
+    """Tables of frames are written and read without Python workers, as the functions on single frames do it."""
+    rng = np.random.default_rng(4)
+    whole = lambda n, *ends: int(rng.choice([0, -1, *ends, *rng.integers(-(2 ** (n - 1)), 2 ** (n - 1) - 1, 3)]))
+    q, i = (lambda: whole(64, 2**63 - 1, -(2**63))), (lambda: whole(32, 2**31 - 1, -(2**31)))
+    rows = [(k, k % 7 + 1, q(), q(), i(), q(), q(), q(), q(), [q() for _ in range(k % 4)], ["", "ä€😀", "x\0y"][k % 3], i(), q()) for k in range(210)]
+    entries = spark.createDataFrame(rows, f"position long, {translog.ENTRY}")
+    frames = translog.encoded(entries, F.col("position"))
+    again = translog.encoded(translog.decoded(frames), F.col("position"))
+    want = {r[0]: translog.encode(dict(zip(entries.columns, r))) for r in rows}
+    assert {r.position: bytes(r.frame) for r in frames.collect()} == want
+    assert {r.position: bytes(r.frame) for r in again.where("position >= 0").collect()} == want
+    plan = translog.up_to_damage(translog.decoded(again).where("valid"))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+    def framed(body):  # length and checksum are right
+        return struct.pack("<i", len(body)) + body + struct.pack("<I", zlib.crc32(body))
+
+    made = [None, b"", b"\0" * 36, b"\0" * 37]
+    for frame in want.values():
+        body = frame[4:-4]
+        at, to = int(rng.integers(len(body))), int(rng.integers(256))
+        made += [frame[:at], frame[:at] + bytes([to]) + frame[at + 1 :], framed(body[:at]), framed(body + b"\0"), framed(body[:at] + bytes([to]) + body[at + 1 :])]
+    head = struct.pack("<bqqiq", translog.CREATE, 1, 2, 3, 4) + struct.pack("<q", 5)
+    made += [framed(head + struct.pack("<i", n) + b"ab\xff") for n in (-1, 0, 2, 3, 4, 2**31 - 1)]
+    got = translog.decoded(spark.createDataFrame([(k, None if x is None else bytearray(x)) for k, x in enumerate(made)], translog.FRAME)).collect()
+    for r in got:
+        entry = translog.decode(made[r.position] or b"")
+        assert r.asDict() == {"position": r.position, "valid": entry is not None} | (entry or dict.fromkeys(entries.columns[1:]))
+    assert [r.valid for r in sorted(got)[-6:]] == [False, True, True, False, False, False]
+    with pytest.raises(Exception, match="lacks a field"):
+        translog.encoded(entries.limit(1).withColumn("object_ids", F.array(F.lit(None).cast("long"))), F.col("position")).collect()
+
+
 def test_log_writer_and_recovery(spark, tmp_path):
     engine = Engine.start(spark, f"file://{tmp_path}/store")
     log = translog.Log(engine)
